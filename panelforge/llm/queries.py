@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, simhash
 from .common import table
 
 
@@ -13,5 +13,9 @@ def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
-QUERIES = {"op3_wu_manber": op3_wu_manber}
+def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_wu_manber": op3_wu_manber, "op10_simhash_popcount": op10_simhash_popcount}
 ORACLES = {"op3_wu_manber": decontaminate.ORACLE}
