@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import decontaminate, simhash, substrings
 from .common import table
 
 
@@ -17,5 +17,10 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_wu_manber": op3_wu_manber, "op10_simhash_popcount": op10_simhash_popcount}
-ORACLES = {"op3_wu_manber": decontaminate.ORACLE}
+def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_spans(table(spark, sf_dir, "documents"), keep=["doc_id"], finish="sha256")
+    return substrings.digest(found)
+
+
+QUERIES = {"op3_wu_manber": op3_wu_manber, "op10_simhash_popcount": op10_simhash_popcount, "op9_fingerprint_index": op9_fingerprint_index}
+ORACLES = {"op3_wu_manber": decontaminate.ORACLE, "op9_fingerprint_index": substrings.ORACLE}
