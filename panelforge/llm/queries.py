@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash, substrings
+from . import bitsliced, decontaminate, mixing, simhash, substrings
 from .common import table
 
 
@@ -22,5 +22,25 @@ def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(found)
 
 
-QUERIES = {"op3_wu_manber": op3_wu_manber, "op10_simhash_popcount": op10_simhash_popcount, "op9_fingerprint_index": op9_fingerprint_index}
-ORACLES = {"op3_wu_manber": decontaminate.ORACLE, "op9_fingerprint_index": substrings.ORACLE}
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op2_pareto_mix": op2_pareto_mix,
+    "op3_wu_manber": op3_wu_manber,
+    "op5_bitsliced": op5_bitsliced,
+    "op9_fingerprint_index": op9_fingerprint_index,
+    "op10_simhash_popcount": op10_simhash_popcount,
+}
+ORACLES = {
+    "op2_pareto_mix": mixing.ORACLE,
+    "op3_wu_manber": decontaminate.ORACLE,
+    "op5_bitsliced": bitsliced.ORACLE,
+    "op9_fingerprint_index": substrings.ORACLE,
+}
