@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, decontaminate, mixing, simhash, substrings
-from .common import table
+from . import bitsliced, decontaminate, mixing, simhash, substrings, toxicity
+from .common import held_out, table
 
 
 def op3_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,18 @@ def op5_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, net, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_pareto_mix": op2_pareto_mix,
     "op3_wu_manber": op3_wu_manber,
     "op5_bitsliced": op5_bitsliced,
+    "op7_convolution": op7_convolution,
     "op9_fingerprint_index": op9_fingerprint_index,
     "op10_simhash_popcount": op10_simhash_popcount,
 }
