@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, decontaminate, mixing, simhash, substrings, toxicity
+from . import bitsliced, decontaminate, mixing, quality, simhash, substrings, toxicity
 from .common import held_out, table
 
 
@@ -22,6 +22,12 @@ def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(found)
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, rules, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +45,7 @@ def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rule_ensemble": op1_rule_ensemble,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_wu_manber": op3_wu_manber,
     "op5_bitsliced": op5_bitsliced,
