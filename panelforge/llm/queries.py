@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, decontaminate, mixing, quality, simhash, substrings, toxicity
+from . import bitsliced, decontaminate, maintext, mixing, quality, simhash, substrings, toxicity
 from .common import held_out, table
 
 
@@ -33,6 +33,10 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.digest(maintext.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]))
+
+
 def op5_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.search(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_rule_ensemble": op1_rule_ensemble,
     "op2_pareto_mix": op2_pareto_mix,
     "op3_wu_manber": op3_wu_manber,
+    "op4_block_rules": op4_block_rules,
     "op5_bitsliced": op5_bitsliced,
     "op7_convolution": op7_convolution,
     "op9_fingerprint_index": op9_fingerprint_index,
