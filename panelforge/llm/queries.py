@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, decontaminate, maintext, mixing, quality, simhash, substrings, toxicity
+from . import bitsliced, decontaminate, fuzzylines, maintext, mixing, quality, simhash, substrings, toxicity
 from .common import held_out, table
 
 
@@ -41,6 +41,10 @@ def op5_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzylines.summary(table(spark, sf_dir, "documents"))
+
+
 def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_wu_manber": op3_wu_manber,
     "op4_block_rules": op4_block_rules,
     "op5_bitsliced": op5_bitsliced,
+    "op6_minhash_lines": op6_minhash_lines,
     "op7_convolution": op7_convolution,
     "op9_fingerprint_index": op9_fingerprint_index,
     "op10_simhash_popcount": op10_simhash_popcount,
