@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitsliced, decontaminate, fuzzylines, maintext, mixing, quality, simhash, substrings, toxicity
+from . import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, quality, simhash, substrings, toxicity
 from .common import held_out, table
 
 
@@ -17,6 +18,13 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a file named by its id in a directory for its source and, below, its language."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = licences.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return found.select(F.expr("try_cast(element_at(split(path, '/'), -1) as bigint)").alias("doc_id"), "licence", F.round("score", 9).alias("score"), "origin", "inherited_from")
+
+
 def op9_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated_spans(table(spark, sf_dir, "documents"), keep=["doc_id"], finish="sha256")
     return substrings.digest(found)
@@ -60,6 +68,7 @@ QUERIES = {
     "op5_bitsliced": op5_bitsliced,
     "op6_minhash_lines": op6_minhash_lines,
     "op7_convolution": op7_convolution,
+    "op8_licences": op8_licences,
     "op9_fingerprint_index": op9_fingerprint_index,
     "op10_simhash_popcount": op10_simhash_popcount,
 }
