@@ -4,9 +4,9 @@ A line's shingles are the ``width`` characters from each word start and from eve
 word, so they cover the line. The signature keeps the four smallest shingle hashes (a bottom-k MinHash). Every pair of
 them is a band: two lines of Jaccard similarity 0.8 share at least two of their four smallest hashes with probability
 about 0.97, more with rising similarity. Lines of up to three shingles can only be near an equal set, which is their
-one band. In each bucket a line is compared with the bucket's least line and with one that is drawn by a hash of the
-bucket, so a bucket of n lines costs n comparisons, never n squared, while a group of near copies, which meets in
-several buckets with other draws, stays connected. Exact Jaccard similarity over all shingles decides; distributed
+one band. In each bucket a line is compared with the first and the last line of an order that the bucket chooses of two,
+so a bucket of n lines costs 2 n comparisons, never n squared, while a group of near copies, which meets in several
+buckets, has four lines that hold it together. Exact Jaccard similarity over all shingles decides; distributed
 union-find joins the links, and of each component the first line (by document id, then place) stays.
 
 Equal lines are one node from the start (a 64-bit hash), so copies cost nothing later. Buckets are aggregated before
@@ -29,6 +29,8 @@ from .union import components
 
 SIMILAR = (4, 5)
 KEEP = 4
+#: Fixed value: any pattern of mixed bits, to make a second order of the same hashes.
+FLIP = 0x5A17C3D2E96B4F81
 
 
 def shingles(line: str = "line", width: int = 12, stride: int = 8) -> Column:
@@ -43,30 +45,38 @@ def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line"))
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """(key, h) for the bands of each distinct line of (h, line)."""
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h, m0 .. m3) of each distinct line of (h, line): its least shingle hashes."""
     signed = lines.select("h", F.sort_array(shingles()).alias("s"))
-    signed = signed.select("h", *[F.get("s", F.lit(i)).alias(f"m{i}") for i in range(KEEP)]).distinct()
+    return signed.select("h", *[F.get("s", F.lit(i)).alias(f"m{i}") for i in range(KEEP)]).distinct()
+
+
+def bands(signed: DataFrame) -> DataFrame:
+    """(key, x) for the bands of each line; x is its hash under one of two orders, which the band's last bit chooses."""
     pairs = [F.xxhash64(f"m{i}", f"m{j}") for i, j in combinations(range(KEEP), 2)]
     few = F.array(F.xxhash64(*[F.coalesce(f"m{i}", F.lit(0)) for i in range(KEEP)]))
-    return signed.select(F.explode(F.when(F.col(f"m{KEEP - 1}").isNotNull(), F.array(*pairs)).otherwise(few)).alias("key"), "h")
+    keyed = signed.select(F.explode(F.when(F.col(f"m{KEEP - 1}").isNotNull(), F.array(*pairs)).otherwise(few)).alias("key"), "h")
+    return keyed.select("key", order("h").alias("x"))
+
+
+def order(column: str) -> Column:
+    """Swaps between a line's hash and its place in the order of a band."""
+    return F.col(column).bitwiseXOR(F.col("key").bitwiseAND(F.lit(1)) * F.lit(FLIP))
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines to compare."""
-    draw = F.struct(F.xxhash64("key", "h").alias("d"), F.col("h").alias("h"))
-    buckets = members.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.min(draw).alias("drawn"))
-    buckets = buckets.where("low != high").select("key", "low", F.col("drawn.h").alias("drawn"))
-    met = members.join(buckets, "key").select("h", F.explode(F.array_distinct(F.array("low", "drawn"))).alias("other")).where("h != other")
-    return met.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+    """Distinct pairs (a, b) of lines to compare: each member of a bucket with the first and the last of its order."""
+    buckets = members.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low != high")
+    met = members.join(buckets, "key").select("key", "x", F.explode(F.array("low", "high")).alias("other")).where("x != other")
+    met = met.select(order("x").alias("p"), order("other").alias("q"))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def links(lines: DataFrame, members: DataFrame) -> DataFrame:
+def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct lines whose Jaccard similarity is at least 0.8. ``lines``: (h, line), with copies."""
-    pairs = cut(candidates(members))
+    pairs = cut(candidates(bands(signed)))
     asked = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    sets = lines.join(asked, "h", "left_semi").select("h", F.sort_array(shingles()).alias("s"))
-    sets = cut(sets.groupBy("h").agg(F.first("s").alias("s")))
+    sets = lines.join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")).select("h", shingles().alias("s"))
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     up, down = SIMILAR
@@ -78,8 +88,7 @@ def decisions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tu
     every = exploded(docs, key, text)
     slim = cut(every.select("doc", "k", "pos", "h"))
     lines = every.select("h", "line")
-    members = cut(bands(lines))
-    roots = components(links(lines, members)).select(F.col("node").alias("h"), "root")
+    roots = components(links(lines, cut(signatures(lines)))).select(F.col("node").alias("h"), "root")
     order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("doc"), F.col("k").alias("k"), F.col("pos").alias("pos"))
     first = slim.groupBy("h").agg(F.min(order).alias("o")).join(roots, "h", "left")
     stays = first.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("o").alias("o")).select("o.doc", "o.k", "o.pos")
