@@ -76,8 +76,10 @@ def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct lines whose Jaccard similarity is at least 0.8. ``lines``: (h, line), with copies."""
     pairs = cut(candidates(bands(signed)))
     asked = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    sets = lines.join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")).select("h", shingles().alias("s"))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
+    # texts travel, not shingles: they are smaller
+    texts = lines.join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
+    both = both.select("a", "b", shingles("la").alias("sa"), shingles("lb").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     up, down = SIMILAR
     return both.where(shared * down >= (F.size("sa") + F.size("sb") - shared) * up).select("a", "b")
@@ -92,7 +94,7 @@ def decisions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tu
     order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("doc"), F.col("k").alias("k"), F.col("pos").alias("pos"))
     first = slim.groupBy("h").agg(F.min(order).alias("o")).join(roots, "h", "left")
     stays = first.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("o").alias("o")).select("o.doc", "o.k", "o.pos")
-    return slim, cut(stays)
+    return slim, stays
 
 
 def kept_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
