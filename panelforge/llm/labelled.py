@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, *, key: str = "doc_id", text: str = "text", most: int = 8_000, most_bytes: int = 64 << 20) -> pa.Table:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, *, key: str = "doc_id", text: str = "text", most: int = 6_000, most_bytes: int = 32 << 20) -> pa.Table:
     """(text, label) of at most ``most`` labelled documents, chosen and ordered by a hash of the id.
 
     Rows that are held out, or without an id or label, never take part. The ids are bounded by ``most``, so they are

@@ -282,7 +282,7 @@ def with_statistics(docs: DataFrame, *, text: str = "text", keep: list[str] | No
     return source.mapInArrow(run, shape)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = 8_000) -> Rules:
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = 6_000) -> Rules:
     sample = training_sample(docs, labels, label, most=most)
     return fit(statistics(sample.column("text")), np.asarray(sample.column("label").to_pylist(), np.float64))
 

@@ -208,19 +208,18 @@ def train(sample: pa.Table, *, calibration: float = 0.3, steps: int = 700) -> Ne
     y = np.asarray(sample.column("label").to_pylist() or [], np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    parts, counts = [], []
-    for s in slices(sample.column("text"), SEPARATORS, True):
-        parts.append(columns_of(s))
-        counts.append(s.words)
-    cols, counts = np.concatenate(parts), np.concatenate(counts)
+    parts = [(columns_of(s), s.words) for s in slices(sample.column("text"), SEPARATORS, True, most=1_000_000)]
     n = max(1, round(len(y) * (1 - calibration)))
-    head = int(counts[:n].sum())
     if y[:n].min() == y[:n].max():
-        n, head = len(y), len(cols)
-    net = fit(cols[:head], counts[:n], y[:n], epochs=min(40, max(4, round(steps * 64 / n))))
+        n = len(y)
+    cols, counts = np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts])
+    net = fit(cols[: int(counts[:n].sum())], counts[:n], y[:n], epochs=min(40, max(4, round(steps * 64 / n))))
+    del cols
+    votes = language_table()
+    z = np.concatenate([net.logits(*p) for p in parts])  # slice by slice: the vectors of all words at once would not be small
+    lang = np.concatenate([languages(*p, votes) for p in parts])
     rest = slice(n, None) if n < len(y) and y[n:].min() != y[n:].max() else slice(0, None)
-    c, k = (cols[head:], counts[n:]) if rest.start else (cols, counts)
-    calibrate(net, net.logits(c, k), y[rest], languages(c, k, language_table()))
+    calibrate(net, z[rest], y[rest], lang[rest])
     return net
 
 
@@ -269,5 +268,5 @@ def clean(docs: DataFrame, net: Net | float, *, text: str = "text", threshold: f
     return _scored(docs, net, text, docs.columns, docs.schema, True, threshold)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = 8_000) -> Net | float:
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = 6_000) -> Net | float:
     return train(training_sample(docs, labels, label, most=most))
