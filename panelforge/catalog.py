@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from panelforge.plans import interday, intraday, screening, trading
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+GROUPS = (intraday.R, screening.R, interday.R, trading.R)
+QUERIES = {n: q for g in GROUPS for n, q in g.queries.items()}
+ORACLES = {n: q for g in GROUPS for n, q in g.oracles.items()}
