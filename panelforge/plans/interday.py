@@ -1,2 +1,85 @@
+"""Queries of the interday group."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from panelforge.operators import interday as op
+from panelforge.sources import views as v
+
 from .registry import Registry
+
 R = Registry()
+K = "security session"
+D = f"with {v.DAILY_SQL}, {v.DENSE_SQL}, dr as (select *, c / lag(c) over (partition by security order by t) - 1 as ret from daily)"
+
+
+def panel(s, d):
+    return v.densify(v.daily(v.read(s, d, "lineitem")))
+
+
+def q(name, longs, doubles, fn, select, keys=K):
+    R.add(name, keys, longs, doubles, lambda s, d: fn(panel(s, d)), f"{D}{select}")
+
+
+BY = "partition by security order by t"
+W6 = f"w as ({BY} rows between 5 preceding and current row)"
+q("daily_panel", "t n", "o h l c v dollars", lambda p: p, "\nselect * from daily")
+q("liquidity_median", "", "prior_median_dollars", op.liquidity, f"\nselect security, session, case when count(dollars) over w >= 6 then quantile_cont(dollars, 0.5) over w end as prior_median_dollars from daily window w as ({BY} rows between 12 preceding and 1 preceding)")
+ACT = "act as (select security, session, case when security % 3 = 0 then 2.0::double else 1.0::double end as ratio, case when security % 2 = 0 then 0.5::double else 0.0::double end as cash from daily where t % 12 = 6), ai as (select d.security, d.session, t, c, exp(sum(ln(coalesce(ratio, 1))) over (partition by d.security order by t)) as split_index, coalesce(cash, 0) as cash from daily d left join act using (security, session)), ax as (select *, sum(split_index * cash) over (partition by security order by t) as cum_dividend from ai)"
+
+
+def actions(p):
+    """Invented by rule: in every twelfth session a third of the securities splits and half pay."""
+    return p.where("t % 12 = 6").select("security", "session", F.when(F.col("security") % 3 == 0, 2.0).otherwise(1.0).alias("ratio"), F.when(F.col("security") % 2 == 0, 0.5).otherwise(0.0).alias("cash"))
+
+
+q("action_index", "", "split_index cum_dividend", lambda p: op.action_index(p, actions(p)), f", {ACT}\nselect * from ax")
+q("interval_total_return", "", "total_return", lambda p: op.total_return(op.action_index(p, actions(p))), f", {ACT}\nselect security, session, (lead(split_index, 3) over w / split_index * lead(c, 3) over w + (lead(cum_dividend, 3) over w - cum_dividend) / split_index) / c - 1 as total_return from ax window w as ({BY})")
+q("window_features", "", "ret_n positive_fraction path_efficiency drawdown distance_low range_position distance_sma realised_vol relative_volume volume_z", op.window_features,
+  f", wf as (select *, count(ret) over w >= 6 as full_, count(c) over w >= 6 as cf, count(v) over w >= 6 as vf, max(c) over w as hi, min(c) over w as lo, avg(c) over w as sma, avg((ret > 0)::int) over w as pf, sum(ret) over w as sr, sum(abs(ret)) over w as sa, stddev_pop(ret) over w as sdev, avg(v) over w as mv, stddev_pop(v) over w as sv, lag(c, 6) over ({BY}) as c6 from dr window {W6})\nselect security, session, case when full_ then c / c6 - 1 end as ret_n, case when full_ then pf end as positive_fraction, case when full_ then abs(sr) / nullif(sa, 0) end as path_efficiency, case when cf then c / hi - 1 end as drawdown, case when cf then c / lo - 1 end as distance_low, case when cf then (c - lo) / nullif(hi - lo, 0) end as range_position, case when cf then c / sma - 1 end as distance_sma, case when full_ then sdev end as realised_vol, case when vf then v / nullif(mv, 0) end as relative_volume, case when vf then (v - mv) / nullif(sv, 0) end as volume_z from wf")
+q("trend_ols", "", "trend_slope trend_r2", op.trend, f"\nselect security, session, case when count(c) over w >= 6 then regr_slope(ln(c), t / 2.5::double) over w end as trend_slope, case when count(c) over w >= 6 then regr_r2(ln(c), t / 2.5::double) over w end as trend_r2 from daily window {W6}")
+q("atr", "", "atr_pct", op.atr, f", tr as (select *, lag(c) over ({BY}) as pc from daily), tr2 as (select *, case when pc is not null and h is not null then greatest(h - l, abs(h - pc), abs(l - pc)) end as tr from tr)\nselect security, session, case when count(tr) over w >= 6 then avg(tr) over w / c end as atr_pct from tr2 window {W6}")
+q("prior_beta", "", "beta residual", op.prior_beta, f", mk as (select *, avg(ret) over (partition by session) as m from dr), pb as (select *, case when count(ret) over w >= 8 then covar_pop(ret, case when ret is not null then m end) over w / nullif(var_pop(case when ret is not null then m end) over w, 0) end as beta from mk window w as ({BY} rows between 12 preceding and 1 preceding))\nselect security, session, beta, ret - beta * m as residual from pb")
+R.add("leave_one_out", K + " sector", "", "sector_return sector_excess", lambda s, d: op.leave_one_out(panel(s, d), v.sectors(v.read(s, d, "supplier"), v.read(s, d, "nation"))),
+      f"{D}, {v.SECTORS_SQL}, lo as (select security, session, sector, ret, case when ret is not null and count(ret) over w - 1 >= 3 then (sum(ret) over w - ret) / (count(ret) over w - 1) end as sector_return from dr join sectors using (security) window w as (partition by session, sector))\nselect *, ret - sector_return as sector_excess from lo")
+q("gap_fill", "", "gap gap_fill", op.gap_fill, f", gp as (select *, o / lag(c) over ({BY}) - 1 as gap from daily)\nselect security, session, gap, case when abs(gap) >= 0.001 then sign(-gap) * (c / o - 1) / abs(gap) end as gap_fill from gp")
+q("days_since_extreme", "since_high since_low", "", op.since_extreme, f", se as (select *, max({{'c': c, 't': t}}) filter (c is not null) over w as mh, max({{'c': -c, 't': t}}) filter (c is not null) over w as ml, count(c) over w as k from daily window {W6})\nselect security, session, case when k >= 6 then t - mh.t end as since_high, case when k >= 6 then t - ml.t end as since_low from se")
+q("streaks", "up_streak", "", op.streaks, f", st as (select *, sum(case when ret > 0 then 0 else 1 end) over ({BY}) as b from dr)\nselect security, session, case when ret is not null then sum(coalesce((ret > 0)::int, 0)) over (partition by security, b order by t) end as up_streak from st")
+TG = f"tg0 as (select *, lead(o) over w as en, lead(c, 3) over w as ex, lead(t, 3) over w as lt from daily window w as ({BY})), tg as (select security, session, t, case when c is null then 'no_bar' when lt is null then 'beyond_calendar' when en is null then 'no_entry' when ex is null then 'no_exit' else 'ok' end as reason, case when c is not null and lt is not null then ex / en - 1 end as target from tg0)"
+q("targets_lead", "", "target", op.targets, f", {TG}\nselect * from tg")
+q("reason_codes", "n", "", lambda p: op.targets(p).groupBy("reason").agg(F.count(F.lit(1)).alias("n")), f", {TG}\nselect reason, count(*) as n from tg group by all", keys="reason")
+
+
+def ranked(p):
+    return op.rank_bins(op.returns(p).withColumn("x", F.col("ret")))
+
+
+RB = "rb0 as (select security, session, t, ret as x, count(*) over (partition by session) as n, rank() over (partition by session order by ret) + (count(*) over (partition by session, ret) - 1) / 2.0 as ra, dense_rank() over (partition by session order by ret) as dn, ntile(10) over (partition by session order by ret, security) - 1 as nt from dr where ret is not null), rb as (select security, session, t, case when n >= 10 and max(dn) over (partition by session) >= 10 then (ra - 0.5) / n end as pct, case when n >= 10 and max(dn) over (partition by session) >= 10 then nt end as decile from rb0)"
+q("rank_bins", "decile", "pct", ranked, f", {RB}\nselect * from rb")
+q("rank_persistence", "n", "persistence", lambda p: op.persistence(ranked(p)), f", {RB}, rp as (select a.t, a.pct, b.pct as q from rb a join rb b on a.security = b.security and b.t = a.t + 1 where a.pct is not null and b.pct is not null), rp2 as (select t, rank() over (partition by t order by pct) + (count(*) over (partition by t, pct) - 1) / 2.0 as x, rank() over (partition by t order by q) + (count(*) over (partition by t, q) - 1) / 2.0 as y from rp)\nselect t, count(*) as n, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) as persistence from rp2 group by t", keys="t")
+q("tail_turnover", "", "turnover", lambda p: op.turnover(ranked(p), p), f", {RB}, tw as (select security, session, 1.0::double / count(*) over (partition by session) as w from rb where decile = 9), tv as (select d.session, abs(coalesce(w, 0) - lag(coalesce(w, 0)) over (partition by d.security order by t)) as dv from daily d left join tw using (security, session))\nselect session, sum(dv) / 2 as turnover from tv group by session", keys="session")
+DP = f"{TG}, {RB}, dp0 as (select session, decile, target, rank() over (partition by session order by pct) + (count(*) over (partition by session, pct) - 1) / 2.0 as x, rank() over (partition by session order by target) + (count(*) over (partition by session, target) - 1) / 2.0 as y from rb join tg using (security, session) where pct is not null and target is not null), dp as (select session, count(*) as n, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) as ic, avg(target) filter (decile = 9) - avg(target) filter (decile = 0) as top_bottom, avg(target) filter (decile = 9) - avg(target) filter (decile in (4, 5)) as top_middle, avg(target) filter (decile in (4, 5)) - avg(target) filter (decile = 0) as middle_bottom from dp0 group by session)"
+q("daily_pair_series", "n", "ic top_bottom top_middle middle_bottom", lambda p: op.daily_pairs(ranked(p), op.targets(p)), f", {DP}\nselect * from dp", keys="session")
+
+
+def ic_series(p):
+    return p.select("session", "t").distinct().join(op.daily_pairs(ranked(p), op.targets(p)).select("session", "ic"), "session", "left")
+
+
+LAGS = ", ".join(f"avg(dv * lag{k}) as g{k}" for k in range(1, 6))
+NW = f"nw0 as (select c.t, ic, ic - avg(ic) over () as dv from cal c left join dp using (session)), nw1 as (select *, {', '.join(f'lag(dv, {k}) over (order by t) as lag{k}' for k in range(1, 6))} from nw0), nw2 as (select count(ic) as n, avg(ic) as mean, avg(dv * dv) as g0, {LAGS} from nw1), nw3 as (select n, mean, sqrt(greatest(g0 + {' + '.join(f'2 * (1 - {k} / 6.0::double) * coalesce(g{k}, 0)' for k in range(1, 6))}, 0) / n) as se from nw2)"
+q("newey_west", "n", "mean se t", lambda p: op.newey_west(ic_series(p), "ic"), f", {DP}, {NW}\nselect n, mean, case when n >= 20 then se end as se, case when n >= 20 then mean / nullif(se, 0) end as t from nw3", keys="")
+
+
+def profile(p):
+    """Mean target by horizon."""
+    rows = [op.targets(p, k).agg(F.avg("target").alias("effect")).select(F.lit(k).alias("horizon"), "effect") for k in range(1, 6)]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+HZ = "hz as (" + " union all ".join(f"select {k} as horizon, avg(x) as effect from (select case when c is not null then lead(c, {k}) over w / lead(o) over w - 1 end as x from daily window w as ({BY}))" for k in range(1, 6)) + ")"
+q("horizon_profile", "", "effect", profile, f", {HZ}\nselect * from hz", keys="horizon")
+q("neighbor_support", "before after", "effect", lambda p: op.neighbours(profile(p)), f", {HZ}\nselect horizon, effect, (lag(effect) over w / effect >= 0.5)::int as before, (lead(effect) over w / effect >= 0.5)::int as after from hz window w as (order by horizon)", keys="horizon")

@@ -1,2 +1,69 @@
+"""Queries of the strategy and execution group."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from panelforge.operators import trading as op
+from panelforge.sources import views as v
+
+from .intraday import ALL, bars, feats, targets
 from .registry import Registry
+
 R = Registry()
+
+
+def signals(s, d):
+    """One decision a session: the fifth slot's return against the return that follows."""
+    return feats(s, d).join(targets(s, d), ["symbol", "session", "slot"]).where("slot = 5 and ret_1 is not null and fwd_1 is not null").select("symbol", "session", F.col("ret_1").alias("signal"), F.col("fwd_1").alias("ret"))
+
+
+SG = f"{ALL}, sg as (select symbol, session, ret_1 as signal, fwd_1 as ret from feat join tgt using (symbol, session, slot) where slot = 5 and ret_1 is not null and fwd_1 is not null)"
+TOP = f"{SG}, tp as (select * from (select *, case when row_number() over (partition by session order by signal desc, symbol) <= 1 then 1 when row_number() over (partition by session order by signal, symbol desc) <= 1 then -1 end as side from sg) where side is not null)"
+PF = f"{TOP}, pf as (select session, count(*) as trades, avg(ret) filter (side = 1) as long_leg, avg(ret) filter (side = -1) as short_leg, (avg(ret) filter (side = 1) - avg(ret) filter (side = -1)) / 2 as gross from tp group by session)"
+R.add("strat_topn", "symbol session", "side", "signal ret", lambda s, d: op.select_top(signals(s, d)), f"{TOP}\nselect * from tp")
+R.add("strat_quantile", "symbol session", "side", "signal ret", lambda s, d: op.select_quantile(signals(s, d)), f"{SG}, sq as (select *, row_number() over (partition by session order by signal, symbol)::double / count(*) over (partition by session) as sh from sg)\nselect *, case when sh > 1 - 0.2::double then 1 else -1 end as side from sq where sh > 1 - 0.2::double or sh <= 0.2::double")
+R.add("portfolio", "session", "trades", "long_leg short_leg gross", lambda s, d: op.portfolio(op.select_top(signals(s, d))), f"{PF}\nselect * from pf")
+AD = "ad as (select session, long_leg, short_leg, case when count(long_leg) over w >= 5 then case when avg(long_leg) over w >= avg(-short_leg) over w then 1 else -1 end end as choice from pf window w as (order by session rows between unbounded preceding and 1 preceding))"
+R.add("strat_adaptive", "session", "choice", "adaptive", lambda s, d: op.adaptive(op.portfolio(op.select_top(signals(s, d)))), f"{PF}, {AD}\nselect session, choice, case choice when 1 then long_leg when -1 then -short_leg end as adaptive from ad")
+
+
+def net(s, d):
+    return op.cost_grid(op.portfolio(op.select_top(signals(s, d))), bars(s, d).select("session").distinct())
+
+
+CG = f"{PF}, cg as (select session, bps, coalesce(gross - 2 * bps / 1e4, 0) as net from (select distinct session from bars) cross join (select unnest([0.0::double, 1.0::double, 5.0::double]) as bps) left join pf using (session))"
+R.add("cost_grid", "session", "", "bps net", net, f"{CG}\nselect * from cg")
+R.add("equity_metrics", "", "n", "bps total max_drawdown win_rate break_even_bps ratio", lambda s, d: op.metrics(net(s, d)), f"{CG}, eq as (select *, exp(sum(ln(1 + net)) over (partition by bps order by session)) as equity from cg), dd as (select *, equity / max(equity) over (partition by bps order by session) - 1 as dd from eq)\nselect bps, arg_max(equity, session) - 1 as total, min(dd) as max_drawdown, avg((net > 0)::int) as win_rate, avg(net) / 2 * 1e4 as break_even_bps, avg(net) / nullif(stddev_samp(net), 0) as ratio, count(*) as n from dd group by bps")
+
+
+def sweep(s, d):
+    """Every selection size at every cost, in one plan."""
+    base, days = signals(s, d), bars(s, d).select("session").distinct()
+    parts = [op.metrics(op.cost_grid(op.portfolio(op.select_top(base, n)), days)).withColumn("size", F.lit(n)) for n in (1, 2, 3)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+SW = f"{SG}, sz as (select unnest([1, 2, 3]) as size), sr as (select *, row_number() over (partition by session order by signal desc, symbol) as u, row_number() over (partition by session order by signal, symbol desc) as dn from sg), sp as (select size, session, (avg(ret) filter (u <= size) - avg(ret) filter (u > size and dn <= size)) / 2 as gross from sr cross join sz group by all), sn as (select z.size, d.session, bps, coalesce(gross - 2 * bps / 1e4, 0) as net from (select distinct session from bars) d cross join sz z cross join (select unnest([0.0::double, 1.0::double, 5.0::double]) as bps) left join sp on sp.size = z.size and sp.session = d.session)"
+R.add("param_sweep", "size", "n", "bps total win_rate", sweep, f"{SW}\nselect size, bps, exp(sum(ln(1 + net))) - 1 as total, avg((net > 0)::int) as win_rate, count(*) as n from sn group by all")
+
+
+def quotes(s, d):
+    b = bars(s, d)
+    return b.select("symbol", "session", F.col("slot").alias("at"), F.col("c").alias("bid"), (F.col("c") * 1.0005).alias("ask"))
+
+
+def orders(s, d):
+    return op.select_quantile(signals(s, d)).select(F.concat_ws("-", "symbol", "session").alias("order_id"), "symbol", "session", "side", F.lit(6).alias("entry"), F.lit(9).alias("exit"))
+
+
+OQ = f"{SG}, sq as (select *, row_number() over (partition by session order by signal, symbol)::double / count(*) over (partition by session) as sh from sg), od as (select symbol || '-' || session as order_id, symbol, session, case when sh > 1 - 0.2::double then 1 else -1 end as side from sq where sh > 1 - 0.2::double or sh <= 0.2::double), qt as (select symbol, session, slot as tq, c as bid, c * 1.0005::double as ask from bars), oe as (select od.*, (select min(tq) from qt where qt.symbol = od.symbol and qt.session = od.session and tq between 6 and 8) as ea, (select min(tq) from qt where qt.symbol = od.symbol and qt.session = od.session and tq between 9 and 11) as xa from od), oj as (select oe.*, e.bid as eb, e.ask as ek, x.bid as xb, x.ask as xk from oe left join qt e on e.symbol = oe.symbol and e.session = oe.session and e.tq = ea left join qt x on x.symbol = oe.symbol and x.session = oe.session and x.tq = xa), rp as (select *, case when ea is null then 'missing_quote' when xa is null then 'missing_path' else 'filled' end as status, case when ea is not null and xa is not null then side * (case when side = 1 then xb / ek else xk / eb end - 1) end as gross_return from oj)"
+R.add("quote_replay", "order_id symbol session status", "side", "gross_return", lambda s, d: op.replay(orders(s, d), quotes(s, d)), f"{OQ}\nselect * from rp")
+R.add("fill_status", "status", "n", "mean", lambda s, d: op.replay(orders(s, d), quotes(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg("gross_return").alias("mean")), f"{OQ}\nselect status, count(*) as n, avg(gross_return) as mean from rp group by status")
+R.add("passive_fill", "order_id status", "side filled_at", "limit_price", lambda s, d: op.passive(orders(s, d), quotes(s, d)).withColumnRenamed("limit", "limit_price"),
+      f"{OQ}, pl as (select order_id, symbol, session, side, ea, case when side = 1 then eb else ek end as limit_price from oj where ea is not null), pz as (select *, (select min(tq) from qt where qt.symbol = pl.symbol and qt.session = pl.session and tq > ea and tq <= ea + 3 and case when side = 1 then ask <= limit_price else bid >= limit_price end) as filled_at from pl)\nselect *, case when filled_at is null then 'unfilled' else 'filled' end as status from pz")
+R.add("overlap_jaccard", "a b", "shared", "jaccard", lambda s, d: op.overlap(op.select_quantile(signals(s, d)).select(F.col("symbol"), F.col("session")), "symbol", "session"),
+      f"{OQ}, sz as (select symbol, count(*) as n from od group by symbol), bo as (select x.symbol as a, y.symbol as b, count(*) as shared from od x join od y on x.session = y.session and x.symbol < y.symbol group by all)\nselect a, b, shared, shared::double / (p.n + q.n - shared) as jaccard from bo join sz p on p.symbol = a join sz q on q.symbol = b")
+R.add("events_by_minute", "event_type", "n", "total", lambda s, d: v.read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "\nselect event_type, count(*) as n, sum(value) as total from events group by event_type")
