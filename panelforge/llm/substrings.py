@@ -79,14 +79,26 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
+def anchor_counts(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, n) of the chunks of (k, text), added up within each Arrow batch before anything is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            found = [chunks_of(words, window, gram)[0] for _, words in documents_of(batch.column(1))]
+            value, n = np.unique(_joined(found), return_counts=True)
+            yield _longs(value, n, names=["anchor", "n"])
+
+    return texts.mapInArrow(run, "anchor long, n long")
+
+
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k, anchor) of every chunk of (k, text)."""
+    """(k, anchor) of (k, text), each fingerprint once for a document."""
 
     def run(batches):
         for batch in batches:
             k, keys, found = batch.column(0).to_numpy(), [], []
             for row, words in documents_of(batch.column(1)):
-                a, _, _ = chunks_of(words, window, gram)
+                a = np.unique(chunks_of(words, window, gram)[0])
                 keys.append(np.full(len(a), k[row]))
                 found.append(a)
             yield _longs(_joined(keys), _joined(found), names=["k", "anchor"])
@@ -111,8 +123,9 @@ class FingerprintIndex:
         return self.spark.read.schema("anchor long, n long").parquet(path)
 
     def add(self, found: DataFrame) -> None:
-        """One more run from a batch's fingerprints (column ``anchor``)."""
-        self._write(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")))
+        """One more run from a batch's fingerprints (anchor, and n where they are counted already)."""
+        n = F.sum("n") if "n" in found.columns else F.count(F.lit(1))
+        self._write(found.groupBy("anchor").agg(n.alias("n")))
         if len(self.runs) > self.fanout:
             self.compact()
 
@@ -181,7 +194,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
     texts = docs.select(F.xxhash64(whole).alias("k"), whole.alias("text"))
     index = index or FingerprintIndex(spark)
     for i in range(batches):
-        index.add(anchors(texts.where(F.pmod(F.shiftright("k", 8), F.lit(batches)) == i) if batches > 1 else texts, window, gram))
+        index.add(anchor_counts(texts.where(F.pmod(F.shiftright("k", 8), F.lit(batches)) == i) if batches > 1 else texts, window, gram))
     again = index.repeated()
     cands = anchors(texts, window, gram).join(again, "anchor", "left_semi").distinct()
     cands = cands.groupBy("k").agg(F.collect_list("anchor").alias("cands"))
@@ -236,14 +249,15 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
 
     def chunk_rows(batches):
         for b in batches:
-            k, out = b.column("k").to_numpy(), ([], [], [])
+            k, out = b.column("k").to_numpy(), ([], [], [], [])
             for row, _, a, _, _, h in opened(b):
-                for o, v in zip(out, (np.full(len(a), k[row]).view(np.uint64), a, h), strict=True):
+                _, first, n = np.unique(h, return_index=True, return_counts=True)  # a chunk's hash covers its fingerprint
+                for o, v in zip(out, (np.full(len(n), k[row]).view(np.uint64), a[first], h[first], n), strict=True):
                     o.append(v)
-            yield _longs(*map(_joined, out), names=["k", "anchor", "chunk"])
+            yield _longs(*map(_joined, out), names=["k", "anchor", "chunk", "n"])
 
-    chunks = open_.select("k", "packed", "cands").mapInArrow(chunk_rows, "k long, anchor long, chunk long")
-    variants = stored(chunks.groupBy("anchor", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")), "chunks")
+    chunks = open_.select("k", "packed", "cands").mapInArrow(chunk_rows, "k long, anchor long, chunk long, n long")
+    variants = stored(chunks.groupBy("anchor", "chunk").agg(F.sum("n").alias("n"), F.min("k").alias("k")), "chunks")
     copied = chunks.join(variants.where("n > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi").select("k", "chunk").distinct()
     copied = copied.groupBy("k").agg(F.collect_list("chunk").alias("copied"))
     # fingerprints with a chunk seen once beside other chunks: their windows are compared one by one
