@@ -124,7 +124,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, separators: bytes = SPACE, lower: bool = False, most: int = 2_000_000) -> Iterator[Slice]:
+def slices(column: pa.Array, separators: bytes = SPACE, lower: bool = False, most: int = 500_000) -> Iterator[Slice]:
     """The documents of a column in slices of about ``most`` bytes; a longer document has a slice of its own."""
     data, offsets = text_bytes(column)
     table, n, i = fold_table(separators, lower), len(offsets) - 1, 0
