@@ -248,3 +248,29 @@ def pit_violations(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 def provenance(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.min("session").alias("first_session"), F.max("session").alias("last_session"), F.countDistinct("session").alias("n_sessions"))
+
+
+def lead_lag(features: DataFrame, k: int = 1) -> DataFrame:
+    """The market's last move and changes of breadth and dispersion along the decisions, and what a symbol has not followed.
+
+    The series of decisions has one row a decision: an aggregate, joined back by decision."""
+    x = F.col("ret_1")
+    d = features.groupBy("session", "slot").agg(F.max(F.when(F.col("symbol") == BENCHMARK, x)).alias("m"), F.avg(F.when(F.col("symbol") != BENCHMARK, (x > 0).cast("double"))).alias("b"), F.stddev_samp(F.when(F.col("symbol") != BENCHMARK, x)).alias("s"))
+    w = Window.orderBy("session", "slot")
+    d = d.select("session", "slot", F.lag("m", k).over(w).alias("lag_market"), (F.lag("b", k).over(w) - F.lag("b", k + 1).over(w)).alias("lag_breadth_change"), (F.lag("s", k).over(w) - F.lag("s", k + 1).over(w)).alias("lag_dispersion_change"))
+    out = features.join(d, ["session", "slot"])
+    return out.select("symbol", "session", "slot", "lag_market", "lag_breadth_change", "lag_dispersion_change", (F.col("lag_market") - F.lag("ret_1", k).over(Y())).alias("unreacted"))
+
+
+def volatility_acceleration(bars: DataFrame, n: int = 4) -> DataFrame:
+    """Deviation of the last half of a window over that of the whole, less 1."""
+    out = segments(bars).withColumn("r", div("c", F.lag("c").over(S())) - 1)
+    w, half = trailing(S(), n), trailing(S(), n // 2)
+    r = F.col("r")
+    return out.select("symbol", "session", "slot", (div(enough(r, half, n // 2, F.stddev_samp(r).over(half)), enough(r, w, n, F.stddev_samp(r).over(w))) - 1).alias("vol_accel"))
+
+
+def checkpoints(bars: DataFrame, slots: tuple[int, ...] = (2, 5, 8)) -> DataFrame:
+    """Per session: the vwap of the bar that ends at each checkpoint, and volumes of the first and last quarter."""
+    at = [F.max(F.when(F.col("slot") == s, F.col("vwap"))).alias(f"vwap_{s}") for s in slots]
+    return bars.groupBy("symbol", "session").agg(*at, F.sum(F.when(F.col("slot") < 3, F.col("v"))).alias("first_volume"), F.sum(F.when(F.col("slot") >= 9, F.col("v"))).alias("last_volume"), F.max("v").alias("largest_volume"))

@@ -223,3 +223,15 @@ def historical_folds(pairs: DataFrame, cut: str, q: int = 4) -> DataFrame:
     edges = pairs.where(F.col("session") < cut).groupBy(*PAIR).agg(F.percentile("x", F.array(*[F.lit(i / q) for i in range(1, q)])).alias("edges"))
     later = pairs.where(F.col("session") >= cut).join(F.broadcast(edges), PAIR)
     return later.withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("x")))).groupBy(*PAIR, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y"))
+
+
+def regimes(pairs: DataFrame, context: DataFrame, column: str) -> DataFrame:
+    """Pair statistics by a label of the decision; ``context`` has one row a decision."""
+    return pairs.join(context, ["session", "slot"], "left").withColumn(column, F.coalesce(F.col(column), F.lit("unknown"))).groupBy(*PAIR, column).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y"), F.regr_slope("y", "x").alias("slope"))
+
+
+def against_parents(screen: DataFrame, child: str, parents: list[str]) -> DataFrame:
+    """A composed feature's spread against the better of its parents', by target."""
+    best = screen.where(F.col("feature").isin(*parents)).groupBy("target").agg(F.max(F.abs("spread")).alias("best_parent"))
+    own = screen.where(F.col("feature") == child).select("target", F.abs("spread").alias("own"))
+    return own.join(best, "target").select("target", "own", "best_parent", (F.col("own") - F.col("best_parent")).alias("increment"), div(F.col("own"), F.col("best_parent")).alias("ratio"))

@@ -111,3 +111,7 @@ R.add("eligibility", "symbol session eligible", "n", "", lambda s, d: bars(s, d)
 R.add("pit_validation_counts", "", "n_rows entry_before_decision bad_price bad_volume target_without_entry", "", lambda s, d: op.pit_violations(feats(s, d), targets(s, d)), f"{ALL}\nselect count(*) as n_rows, count(*) filter (entry_slot <= slot) as entry_before_decision, count(*) filter (c <= 0) as bad_price, count(*) filter (v < 0) as bad_volume, count(*) filter (entry_slot is null and fwd_1 is not null) as target_without_entry from feat left join tgt using (symbol, session, slot)")
 R.add("holdout_guard", "last_seen", "sealed_rows", "", lambda s, d: op.holdout_guard(bars(s, d), "session", "2100-01-01"), f"{B}\nselect count(*) filter (session >= '2100-01-01') as sealed_rows, max(session) as last_seen from bars")
 R.add("source_provenance", "symbol first_session last_session", "n_rows n_sessions", "", lambda s, d: op.provenance(bars(s, d), "symbol"), f"{B}\nselect symbol, count(*) as n_rows, min(session) as first_session, max(session) as last_session, count(distinct session) as n_sessions from bars group by symbol")
+LL = "ld as (select session, slot, max(ret_1) filter (symbol = 'S0') as m, avg((ret_1 > 0)::int) filter (symbol <> 'S0') as b, stddev_samp(ret_1) filter (symbol <> 'S0') as sd from feat group by all), ll as (select session, slot, lag(m) over w as lag_market, lag(b) over w - lag(b, 2) over w as lag_breadth_change, lag(sd) over w - lag(sd, 2) over w as lag_dispersion_change from ld window w as (order by session, slot))"
+R.add("lead_lag", K, "", "lag_market lag_breadth_change lag_dispersion_change unreacted", lambda s, d: op.lead_lag(feats(s, d)), f"{B}, {op.BASE_SQL}, {LL}\nselect symbol, session, slot, lag_market, lag_breadth_change, lag_dispersion_change, lag_market - lag(ret_1) over (partition by symbol order by session, slot) as unreacted from feat join ll using (session, slot)")
+R.add("acceleration", K, "", "vol_accel", lambda s, d: op.volatility_acceleration(bars(s, d)), f"{B}, {op.BASE_SQL}\nselect symbol, session, slot, case when count(ret_1) over f >= 2 then stddev_samp(ret_1) over f end / nullif(case when count(ret_1) over w >= 4 then stddev_samp(ret_1) over w end, 0) - 1 as vol_accel from seg1 window w as (partition by symbol, session, seg order by slot rows between 3 preceding and current row), f as (partition by symbol, session, seg order by slot rows between 1 preceding and current row)")
+R.add("checkpoint_vwap", "symbol session", "first_volume last_volume largest_volume", "vwap_2 vwap_5 vwap_8", lambda s, d: op.checkpoints(bars(s, d)), f"{B}\nselect symbol, session, max(vwap) filter (slot = 2) as vwap_2, max(vwap) filter (slot = 5) as vwap_5, max(vwap) filter (slot = 8) as vwap_8, sum(v) filter (slot < 3) as first_volume, sum(v) filter (slot >= 9) as last_volume, max(v) as largest_volume from bars group by symbol, session")

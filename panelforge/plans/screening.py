@@ -94,3 +94,11 @@ for name, longs, doubles in (("dual_intersection", "joint", ""), ("dual_gated_an
 R.add("pair_coverage_corr", "a b", "n", "corr", lambda s, d: dual.parent_correlation(feats(s, d), op.FEATURES), f"{ALL}, fx as (select symbol, session, slot, unnest(['ret_1', 'vol_3', 'range_pos_3', 'rel_vol_3']) as f, unnest([ret_1, vol_3, range_pos_3, rel_vol_3]) as x from feat)\nselect a.f as a, b.f as b, count(*) as n, covar_pop(a.x, b.x) / nullif(sqrt(var_pop(a.x) * var_pop(b.x)), 0) as corr from fx a join fx b using (symbol, session, slot) where a.f < b.f and a.x is not null and b.x is not null group by all")
 R.add("parent_scores", "feature", "place", "score", lambda s, d: op.finalised(screen(s, d)).groupBy("feature").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "feature"))), f"{SCR}, ps as (select feature, max(score) as score from fin group by all)\nselect *, row_number() over (order by score desc, feature) as place from ps")
 R.add("systematic_fdr", P, "", "fdr", lambda s, d: op.bh(screen(s, d), "p", ["target"], "fdr"), f"{SCR}, sf as (select feature, target, p, p * count(*) over (partition by target) / row_number() over (partition by target order by p, feature) as q from scr)\nselect feature, target, least(1, min(q) over (partition by target order by p, feature rows between current row and unbounded following)) as fdr from sf")
+
+
+def market_context(s, d):
+    return feats(s, d).where("symbol = 'S0' and ret_1 is not null").select("session", "slot", F.when(F.col("ret_1") > 0, "up").otherwise("down").alias("market"))
+
+
+R.add("regime_table", f"{P} market", "n", "mean_y slope", lambda s, d: op.regimes(pairs(s, d), market_context(s, d), "market"), f"{LONG}, mc as (select session, slot, case when ret_1 > 0 then 'up' else 'down' end as market from feat where symbol = 'S0' and ret_1 is not null)\nselect feature, target, coalesce(market, 'unknown') as market, count(*) as n, avg(y) as mean_y, regr_slope(y, x) as slope from p left join mc using (session, slot) group by all")
+R.add("parent_comparison", "target", "", "own best_parent increment ratio", lambda s, d: op.against_parents(op.decile_spread(pairs(s, d)), "range_pos_3", ["ret_1", "vol_3"]), f"{DS}, pc as (select target, max(abs(spread)) filter (feature = 'range_pos_3') as own, max(abs(spread)) filter (feature in ('ret_1', 'vol_3')) as best_parent from ds group by target)\nselect *, own - best_parent as increment, own / nullif(best_parent, 0) as ratio from pc")
