@@ -169,3 +169,84 @@ def neighbours(profile: DataFrame, effect: str = "effect", least: float = 0.5) -
     e = F.col(effect)
     keep = lambda other: F.when(other.isNotNull(), (div(other, e) >= least).cast("int"))
     return profile.select("horizon", effect, keep(F.lag(effect).over(w)).alias("before"), keep(F.lead(effect).over(w)).alias("after"))
+
+
+def return_components(panel: DataFrame, n: int = 6) -> DataFrame:
+    """Overnight and regular parts of the n-session return, the return that ends a session earlier, and its risk forms."""
+    prior = F.lag("c").over(W())
+    p = returns(panel).withColumn("night", div("o", prior) - 1).withColumn("day", div("c", "o") - 1)
+    w, half = trailing(W(), n), max(n // 2, 1)
+    grown = lambda x: enough(F.col(x), w, n, F.expm1(F.sum(F.log1p(x)).over(w)))
+    down = F.col("ret").isNotNull().cast("int") * F.pow(F.least("ret", F.lit(0.0)), F.lit(2.0))
+    p = p.withColumn("vol", enough(F.col("ret"), w, n, F.stddev_pop("ret").over(w)))
+    ago = lambda k: F.lag("c", k).over(W())
+    return p.select(
+        "security", "session", grown("night").alias("overnight_n"), grown("day").alias("regular_n"), (grown("night") - grown("day")).alias("overnight_minus_regular"),
+        enough(F.col("night"), w, n, F.avg((F.col("night") > 0).cast("double")).over(w)).alias("positive_overnight"),
+        enough(F.col("ret"), W().rowsBetween(-n, -1), n, div(ago(1), ago(n + 1)) - 1).alias("return_skip1"),
+        div(enough(F.col("ret"), w, n, div("c", ago(n)) - 1), F.lag("vol").over(W())).alias("vol_scaled"),
+        enough(F.col("ret"), w, max(3, int(0.75 * n)), F.sqrt(F.avg(F.when(F.col("ret").isNotNull(), down)).over(w))).alias("downside_vol"),
+        ((div("c", ago(half)) - 1) - (div(ago(half), ago(2 * half)) - 1)).alias("acceleration"),
+    )
+
+
+def flow_features(panel: DataFrame, n: int = 6) -> DataFrame:
+    """What prices moved for the money that moved them: illiquidity, volume trend, volume of rising and falling sessions."""
+    p, w, before = returns(panel), trailing(W(), n), W().rowsBetween(-n, -1)
+    ret, v = F.col("ret"), F.col("v")
+    p = p.withColumn("impact", div(F.abs(ret), F.col("dollars"))).withColumn("both", F.when(ret.isNotNull(), v)).withColumn("range", div(F.col("h") - F.col("l"), F.col("c")))
+    share = lambda test: enough(F.col("both"), w, n, div(F.sum(F.when(test, F.col("both")).otherwise(0.0)).over(w), F.sum("both").over(w)))
+    spread = F.stddev_pop("dollars").over(before)
+    return p.select(
+        "security", "session", enough(F.col("impact"), w, n, F.avg("impact").over(w) * 1e6).alias("amihud_millions"), (enough(v, before, n, div(v, F.avg(v).over(before))) - 1).alias("volume_trend"),
+        share(ret > 0).alias("up_volume_share"), share(ret < 0).alias("down_volume_share"),
+        enough(F.col("dollars"), before, n, div(F.col("dollars") - F.avg("dollars").over(before), spread)).alias("dollar_z"),
+        enough(F.col("range"), before, max(3, int(0.75 * n)), div("range", F.avg("range").over(before))).alias("range_shock"),
+    )
+
+
+def risk_features(panel: DataFrame, n: int = 12, least: int = 8) -> DataFrame:
+    """Correlation with the equal-weighted market, beta over the falling sessions before, and shocks against earlier ones."""
+    p = returns(panel).withColumn("m", F.avg("ret").over(Window.partitionBy("session"))).withColumn("gap", div("o", F.lag("c").over(W())) - 1)
+    w, before = trailing(W(), n), W().rowsBetween(-n, -1)
+    both = F.col("ret").isNotNull() & F.col("m").isNotNull()
+    p = p.withColumn("y", F.when(both, F.col("ret"))).withColumn("x", F.when(both, F.col("m")))
+    p = p.withColumn("fy", F.when(F.col("x") < 0, F.col("y"))).withColumn("fx", F.when(F.col("x") < 0, F.col("x")))
+    spread = F.sqrt(F.var_pop("x").over(w) * F.var_pop("y").over(w))
+    falling = F.when(F.var_pop("fx").over(before) > 1e-12, F.covar_pop("fy", "fx").over(before) / F.var_pop("fx").over(before))
+    return p.select(
+        "security", "session", enough(F.col("y"), w, least, div(F.covar_pop("y", "x").over(w), spread)).alias("market_correlation"), enough(F.col("fy"), before, max(3, least // 2), falling).alias("downside_beta"),
+        enough(F.col("gap"), before, least, div("gap", F.stddev_pop("gap").over(before))).alias("gap_shock"),
+        enough(F.col("ret"), before, least, div(F.col("y") - F.col("x"), F.stddev_pop("ret").over(before))).alias("residual_shock"),
+    )
+
+
+TESTS = ("ic", "top_bottom", "top_middle", "middle_bottom")
+
+
+def pair_tests(series: DataFrame, feature: str, target: str) -> DataFrame:
+    """The daily series of a pair as one hypothesis a test: dates, effect and t of the mean."""
+    values = F.array(*[F.struct(F.lit(t).alias("test_type"), F.col(t).alias("e")) for t in TESTS])
+    rows = series.select(F.explode(values).alias("v")).select("v.*").where("e is not null")
+    out = rows.groupBy("test_type").agg(F.count(F.lit(1)).alias("valid_dates"), F.avg("e").alias("effect"), div(F.avg("e"), F.stddev_samp("e") / F.sqrt(F.count(F.lit(1)))).alias("t"))
+    return out.select(F.lit(feature).alias("feature"), F.lit(target).alias("target"), "test_type", "valid_dates", "effect", "t")
+
+
+def horizon_shape(profile: DataFrame, by: list[str], effect: str = "effect") -> DataFrame:
+    """Peak of a profile over horizons, what its neighbours keep of it, sign changes and the area under it."""
+    w = Window.partitionBy(*by).orderBy("horizon")
+    e, h = F.col(effect), F.col("horizon")
+    p = profile.withColumn("e0", F.lag(e).over(w)).withColumn("e1", F.lead(e).over(w)).withColumn("h0", F.lag(h).over(w))
+    area = F.sum((e + F.col("e0")) / 2 * (h - F.col("h0")))
+    flips = F.count_if(F.signum(e) != F.signum("e0"))
+    top = F.max_by(F.struct(h.alias("h"), e.alias("e"), "e0", "e1"), F.struct(F.abs(e), -h))
+    out = p.where(e.isNotNull()).groupBy(*by).agg(top.alias("p"), area.alias("area"), flips.alias("sign_changes"))
+    kept = F.signum("p.e") * F.greatest(F.signum("p.e") * F.col("p.e0"), F.signum("p.e") * F.col("p.e1")) / F.col("p.e")
+    return out.select(*by, F.col("p.h").alias("peak_horizon"), F.col("p.e").alias("peak_effect"), kept.alias("retention"), "sign_changes", "area")
+
+
+def cost_sensitivity(spreads: DataFrame, turnovers: DataFrame, costs: tuple = (1.0, 3.0, 5.0)) -> DataFrame:
+    """Mean spread after a cost a side is paid on what turns over; sessions without turnover pay nothing."""
+    rows = spreads.join(turnovers, "session", "left").withColumn("bps", F.explode(F.array(*[F.lit(c) for c in costs])))
+    paid = 2 * F.col("bps") / 1e4 * F.coalesce("turnover", F.lit(0.0))
+    return rows.where("spread is not null").groupBy("bps").agg(F.count(F.lit(1)).alias("n"), F.avg("spread").alias("gross"), F.avg(F.col("spread") - paid).alias("net"))

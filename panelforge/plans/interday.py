@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from panelforge.operators import interday as op
+from panelforge.operators import selection
+from panelforge.operators.screening import arithmetic_p
 from panelforge.sources import views as v
 
 from .registry import Registry
@@ -83,3 +85,49 @@ def profile(p):
 HZ = "hz as (" + " union all ".join(f"select {k} as horizon, avg(x) as effect from (select case when c is not null then lead(c, {k}) over w / lead(o) over w - 1 end as x from daily window w as ({BY}))" for k in range(1, 6)) + ")"
 q("horizon_profile", "", "effect", profile, f", {HZ}\nselect * from hz", keys="horizon")
 q("neighbor_support", "before after", "effect", lambda p: op.neighbours(profile(p)), f", {HZ}\nselect horizon, effect, (lag(effect) over w / effect >= 0.5)::int as before, (lead(effect) over w / effect >= 0.5)::int as after from hz window w as (order by horizon)", keys="horizon")
+
+FULL = f"w as ({BY} rows between 5 preceding and current row), b as ({BY} rows between 6 preceding and 1 preceding), s as ({BY})"
+q(
+    "return_components", "", "overnight_n regular_n overnight_minus_regular positive_overnight return_skip1 vol_scaled downside_vol acceleration", op.return_components,
+    f""", rc0 as (select *, o / lag(c) over ({BY}) - 1 as night, c / o - 1 as day from dr), rc1 as (select *, case when count(ret) over w >= 6 then stddev_pop(ret) over w end as vol,
+case when count(night) over w >= 6 then exp(sum(ln(1 + night)) over w) - 1 end as overnight_n, case when count(day) over w >= 6 then exp(sum(ln(1 + day)) over w) - 1 end as regular_n, case when count(night) over w >= 6 then avg((night > 0)::int) over w end as positive_overnight,
+case when count(ret) over b >= 6 then lag(c) over s / lag(c, 7) over s - 1 end as return_skip1, case when count(ret) over w >= 6 then c / lag(c, 6) over s - 1 end as ret_n, case when count(ret) over w >= 4 then sqrt(avg(pow(case when ret < 0 then ret when ret >= 0 then 0 end, 2)) over w) end as downside_vol,
+c / lag(c, 3) over s - lag(c, 3) over s / lag(c, 6) over s as acceleration from rc0 window {FULL})
+select *, overnight_n - regular_n as overnight_minus_regular, ret_n / nullif(lag(vol) over ({BY}), 0) as vol_scaled from rc1""",
+)
+q(
+    "flow_features", "", "amihud_millions volume_trend up_volume_share down_volume_share dollar_z range_shock", op.flow_features,
+    f""", fl as (select *, abs(ret) / nullif(dollars, 0) as impact, case when ret is not null then v end as bv, (h - l) / nullif(c, 0) as rg from dr)
+select security, session, case when count(impact) over w >= 6 then avg(impact) over w * 1e6 end as amihud_millions, case when count(v) over b >= 6 then v / nullif(avg(v) over b, 0) - 1 end as volume_trend, case when count(bv) over w >= 6 then sum(case when ret > 0 then bv else 0 end) over w / nullif(sum(bv) over w, 0) end as up_volume_share, case when count(bv) over w >= 6 then sum(case when ret < 0 then bv else 0 end) over w / nullif(sum(bv) over w, 0) end as down_volume_share, case when count(dollars) over b >= 6 then (dollars - avg(dollars) over b) / nullif(stddev_pop(dollars) over b, 0) end as dollar_z, case when count(rg) over b >= 4 then rg / nullif(avg(rg) over b, 0) end as range_shock from fl window {FULL}""",
+)
+q(
+    "risk_features", "", "market_correlation downside_beta gap_shock residual_shock", op.risk_features,
+    f""", rk0 as (select *, avg(ret) over (partition by session) as m, o / lag(c) over ({BY}) - 1 as gap from dr), rk1 as (select *, ret as y, case when ret is not null then m end as x from rk0), rk as (select *, case when x < 0 then y end as fy, case when x < 0 then x end as fx from rk1)
+select security, session, case when count(y) over w >= 8 then covar_pop(y, x) over w / nullif(sqrt(var_pop(x) over w * var_pop(y) over w), 0) end as market_correlation, case when count(fy) over b >= 4 then case when var_pop(fx) over b > 1e-12 then covar_pop(fy, fx) over b / var_pop(fx) over b end end as downside_beta, case when count(gap) over b >= 8 then gap / nullif(stddev_pop(gap) over b, 0) end as gap_shock, case when count(ret) over b >= 8 then (y - x) / nullif(stddev_pop(ret) over b, 0) end as residual_shock from rk window w as ({BY} rows between 11 preceding and current row), b as ({BY} rows between 12 preceding and 1 preceding)""",
+)
+
+
+def tested(p):
+    """Hypotheses of one pair with the p-like number of their t, their rates and whether they pass small gates."""
+    series = op.daily_pairs(ranked(p), op.targets(p))
+    rows = op.pair_tests(series, "ret", "target_3").withColumn("raw_p", arithmetic_p(F.col("t"))).withColumn("fdr_family", F.lit("all")).withColumn("feature_family", F.when(F.col("test_type") == "ic", "rank").otherwise("spread"))
+    rows = selection.interday_fdr(rows).withColumn("test_type", F.when(F.col("test_type") == "ic", "rank_ic").otherwise(F.col("test_type")))
+    rows = rows.withColumn("horizon", F.lit(3)).withColumn("distinct_symbols", F.lit(50)).withColumn("neighbor_supported", F.lit(True))
+    return selection.interday_gates(rows, fdr=0.9, ic_dates=20, decile_dates=20)
+
+
+TS = """ts0 as (select unnest(['rank_ic', 'top_bottom', 'top_middle', 'middle_bottom']) as test_type, unnest([ic, top_bottom, top_middle, middle_bottom]) as e from dp), ts1 as (select test_type, count(*) as valid_dates, avg(e) as effect, avg(e) / nullif(stddev_samp(e) / sqrt(count(*)), 0) as t from ts0 where e is not null group by test_type),
+ts2 as (select *, 1 / (1 + t * t) as raw_p, test_type = 'rank_ic' as fam from ts1), ts3 as (select *, raw_p * count(*) over () / row_number() over (order by raw_p, test_type) as q1, raw_p * count(*) over (partition by fam) / row_number() over (partition by fam order by raw_p, test_type) as q2 from ts2),
+ts as (select *, least(1, min(q1) over (order by raw_p, test_type rows between current row and unbounded following)) as global_fdr, least(1, min(q2) over (partition by fam order by raw_p, test_type rows between current row and unbounded following)) as feature_family_fdr from ts3)"""
+q("interday_fdr", "valid_dates", "effect raw_p global_fdr feature_family_fdr", tested, f", {DP}, {TS}\nselect * from ts", keys="test_type")
+q("interday_gates", "", "effect", tested, f", {DP}, {TS}\nselect *, global_fdr <= 0.9 and valid_dates >= 20 and abs(effect) >= case when test_type = 'rank_ic' then 0.01 else 12.0::double / 1e4 end as passes from ts", keys="test_type passes")
+q(
+    "horizon_shape", "peak_horizon sign_changes", "peak_effect retention area", lambda p: op.horizon_shape(profile(p).withColumn("one", F.lit(1)), ["one"]),
+    f""", {HZ}, hs0 as (select *, lag(effect) over (order by horizon) as e0, lead(effect) over (order by horizon) as e1, lag(horizon) over (order by horizon) as h0 from hz), hs1 as (select sum((effect + e0) / 2 * (horizon - h0)) as area, count(*) filter (sign(effect) <> sign(e0)) as sign_changes from hs0), hs2 as (select horizon as peak_horizon, effect as peak_effect, greatest(sign(effect) * e0, sign(effect) * e1) / abs(effect) as retention from hs0 order by abs(effect) desc, horizon limit 1)
+select * from hs2 cross join hs1""", keys="",
+)
+q(
+    "cost_sensitivity", "n", "bps gross net", lambda p: op.cost_sensitivity(op.daily_pairs(ranked(p), op.targets(p)).select("session", F.col("top_bottom").alias("spread")), op.turnover(ranked(p), p)),
+    f""", {DP}, tw as (select security, session, 1.0::double / count(*) over (partition by session) as w from rb where decile = 9), tv as (select d.session, abs(coalesce(w, 0) - lag(coalesce(w, 0)) over (partition by d.security order by d.t)) as m from daily d left join tw using (security, session)), to2 as (select session, sum(m) / 2 as turnover from tv group by session)
+select bps, count(*) as n, avg(top_bottom) as gross, avg(top_bottom - 2 * bps / 1e4 * coalesce(turnover, 0)) as net from dp left join to2 using (session) cross join (select unnest([1.0::double, 3.0::double, 5.0::double]) as bps) where top_bottom is not null group by bps""", keys="",
+)
