@@ -221,7 +221,7 @@ def by_label(pairs: DataFrame, label: Column, name: str) -> DataFrame:
 def historical_folds(pairs: DataFrame, cut: str, q: int = 4) -> DataFrame:
     """Bins of later rows by the quantile edges of earlier rows only."""
     edges = pairs.where(F.col("session") < cut).groupBy(*PAIR).agg(F.percentile("x", F.array(*[F.lit(i / q) for i in range(1, q)])).alias("edges"))
-    later = pairs.where(F.col("session") >= cut).join(F.broadcast(edges), PAIR)
+    later = pairs.where(F.col("session") >= cut).join(edges, PAIR)
     return later.withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("x")))).groupBy(*PAIR, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y"))
 
 

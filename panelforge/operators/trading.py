@@ -86,3 +86,79 @@ def overlap(sets: DataFrame, name: str, key: str) -> DataFrame:
     both = d.alias("a").join(d.alias("b"), key).where(F.col(f"a.{name}") < F.col(f"b.{name}")).groupBy(F.col(f"a.{name}").alias("a"), F.col(f"b.{name}").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     both = both.join(size.withColumnRenamed(name, "a").withColumnRenamed("n", "na"), "a").join(size.withColumnRenamed(name, "b").withColumnRenamed("n", "nb"), "b")
     return both.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
+def balanced(rows: DataFrame, most: int, by: tuple[str, ...] = ("session",), cohort: int = 1) -> DataFrame:
+    """Equally many orders on both sides of a decision, the strongest first (equal ones by symbol); weights of a side sum to
+    a half, shared by ``cohort`` overlapping holdings."""
+    side = Window.partitionBy(*by, "side").orderBy(F.abs("signal").desc(), "symbol")
+    r = rows.withColumn("place", F.row_number().over(side)).where(F.col("place") <= most)
+    part = Window.partitionBy(*by)
+    keep = F.least(F.count_if(F.col("side") == 1).over(part), F.count_if(F.col("side") == -1).over(part))
+    return r.withColumn("keep", keep).where(F.col("place") <= F.col("keep")).withColumn("weight", F.col("side") * 0.5 / F.col("keep") / cohort)
+
+
+def thresholds(rows: DataFrame, until: str, q: float, by: tuple[str, ...] = ("slot",)) -> DataFrame:
+    """The quantile of absolute signals over sessions before ``until`` alone."""
+    return rows.where(F.col("session") < until).groupBy(*by).agg(F.percentile(F.abs("signal"), F.lit(q)).alias("threshold"), F.count(F.lit(1)).alias("train_rows"))
+
+
+def extreme(rows: DataFrame, until: str, q: float, most: int = 3, by: tuple[str, ...] = ("slot",)) -> DataFrame:
+    """Orders in the signal's direction where it reaches a threshold that was frozen on the sessions before ``until``."""
+    strong = rows.join(thresholds(rows, until, q, by), list(by)).where((F.abs("signal") >= F.col("threshold")) & (F.col("threshold") > 0))
+    return balanced(strong.withColumn("side", F.signum("signal").cast("int")), most, ("session", *by))
+
+
+def market_fill(orders: DataFrame, quotes: DataFrame, h: int) -> DataFrame:
+    """Crosses the spread at the decision and again exactly ``h`` steps later: a join of the quotes with themselves, shifted."""
+    now = quotes.select("symbol", "session", F.col("at").alias("slot"), "bid", "ask")
+    later = quotes.select("symbol", "session", (F.col("at") - h).alias("slot"), F.col("bid").alias("bid_later"), F.col("ask").alias("ask_later"))
+    met = orders.join(now, ["symbol", "session", "slot"]).join(later, ["symbol", "session", "slot"], "left")
+    raw = F.when(F.col("side") == 1, div("bid_later", "ask") - 1).otherwise(div("bid", "ask_later") - 1)
+    return met.withColumn("raw", raw)
+
+
+def refinements(fills: DataFrame, masks: dict) -> DataFrame:
+    """Fills under each named mask: one pass that gives a row once for every mask it meets."""
+    met = F.array(*[F.when(test, F.lit(name)) for name, test in masks.items()])
+    return fills.withColumn("filter", F.explode(met)).where("filter is not null")
+
+
+def period_stats(net: DataFrame, periods: dict[str, tuple[str, str]]) -> DataFrame:
+    """Compounded return, drawdown against a peak that starts at 1, and yearly Sharpe ratio, by cost and period; periods may overlap."""
+    inside = F.array(*[F.when(F.col("session").between(a, b), F.lit(name)) for name, (a, b) in periods.items()])
+    rows = net.withColumn("period", F.explode(inside)).where("period is not null")
+    w = Window.partitionBy("bps", "period").orderBy("session").rowsBetween(PRECEDING, 0)
+    rows = rows.withColumn("equity", F.product(1 + F.col("net")).over(w))
+    rows = rows.withColumn("dd", F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1)
+    return rows.groupBy("bps", "period").agg(F.count(F.lit(1)).alias("n"), (F.max_by("equity", "session") - 1).alias("total"), F.min("dd").alias("max_drawdown"), (F.sqrt(F.lit(252.0)) * div(F.avg("net"), F.stddev_samp("net"))).alias("sharpe"))
+
+
+def leveraged(net: DataFrame, levels: tuple = (1.0, 2.0, 4.0)) -> DataFrame:
+    """The same net series held several times over; ``bps`` names the cost, ``leverage`` the level."""
+    return net.withColumn("leverage", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("net", F.col("net") * F.col("leverage"))
+
+
+def path_metrics(entries: DataFrame, bars: DataFrame) -> DataFrame:
+    """Best and worst return on the way from an entry price to the session's end, when they came first, and what the end
+    gave back of the best."""
+    path = entries.select("symbol", "session", F.col("slot").alias("from"), "entry").join(bars.select("symbol", "session", "slot", "c"), ["symbol", "session"]).where(F.col("slot") > F.col("from"))
+    r = path.withColumn("r", div("c", "entry") - 1)
+    out = r.groupBy("symbol", "session", "from").agg(F.max("r").alias("mfe"), F.min("r").alias("mae"), F.max_by("slot", F.struct("r", -F.col("slot"))).alias("mfe_slot"), F.min_by("slot", F.struct("r", "slot")).alias("mae_slot"), F.max_by("r", "slot").alias("terminal"))
+    return out.withColumn("giveback", F.col("mfe") - F.col("terminal"))
+
+
+def best_variant(rows: DataFrame, mechanism: str, variant: str) -> DataFrame:
+    """Of each mechanism the variant that passes its gate and has the highest quality; ``rows``: total, stress, max_drawdown,
+    positive_periods, worst_period. Equal ones by variant."""
+    gate = (F.col("total") > 0) & (F.col("stress") >= -0.002) & (F.col("positive_periods") >= 2) & (F.col("max_drawdown") >= -0.05)
+    r = rows.withColumn("gate", F.coalesce(gate, F.lit(False))).withColumn("quality", F.col("total") / (F.abs("max_drawdown") + 0.0025) + F.col("worst_period"))
+    place = F.row_number().over(Window.partitionBy(mechanism).orderBy(F.desc("gate"), F.desc_nulls_last("quality"), variant))
+    return r.withColumn("place", place).where("place = 1").withColumn("status", F.when(F.col("gate"), "execution_qualified_discovery").otherwise("rejected"))
+
+
+def most_frequent(rows: DataFrame, column: str, k: int = 20) -> DataFrame:
+    """A JSON object of the k most frequent values and their counts, equal counts by value."""
+    top = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(column).cast("string").alias("v"))))
+    return top.agg(F.to_json(F.map_from_entries(F.transform(listed, lambda e: F.struct(e["v"], -e["m"])))).alias("counts"))

@@ -67,3 +67,85 @@ R.add("passive_fill", "order_id status", "side filled_at", "limit_price", lambda
 R.add("overlap_jaccard", "a b", "shared", "jaccard", lambda s, d: op.overlap(op.select_quantile(signals(s, d)).select(F.col("symbol"), F.col("session")), "symbol", "session"),
       f"{OQ}, sz as (select symbol, count(*) as n from od group by symbol), bo as (select x.symbol as a, y.symbol as b, count(*) as shared from od x join od y on x.session = y.session and x.symbol < y.symbol group by all)\nselect a, b, shared, shared::double / (p.n + q.n - shared) as jaccard from bo join sz p on p.symbol = a join sz q on q.symbol = b")
 R.add("events_by_minute", "event_type", "n", "total", lambda s, d: v.read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "\nselect event_type, count(*) as n, sum(value) as total from events group by event_type")
+
+
+def slot_signals(s, d):
+    """A decision at every bar: the bar's return."""
+    return feats(s, d).where("ret_1 is not null").select("symbol", "session", "slot", F.col("ret_1").alias("signal"), "rel_vol_3", "range_pos_3")
+
+
+CUT = "2024-01-11"
+XT = f"""{ALL}, ss as (select symbol, session, slot, ret_1 as signal, rel_vol_3, range_pos_3 from feat where ret_1 is not null), th as (select slot, quantile_cont(abs(signal), 0.6) as threshold, count(*) as train_rows from ss where session < '{CUT}' group by slot),
+xo0 as (select *, sign(signal)::int as side from ss join th using (slot) where abs(signal) >= threshold and threshold > 0), xo1 as (select * from xo0 qualify row_number() over (partition by session, slot, side order by abs(signal) desc, symbol) <= 3),
+xo2 as (select *, row_number() over (partition by session, slot, side order by abs(signal) desc, symbol) as place, least(count(*) filter (side = 1) over (partition by session, slot), count(*) filter (side = -1) over (partition by session, slot)) as keep from xo1), xo as (select *, side * 0.5::double / keep as weight from xo2 where place <= keep)"""
+R.add("extreme_thresholds", "slot", "train_rows", "threshold", lambda s, d: op.thresholds(slot_signals(s, d), CUT, 0.6), f"{XT}\nselect * from th")
+R.add("balanced_orders", "symbol session slot", "side", "signal weight", lambda s, d: op.extreme(slot_signals(s, d), CUT, 0.6), f"{XT}\nselect * from xo")
+
+
+def fills(s, d):
+    return op.market_fill(op.extreme(slot_signals(s, d), CUT, 0.6), quotes(s, d), 2)
+
+
+MF = f"{XT}, qn as (select symbol, session, slot, c as bid, c * 1.0005::double as ask from bars), mf as (select xo.*, case when side = 1 then z.bid / n.ask - 1 else n.bid / z.ask - 1 end as raw from xo join qn n using (symbol, session, slot) left join qn z on z.symbol = xo.symbol and z.session = xo.session and z.slot = xo.slot + 2)"
+R.add("market_fill", "symbol session slot", "side", "raw", fills, f"{MF}\nselect * from mf")
+
+
+def masks():
+    return {"all": F.lit(True), "strong_move": F.abs("signal") >= 0.2, "high_volume": F.col("rel_vol_3") >= 1.25, "range_agree": F.col("side") * (F.col("range_pos_3") - 0.5) > 0}
+
+
+def refined(s, d):
+    """Every mask's fills, balanced again within the mask."""
+    rows = op.balanced(op.refinements(fills(s, d).where("raw is not null"), masks()), 3, ("session", "slot", "filter"))
+    return rows.groupBy("filter").agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean_raw"))
+
+
+R.add(
+    "refinement_filters", "filter", "n", "mean_raw", refined,
+    f"""{MF}, mk as (select *, unnest(list_filter(['all', case when abs(signal) >= 0.2 then 'strong_move' end, case when rel_vol_3 >= 1.25 then 'high_volume' end, case when side * (range_pos_3 - 0.5) > 0 then 'range_agree' end], lambda z: z is not null)) as filter from mf where raw is not null),
+mk1 as (select filter, side, raw, row_number() over (partition by session, slot, filter, side order by abs(signal) desc, symbol) as place, least(count(*) filter (side = 1) over (partition by session, slot, filter), count(*) filter (side = -1) over (partition by session, slot, filter)) as keep from mk)
+select filter, count(*) as n, avg(raw) as mean_raw from mk1 where place <= keep group by filter""",
+)
+
+PERIODS = {"train": ("2024-01-01", "2024-01-10"), "development": ("2024-01-11", "2024-01-20"), "recent": ("2024-01-21", "2024-01-31"), "full": ("2024-01-01", "2024-12-31")}
+SPANS = ", ".join(f"('{n}', '{a}', '{b}')" for n, (a, b) in PERIODS.items())
+PS = f"""{CG}, pr(period, a, b) as (values {SPANS}), ps0 as (select *, product(1 + net) over (partition by bps, period order by session) as equity from cg join pr on session between a and b),
+ps1 as (select *, equity / greatest(1, max(equity) over (partition by bps, period order by session)) - 1 as dd from ps0), ps as (select bps, period, count(*) as n, arg_max(equity, session) - 1 as total, min(dd) as max_drawdown, sqrt(252) * avg(net) / nullif(stddev_samp(net), 0) as sharpe from ps1 group by all)"""
+R.add("period_stats", "period", "n", "bps total max_drawdown sharpe", lambda s, d: op.period_stats(net(s, d), PERIODS), f"{PS}\nselect * from ps")
+
+
+def leverage_rows(s, d):
+    rows = op.leveraged(net(s, d).where("bps = 1")).withColumn("bps", F.col("leverage"))
+    return op.period_stats(rows, {"full": PERIODS["full"]}).withColumnRenamed("bps", "leverage")
+
+
+R.add(
+    "leverage_metrics", "", "n", "leverage total max_drawdown sharpe", leverage_rows,
+    f"""{CG}, lv0 as (select session, leverage, net * leverage as net from cg cross join (select unnest([1.0::double, 2.0::double, 4.0::double]) as leverage) where bps = 1), lv1 as (select *, product(1 + net) over (partition by leverage order by session) as equity from lv0), lv as (select *, equity / greatest(1, max(equity) over (partition by leverage order by session)) - 1 as dd from lv1)
+select leverage, count(*) as n, arg_max(equity, session) - 1 as total, min(dd) as max_drawdown, sqrt(252) * avg(net) / nullif(stddev_samp(net), 0) as sharpe from lv group by leverage""",
+)
+
+
+def entries(s, d):
+    return bars(s, d).where("slot = 5").select("symbol", "session", "slot", F.col("c").alias("entry"))
+
+
+R.add(
+    "path_metrics", "symbol session", "mfe_slot mae_slot", "mfe mae terminal giveback", lambda s, d: op.path_metrics(entries(s, d), bars(s, d)),
+    f"""{ALL}, pm as (select e.symbol, e.session, b.slot, b.c / e.c - 1 as r from bars e join bars b on b.symbol = e.symbol and b.session = e.session and b.slot > 5 where e.slot = 5)
+select symbol, session, max(r) as mfe, min(r) as mae, arg_max(slot, {{'r': r, 's': -slot}}) as mfe_slot, arg_min(slot, {{'r': r, 's': slot}}) as mae_slot, arg_max(r, slot) as terminal, max(r) - arg_max(r, slot) as giveback from pm group by all""",
+)
+
+
+def variants(s, d):
+    """Selection sizes as variants of one mechanism, judged at 1 bp and under stress at 5 bp."""
+    base, days, out = signals(s, d), bars(s, d).select("session").distinct(), []
+    for n in (1, 2, 3):
+        stats = op.period_stats(op.cost_grid(op.portfolio(op.select_top(base, n)), days), PERIODS)
+        fold, whole = (F.col("bps") == 1) & (F.col("period") != "full"), F.col("period") == "full"
+        out.append(stats.agg(F.max(F.when(whole & (F.col("bps") == 1), F.col("total"))).alias("total"), F.max(F.when(whole & (F.col("bps") == 5), F.col("total"))).alias("stress"), F.max(F.when(whole & (F.col("bps") == 1), F.col("max_drawdown"))).alias("max_drawdown"), F.count_if(fold & (F.col("total") > 0)).alias("positive_periods"), F.min(F.when(fold, F.col("total"))).alias("worst_period")).withColumn("size", F.lit(n)))
+    return op.best_variant(reduce(lambda a, b: a.unionByName(b), out).withColumn("mechanism", F.lit("continuation")), "mechanism", "size")
+
+
+R.add("best_variant", "mechanism status", "size positive_periods", "total stress max_drawdown worst_period quality", variants)
+R.add("trade_counts", "counts", "", "", lambda s, d: op.most_frequent(op.select_quantile(signals(s, d)), "symbol"), f"{OQ}, tc as (select symbol, count(*) as n from od group by symbol order by n desc, symbol limit 20)\nselect '{{' || string_agg('\"' || symbol || '\":' || n, ',' order by n desc, symbol) || '}}' as counts from tc")

@@ -85,3 +85,45 @@ def test_sorted_sink_round_trip(spark, tmp_path):
     df = spark.range(100).withColumn("k", F.col("id") % 7)
     views.write_sorted(df, str(tmp_path / "s"), ["k", "id"], 3)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_balanced_orders_have_equal_sides_and_weights(spark):
+    rows = [("A", "d1", 1, 3.0), ("B", "d1", 1, 2.0), ("C", "d1", -1, -1.0), ("D", "d2", 1, 1.0), ("E", "d3", 1, 5.0), ("F", "d3", -1, -5.0), ("G", "d3", -1, -5.0)]
+    df = spark.createDataFrame(rows, "symbol string, session string, side int, signal double")
+    got = {(r.session, r.symbol): r.weight for r in trading.balanced(df, 3, cohort=2).collect()}
+    assert got == {("d1", "A"): 0.25, ("d1", "C"): -0.25, ("d3", "E"): 0.25, ("d3", "F"): -0.25}
+
+
+def test_thresholds_are_frozen_on_earlier_sessions(spark):
+    rows = [("A", f"d{i}", 0, float(i)) for i in range(1, 6)] + [("B", f"d{i}", 0, -float(i)) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "symbol string, session string, slot int, signal double")
+    later = df.withColumn("signal", F.when(F.col("session") >= "d4", F.col("signal") * 1000).otherwise(F.col("signal")))
+    for frame in (df, later):
+        assert trading.thresholds(frame, "d4", 0.5).first().threshold == 2.0
+    assert trading.extreme(df, "d4", 0.5).count() == 8
+
+
+def test_market_fill_crosses_the_spread_twice(spark):
+    orders = spark.createDataFrame([("A", "d", 0, 1), ("B", "d", 0, -1), ("C", "d", 0, 1)], "symbol string, session string, slot int, side int")
+    quotes = spark.createDataFrame([("A", "d", 0, 10.0, 11.0), ("A", "d", 2, 22.0, 23.0), ("B", "d", 0, 10.0, 11.0), ("B", "d", 2, 4.0, 5.0), ("C", "d", 0, 10.0, 11.0)], "symbol string, session string, at int, bid double, ask double")
+    assert {r.symbol: r.raw for r in trading.market_fill(orders, quotes, 2).collect()} == {"A": 1.0, "B": 1.0, "C": None}
+
+
+def test_path_metrics_take_the_first_extreme(spark):
+    b = bars(spark, [("A", "d", i, (1.0, 1.0, 1.0, c, 1)) for i, c in enumerate((10.0, 12.0, 12.0, 8.0, 11.0))])
+    entry = spark.createDataFrame([("A", "d", 0, 10.0)], "symbol string, session string, slot int, entry double")
+    r = trading.path_metrics(entry, b).first()
+    assert (r.mfe_slot, r.mae_slot) == (1, 3) and math.isclose(r.mfe, 0.2) and math.isclose(r.mae, -0.2) and math.isclose(r.giveback, 0.1)
+
+
+def test_best_variant_prefers_the_gate_to_quality(spark):
+    rows = [("m", 1, 9.0, 9.0, -0.9, 3, 1.0), ("m", 2, 0.1, 0.1, -0.01, 2, 0.0), ("n", 1, -0.1, -0.2, -0.01, 0, -0.1), ("n", 2, None, None, None, 0, None)]
+    df = spark.createDataFrame(rows, "mechanism string, size int, total double, stress double, max_drawdown double, positive_periods int, worst_period double")
+    got = {r.mechanism: (r["size"], r.status) for r in trading.best_variant(df, "mechanism", "size").collect()}
+    assert got == {"m": (2, "execution_qualified_discovery"), "n": (1, "rejected")}
+
+
+def test_horizon_shape(spark):
+    df = spark.createDataFrame([("f", 1, 1.0), ("f", 2, -4.0), ("f", 3, -2.0), ("g", 1, None)], "feature string, horizon int, effect double")
+    r = interday.horizon_shape(df, ["feature"]).collect()
+    assert len(r) == 1 and (r[0].peak_horizon, r[0].peak_effect, r[0].retention, r[0].sign_changes, r[0].area) == (2, -4.0, 0.5, 1, -4.5)
