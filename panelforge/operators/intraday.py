@@ -274,3 +274,39 @@ def checkpoints(bars: DataFrame, slots: tuple[int, ...] = (2, 5, 8)) -> DataFram
     """Per session: the vwap of the bar that ends at each checkpoint, and volumes of the first and last quarter."""
     at = [F.max(F.when(F.col("slot") == s, F.col("vwap"))).alias(f"vwap_{s}") for s in slots]
     return bars.groupBy("symbol", "session").agg(*at, F.sum(F.when(F.col("slot") < 3, F.col("v"))).alias("first_volume"), F.sum(F.when(F.col("slot") >= 9, F.col("v"))).alias("last_volume"), F.max("v").alias("largest_volume"))
+
+
+def calendar_join(bars: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Bars on the grid of their session: the schedule gives first and last slot; others are dropped. ``missing`` counts the
+    session's absent bars. Sessions are few beside bars, so Spark broadcasts the schedule where its size allows."""
+    b = bars.join(schedule, "session").where(F.col("slot").between(F.col("opens"), F.col("closes")))
+    expected = F.col("closes") - F.col("opens") + 1
+    return b.withColumn("missing", F.greatest(expected - F.count("slot").over(Window.partitionBy("symbol", "session")), F.lit(0))).withColumn("from_open", F.col("slot") - F.col("opens"))
+
+
+def high_volatility(features: DataFrame, least: int = 20) -> DataFrame:
+    """1 where the benchmark's volatility exceeds its median so far, else 0, also while the history is short."""
+    m = features.where(F.col("symbol") == BENCHMARK).select("session", "slot", "vol_3")
+    w = Window.orderBy("session", "slot").rowsBetween(PRECEDING, 0)  # one row a decision: the benchmark alone
+    middle = F.when(F.count("vol_3").over(w) >= least, F.percentile("vol_3", F.lit(0.5)).over(w))
+    m = m.select("session", "slot", F.coalesce((F.col("vol_3") > middle).cast("int"), F.lit(0)).alias("high_market_vol"))
+    return features.select("symbol", "session", "slot").join(m, ["session", "slot"], "left")
+
+
+def dispersion_bucket(features: DataFrame, least: int = 20) -> DataFrame:
+    """Each decision's return dispersion against the median of the decisions before it; unknown while these are few."""
+    by = features.where(F.col("symbol") != BENCHMARK).groupBy("session", "slot").agg(F.stddev_samp("ret_1").alias("dispersion"))
+    w = Window.orderBy("session", "slot").rowsBetween(PRECEDING, -1)  # one row a decision, after the aggregate
+    prior = F.when(F.count("dispersion").over(w) >= least, F.percentile("dispersion", F.lit(0.5)).over(w))
+    label = F.when(F.col("dispersion") >= F.col("prior"), "high_dispersion").otherwise("low_dispersion")
+    return by.withColumn("prior", prior).select("session", "slot", "dispersion", "prior", F.when(F.col("prior").isNotNull(), label).alias("bucket"))
+
+
+def beta_residual_returns(features: DataFrame, n: int = 20, least: int = 10) -> DataFrame:
+    """A bar's return minus its beta times the benchmark's; beta from the symbol's n rows before, on rows with both."""
+    m = features.where(F.col("symbol") == BENCHMARK).select("session", "slot", F.col("ret_1").alias("m"))
+    f = features.select("symbol", "session", "slot", "ret_1").join(m, ["session", "slot"], "left")
+    both = F.col("ret_1").isNotNull() & F.col("m").isNotNull()
+    y, x, w = F.when(both, F.col("ret_1")), F.when(both, F.col("m")), Y().rowsBetween(-n, -1)
+    beta = F.when(F.count(y).over(w) >= least, div(F.covar_samp(y, x).over(w), F.var_samp(x).over(w)))
+    return f.withColumn("beta", beta).select("symbol", "session", "slot", "beta", (F.col("ret_1") - F.col("beta") * F.col("m")).alias("residual"))

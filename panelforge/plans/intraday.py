@@ -115,3 +115,27 @@ LL = "ld as (select session, slot, max(ret_1) filter (symbol = 'S0') as m, avg((
 R.add("lead_lag", K, "", "lag_market lag_breadth_change lag_dispersion_change unreacted", lambda s, d: op.lead_lag(feats(s, d)), f"{B}, {op.BASE_SQL}, {LL}\nselect symbol, session, slot, lag_market, lag_breadth_change, lag_dispersion_change, lag_market - lag(ret_1) over (partition by symbol order by session, slot) as unreacted from feat join ll using (session, slot)")
 R.add("acceleration", K, "", "vol_accel", lambda s, d: op.volatility_acceleration(bars(s, d)), f"{B}, {op.BASE_SQL}\nselect symbol, session, slot, case when count(ret_1) over f >= 2 then stddev_samp(ret_1) over f end / nullif(case when count(ret_1) over w >= 4 then stddev_samp(ret_1) over w end, 0) - 1 as vol_accel from seg1 window w as (partition by symbol, session, seg order by slot rows between 3 preceding and current row), f as (partition by symbol, session, seg order by slot rows between 1 preceding and current row)")
 R.add("checkpoint_vwap", "symbol session", "first_volume last_volume largest_volume", "vwap_2 vwap_5 vwap_8", lambda s, d: op.checkpoints(bars(s, d)), f"{B}\nselect symbol, session, max(vwap) filter (slot = 2) as vwap_2, max(vwap) filter (slot = 5) as vwap_5, max(vwap) filter (slot = 8) as vwap_8, sum(v) filter (slot < 3) as first_volume, sum(v) filter (slot >= 9) as last_volume, max(v) as largest_volume from bars group by symbol, session")
+
+
+def schedule(s, d):
+    """Invented by rule: sessions run from slot 2 to 10, to 7 on days that end in 5."""
+    days = bars(s, d).select("session").distinct()
+    return days.select("session", F.lit(2).alias("opens"), F.when(F.substring("session", 10, 1) == "5", 7).otherwise(10).alias("closes"))
+
+
+R.add("calendar_join", K, "missing from_open", "c", lambda s, d: op.calendar_join(bars(s, d), schedule(s, d)), f"{B}, sd as (select *, 2 as opens, case when substr(session, 10, 1) = '5' then 7 else 10 end as closes from bars)\nselect *, closes - opens + 1 - count(*) over (partition by symbol, session) as missing, slot - opens as from_open from sd where slot between opens and closes")
+R.add(
+    "high_vol_expanding_median", K, "high_market_vol", "", lambda s, d: op.high_volatility(feats(s, d)),
+    f"""{B}, {op.BASE_SQL}, hv as (select session, slot, coalesce((vol_3 > case when count(vol_3) over w >= 20 then quantile_cont(vol_3, 0.5) over w end)::int, 0) as high_market_vol from feat where symbol = 'S0' window w as (order by session, slot rows between unbounded preceding and current row))
+select f.symbol, f.session, f.slot, high_market_vol from feat f left join hv using (session, slot)""",
+)
+R.add(
+    "dispersion_bucket", "session slot bucket", "", "dispersion prior", lambda s, d: op.dispersion_bucket(feats(s, d)),
+    f"""{B}, {op.BASE_SQL}, ds0 as (select session, slot, stddev_samp(ret_1) as dispersion from feat where symbol <> 'S0' group by all), ds1 as (select *, case when count(dispersion) over w >= 20 then quantile_cont(dispersion, 0.5) over w end as prior from ds0 window w as (order by session, slot rows between unbounded preceding and 1 preceding))
+select *, case when prior is null then null when dispersion >= prior then 'high_dispersion' else 'low_dispersion' end as bucket from ds1""",
+)
+R.add(
+    "rolling_beta_residual", K, "", "beta residual", lambda s, d: op.beta_residual_returns(feats(s, d)),
+    f"""{B}, {op.BASE_SQL}, be0 as (select f.symbol, f.session, f.slot, f.ret_1, g.ret_1 as m, case when g.ret_1 is not null then f.ret_1 end as y, case when f.ret_1 is not null then g.ret_1 end as x from feat f left join feat g on g.symbol = 'S0' and g.session = f.session and g.slot = f.slot), be as (select *, case when count(y) over w >= 10 then covar_samp(y, x) over w / nullif(var_samp(x) over w, 0) end as beta from be0 window w as (partition by symbol order by session, slot rows between 20 preceding and 1 preceding))
+select *, ret_1 - beta * m as residual from be""",
+)
