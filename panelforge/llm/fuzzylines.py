@@ -4,9 +4,10 @@ A line's shingles are the ``width`` characters from each word start and from eve
 word, so they cover the line. The signature keeps the four smallest shingle hashes (a bottom-k MinHash). Every pair of
 them is a band: two lines of Jaccard similarity 0.8 share at least two of their four smallest hashes with probability
 about 0.97, more with rising similarity. Lines of up to three shingles can only be near an equal set, which is their
-one band. In each bucket a line is compared with the first and the last line of an order that the bucket chooses of two,
-so a bucket of n lines costs 2 n comparisons, never n squared, while a group of near copies, which meets in several
-buckets, has four lines that hold it together. Exact Jaccard similarity over all shingles decides; distributed
+one band. In each bucket a line is compared with the first and the last line of an order that the bucket chooses of two:
+2 n comparisons, which join a group of near copies. What that leaves apart in a bucket is then compared in blocks, the
+lines of its rarest components with all lines of others, until nothing is left to compare, so no bucket is capped and
+lines that are joined already cost nothing. Exact Jaccard similarity over all shingles decides; distributed
 union-find joins the links, and of each component the first line (by document id, then place) stays.
 
 Equal lines are one node from the start (a 64-bit hash), so copies cost nothing later. Buckets are aggregated before
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -64,20 +65,20 @@ def order(column: str) -> Column:
     return F.col(column).bitwiseXOR(F.col("key").bitwiseAND(F.lit(1)) * F.lit(FLIP))
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines to compare: each member of a bucket with the first and the last of its order."""
-    buckets = members.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low != high")
-    met = members.join(buckets, "key").select("key", "x", F.explode(F.array("low", "high")).alias("other")).where("x != other")
-    met = met.select(order("x").alias("p"), order("other").alias("q"))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+def buckets(members: DataFrame) -> DataFrame:
+    """(key, h, low, high, n): each member of a bucket of two lines or more, with the ends of its order and its size."""
+    ends = members.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    return members.join(ends, "key").select("key", order("x").alias("h"), order("low").alias("low"), order("high").alias("high"), "n")
 
 
-def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct lines whose Jaccard similarity is at least 0.8. ``lines``: (h, line), with copies."""
-    pairs = cut(candidates(bands(signed)))
-    asked = pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct()
-    # texts travel, not shingles: they are smaller
-    texts = lines.join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+def paired(met: DataFrame, others: Column) -> DataFrame:
+    """Distinct pairs (a, b) of each row's line and the other lines that it names."""
+    pairs = met.select("h", F.explode(others).alias("other")).where("h != other")
+    return pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose Jaccard similarity is at least 0.8. Texts travel, not shingles: they are smaller."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
     both = both.select("a", "b", shingles("la").alias("sa"), shingles("lb").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -85,12 +86,42 @@ def links(lines: DataFrame, signed: DataFrame) -> DataFrame:
     return both.where(shared * down >= (F.size("sa") + F.size("sb") - shared) * up).select("a", "b")
 
 
+def pivots(rest: DataFrame, most: int) -> DataFrame:
+    """(key, pivots): up to ``most`` members of each bucket that still holds several components, those of its rarest ones first."""
+    size = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    several = size.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
+    ranked = rest.join(several, "key", "left_semi").join(size, ["key", "root"]).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c", "root", "h")))
+    return ranked.where(F.col("r") <= most).groupBy("key").agg(F.collect_list(F.struct("h", "root")).alias("pivots"))
+
+
+def linked(lines: DataFrame, signed: DataFrame, block: int = 100) -> DataFrame:
+    """(node, root) of the lines that links join. First each line meets the ends of its buckets. Then, in every bucket
+    that still holds several components, blocks of its lines meet all its lines of other components, until each bucket
+    holds one component or all its lines have been compared: what a comparison of all pairs would join is joined."""
+    met = cut(buckets(bands(signed)))
+    asked = met.select("h").distinct()
+    texts = cut(lines.join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    found = verified(paired(met, F.array("low", "high")), texts)
+    roots = cut(components(found))
+    rest = cut(met.where((F.col("n") > 3) & (F.col("h") != F.col("low")) & (F.col("h") != F.col("high"))).select("key", "h"))
+    while True:
+        named = rest.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+        chosen = cut(pivots(named, block))
+        if chosen.isEmpty():
+            return roots
+        asks = named.join(chosen, "key").select("h", F.filter("pivots", lambda p: p["root"] != F.col("root"))["h"].alias("others"))
+        found = verified(paired(asks, F.col("others")), texts)
+        roots = cut(components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+        done = chosen.select("key", F.explode("pivots.h").alias("h"))
+        rest = cut(rest.join(chosen.select("key"), "key", "left_semi").join(done, ["key", "h"], "left_anti"))
+
+
 def decisions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc, k, pos, h) of all lines, and those of them that stay: one for each component."""
     every = exploded(docs, key, text)
     slim = cut(every.select("doc", "k", "pos", "h"))
     lines = every.select("h", "line")
-    roots = components(links(lines, cut(signatures(lines)))).select(F.col("node").alias("h"), "root")
+    roots = linked(lines, cut(signatures(lines))).select(F.col("node").alias("h"), "root")
     order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("doc"), F.col("k").alias("k"), F.col("pos").alias("pos"))
     first = slim.groupBy("h").agg(F.min(order).alias("o")).join(roots, "h", "left")
     stays = first.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("o").alias("o")).select("o.doc", "o.k", "o.pos")

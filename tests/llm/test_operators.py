@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -314,3 +315,38 @@ def test_quality_on_held_out_rows(spark, docs, empty):
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     assert quality.scored(empty, rules).count() == 0
     assert {r.score for r in quality.scored(docs, quality.learn(d, labels.limit(0))).collect()} == {0.5}
+
+
+def test_buckets_join_what_all_their_pairs_would_join(spark):
+    """Variants of a few lines, some of them only near each other and not the ends of their buckets; small blocks force rounds."""
+    rng = random.Random(5)
+    words = [f"word{i:03d}x" for i in range(400)]
+    texts = set()
+    for _ in range(4):
+        base = rng.sample(words, 40)
+        for _ in range(60):
+            line = list(base)
+            for i in rng.sample(range(40), rng.choice([2, 3, 4, 5, 6])):
+                line[i] = rng.choice(words)
+            texts.add(" ".join(line))
+    lines = spark.createDataFrame([(t,) for t in sorted(texts)], "line string").select(F.xxhash64("line").alias("h"), "line")
+    signed = fuzzylines.signatures(lines)
+    sets = {r.h: frozenset(r.s) for r in lines.select("h", fuzzylines.shingles().alias("s")).collect()}
+    members = {}
+    for r in fuzzylines.bands(signed).select("key", fuzzylines.order("x").alias("h")).collect():
+        members.setdefault(r.key, []).append(r.h)
+    root = {h: h for h in sets}
+
+    def find(h):
+        while root[h] != h:
+            h = root[h]
+        return h
+
+    for group in members.values():
+        for a, b in itertools.combinations(group, 2):
+            if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {h: find(h) for h in sets if any(find(o) == find(h) for o in sets if o != h)}
+    assert max(map(len, members.values())) > 6 and len(set(want.values())) > 2
+    assert {r.node: r.root for r in fuzzylines.linked(lines, signed, block=2).collect()} == want
