@@ -77,13 +77,17 @@ def paired(met: DataFrame, others: Column) -> DataFrame:
     return pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose Jaccard similarity is at least 0.8. Texts travel, not shingles: they are smaller."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.select("a", "b", shingles("la").alias("sa"), shingles("lb").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs whose Jaccard similarity is at least 0.8. ``lines``: (h, line), or (h, s) where shingles are ready."""
+    side = lambda c: lines.select(F.col("h").alias(c), F.col(lines.columns[1]).alias(f"l{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    ready = lines.columns[1] == "s"
+    both = both.select("a", "b", *[(F.col(f"l{c}") if ready else shingles(f"l{c}")).alias(f"s{c}") for c in ("a", "b")])
     up, down = SIMILAR
-    return both.where(shared * down >= (F.size("sa") + F.size("sb") - shared) * up).select("a", "b")
+    m, n = F.size("sa"), F.size("sb")
+    near = both.where((m * down >= n * up) & (n * down >= m * up))  # sizes alone rule the others out
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return near.where(shared * down >= (m + n - shared) * up).select("a", "b")
 
 
 def pivots(rest: DataFrame, most: int) -> DataFrame:
@@ -94,7 +98,7 @@ def pivots(rest: DataFrame, most: int) -> DataFrame:
     return ranked.where(F.col("r") <= most).groupBy("key").agg(F.collect_list(F.struct("h", "root")).alias("pivots"))
 
 
-def linked(lines: DataFrame, signed: DataFrame, block: int = 100) -> DataFrame:
+def linked(lines: DataFrame, signed: DataFrame, block: int = 2000) -> DataFrame:
     """(node, root) of the lines that links join. First each line meets the ends of its buckets. Then, in every bucket
     that still holds several components, blocks of its lines meet all its lines of other components, until each bucket
     holds one component or all its lines have been compared: what a comparison of all pairs would join is joined."""
@@ -104,13 +108,14 @@ def linked(lines: DataFrame, signed: DataFrame, block: int = 100) -> DataFrame:
     found = verified(paired(met, F.array("low", "high")), texts)
     roots = cut(components(found))
     rest = cut(met.where((F.col("n") > 3) & (F.col("h") != F.col("low")) & (F.col("h") != F.col("high"))).select("key", "h"))
+    sets = cut(texts.join(rest.select("h").distinct(), "h", "left_semi").select("h", shingles().alias("s")))
     while True:
         named = rest.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
         chosen = cut(pivots(named, block))
         if chosen.isEmpty():
             return roots
         asks = named.join(chosen, "key").select("h", F.filter("pivots", lambda p: p["root"] != F.col("root"))["h"].alias("others"))
-        found = verified(paired(asks, F.col("others")), texts)
+        found = verified(paired(asks, F.col("others")), sets)
         roots = cut(components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
         done = chosen.select("key", F.explode("pivots.h").alias("h"))
         rest = cut(rest.join(chosen.select("key"), "key", "left_semi").join(done, ["key", "h"], "left_anti"))
