@@ -350,3 +350,21 @@ def test_buckets_join_what_all_their_pairs_would_join(spark):
     want = {h: find(h) for h in sets if any(find(o) == find(h) for o in sets if o != h)}
     assert max(map(len, members.values())) > 6 and len(set(want.values())) > 2
     assert {r.node: r.root for r in fuzzylines.linked(lines, signed, block=2).collect()} == want
+
+
+def test_near_lines_meet_wherever_they_differ(spark):
+    """One character put in, taken out or changed, in lines with and without spaces, against all 5-character shingles."""
+    rng = random.Random(3)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1000))
+    url = "https://example.org/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789/-") for _ in range(400))
+    plain = "The committee will meet again on the second Monday of next month at noon"
+    pairs = [(cjk, "x" + cjk), (url, url[:22] + url[23:]), (plain, plain.replace("Monday", "Mondax")), (plain[:40], plain[:30]), ("abcd", "abce"), (cjk[:300], cjk[500:800])]
+    cut = lambda t: {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+    near = [len(cut(a) & cut(b)) * 5 >= len(cut(a) | cut(b)) * 4 for a, b in pairs]
+    assert near == [True, True, True, False, False, False]
+    for (a, b), joined in zip(pairs, near, strict=True):
+        sets = [r.s for r in spark.createDataFrame([(a,), (b,)], "line string").select(fuzzylines.shingles().alias("s")).collect()]
+        assert [len(x) for x in sets] == [len(cut(a)), len(cut(b))] and len(set(sets[0]) & set(sets[1])) == len(cut(a) & cut(b))
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    gone = {r.doc_id for r in fuzzylines.summary(docs).where("n_removed = 1").collect()}
+    assert gone == {2 * i + 1 for i, joined in enumerate(near) if joined}
