@@ -1,8 +1,10 @@
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -368,3 +370,22 @@ def test_near_lines_meet_wherever_they_differ(spark):
     docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
     gone = {r.doc_id for r in fuzzylines.summary(docs).where("n_removed = 1").collect()}
     assert gone == {2 * i + 1 for i, joined in enumerate(near) if joined}
+
+
+def licence_file(name):
+    return (pathlib.Path(licences.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
+
+
+def test_licence_files_and_headers_of_several_lines(spark):
+    wrapped = "\n".join(f"# {line}" for line in textwrap.wrap(dict(licences.HEADERS)["GPL-2.0"], 70))
+    apache = "\n".join(f" * {line}" for line in textwrap.wrap(dict(licences.HEADERS)["Apache-2.0"], 70))
+    code = "\n".join(f"{prose(i, 6)} = {prose(i + 500, 4)}" for i in range(80))
+    fill = lambda t: t.replace("<year>", "2019").replace("<copyright holders>", "Ada Example").replace("<copyright holder>", "Ada Example")
+    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    rows = [(f"{n}/LICENSE", "\n".join(textwrap.wrap(fill(licence_file(n)), 76))) for n in names] + [(f"{n}/src/{i}.c", prose(i + 40, 90)) for i, n in enumerate(names)]
+    rows += [("h/gpl.py", f"#!/bin/sh\n#\n{wrapped}\n\n{code}"), ("h/apache.c", f"/*\n{apache}\n */\n{code}"), ("h/mid.txt", f"{code}\n{fill(licence_file('MIT'))}\n{code}"), ("h/none.c", code)]
+    rows += [(f"other/{i}", prose(i + 300, 200)) for i in range(60)]
+    got = {r.path: r for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [(n, *got[f"{n}/LICENSE"][1::2]) for n in names] == [(n, n, "file") for n in names]
+    assert [(got[f"{n}/src/{i}.c"].licence, got[f"{n}/src/{i}.c"].inherited_from) for i, n in enumerate(names)] == [(n, n) for n in names]
+    assert [(got[f"h/{p}"].licence, got[f"h/{p}"].origin) for p in ("gpl.py", "apache.c", "mid.txt", "none.c")] == [("GPL-2.0", "header"), ("Apache-2.0", "header"), ("MIT", "header"), (None, "none")]
