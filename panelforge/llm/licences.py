@@ -125,13 +125,11 @@ def gate_terms(weights: dict[str, float], threshold: float) -> list[str]:
     the cosine is at most the norm of the shared part of the template over the norm of the template."""
     kept: set[str] = set()
     for counts in template_terms().values():
-        parts = sorted((n * weights[t]) ** 2 for t, n in counts.items())
-        total, light, bound = sum(parts), 0.0, 0.0
-        for p in parts:
-            if light + p >= threshold**2 * total:
-                break
-            light, bound = light + p, p
-        kept |= {t for t, n in counts.items() if (n * weights[t]) ** 2 > bound or not light}
+        parts = sorted(((n * weights[t]) ** 2, t) for t, n in counts.items())
+        total, light, least = sum(p for p, _ in parts), 0.0, 0
+        while least < len(parts) and light + parts[least][0] < threshold**2 * total:
+            light, least = light + parts[least][0], least + 1
+        kept |= {t for _, t in parts[least:]}
     return sorted(kept)
 
 

@@ -389,3 +389,16 @@ def test_licence_files_and_headers_of_several_lines(spark):
     assert [(n, *got[f"{n}/LICENSE"][1::2]) for n in names] == [(n, n, "file") for n in names]
     assert [(got[f"{n}/src/{i}.c"].licence, got[f"{n}/src/{i}.c"].inherited_from) for i, n in enumerate(names)] == [(n, n) for n in names]
     assert [(got[f"h/{p}"].licence, got[f"h/{p}"].origin) for p in ("gpl.py", "apache.c", "mid.txt", "none.c")] == [("GPL-2.0", "header"), ("Apache-2.0", "header"), ("MIT", "header"), (None, "none")]
+
+
+def test_gate_keeps_a_term_of_every_vector_above_the_threshold():
+    rng = random.Random(2)
+    for _ in range(100):
+        weights = {t: float(rng.choice([0.0, 1.0, 1.0, 2.0])) for v in licences.template_terms().values() for t in v}
+        gate = set(licences.gate_terms(weights, 0.5))
+        for counts in licences.template_terms().values():
+            if len(counts) > 40 or not any(weights[t] for t in counts):
+                continue
+            norm = sum((n * weights[t]) ** 2 for t, n in counts.items())
+            out = sum((n * weights[t]) ** 2 for t, n in counts.items() if t not in gate)
+            assert out < 0.25 * norm  # what holds no gate term stays below 0.5
