@@ -6,8 +6,10 @@ the second pass an undecided block takes the label of the nearest decided block
 or main element, else the page); between two as near, content wins; without any decided block it is content.
 
 Blocks inside menus, page headers and footers, sidebars, notices, adverts, forms and reader comments are boilerplate
-whatever they say: these are known by their elements, roles, and the words of their class or id. Scripts, styles and
-other unseen elements are no text at all.
+whatever they say: these are known by their elements, roles, and the names in their class or id. What is known by a
+name or is a form is not set apart if it holds the article or main element. Scripts, styles and other unseen elements are
+no text at all. Where few of a page's long blocks are dense in the known stop words, the page's language is not among
+them, and density decides nothing.
 
 Defined cases: a null or empty page has an empty text; a page without markup is one block; unclosed or misnested
 elements end with the element around them; white space is any Unicode white space, no-break spaces included; one <br>
@@ -45,6 +47,9 @@ MARKS = frozenset(
     "masthead topbar footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog newsletter "
     "subscribe signup login comment comments disqus respond reply replies share sharing social related recommended widget toolbar pagination pager copyright form search skip".split()
 )
+#: What may follow a mark in a compound name; and words of compounds that tell what a page has or lacks.
+HOLDERS = frozenset("area bar block box buttons container content inner items links list outer panel primary secondary section widget widgets wrap wrapper".split())
+TELLING = frozenset("has have with without no not".split())
 PAGE_ONLY = frozenset("header".split())
 REPLIES = frozenset("comment comments reply replies".split())
 #: Frequent function words.
@@ -65,13 +70,19 @@ class Block:
 
 
 def marks_of(attributes: str) -> set[str]:
+    """Names of class, id and role: whole tokens, and of compounds their last part, or their first before a holder or a number."""
     words: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         if name.lower() == "style":
             if "display:none" in value.replace(" ", "").lower():
                 words.add("hidden")
         else:
-            words.update(TOKEN.findall(value.lower()))
+            for token in value.strip("\"'").lower().split():
+                parts = TOKEN.findall(token)
+                if parts and TELLING.isdisjoint(parts[:-1]):
+                    words.add(parts[-1])
+                    if all(x in HOLDERS or x.isdigit() for x in parts[1:]):
+                        words.add(parts[0])
     return words
 
 
@@ -91,10 +102,16 @@ def is_aside(name: str, attributes: str, inside: bool) -> bool:
     return bool(words & MARKS) or (not inside and bool(words & PAGE_ONLY))
 
 
-def blocks_of(page: str) -> list[tuple[str, int, Block]]:
-    """Text, characters in links, and block for every block with text, in order."""
+def is_soft(name: str, attributes: str) -> bool:
+    """Whether an element that is set apart is so by a name or as a form, not by what it is or as unseen."""
+    return name == "form" or not (name in ASIDE or name == "header" or HIDDEN.search(attributes) or "hidden" in marks_of(attributes))
+
+
+def blocks_of(page: str, free: frozenset[int] = frozenset()) -> list[tuple[str, int, Block]]:
+    """Text, characters in links, and block for every block with text, in order. ``free``: where elements begin that are not set apart."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # element, set apart, region, inside a region
+    stack: list[tuple[str, bool, int, bool, int]] = []  # element, set apart, region, inside a region, place if set apart softly
+    holding: set[int] = set()
     regions, links, breaks, at = 0, 0, 0, 0
     current = Block(0, False, False, False)
     unseen = ""
@@ -103,7 +120,7 @@ def blocks_of(page: str) -> list[tuple[str, int, Block]]:
         nonlocal current, breaks
         if current.parts:
             out.append(current)
-        top = stack[-1] if stack else ("", False, 0, False)
+        top = stack[-1] if stack else ("", False, 0, False, -1)
         current, breaks = Block(top[2], top[3], top[1] or apart, heading), 0
 
     def put(text: str) -> None:
@@ -155,20 +172,24 @@ def blocks_of(page: str) -> list[tuple[str, int, Block]]:
                 turn()
             else:
                 inside = bool(stack) and stack[-1][3]
-                apart = is_aside(name, attributes, inside)
+                apart = start not in free and is_aside(name, attributes, inside)
                 if name in NESTED and not attributes.endswith("/"):
-                    over = stack[-1] if stack else ("", False, 0, False)
+                    over = stack[-1] if stack else ("", False, 0, False, -1)
                     region = over[2]
                     if name in REGION and not apart:
+                        if not inside:
+                            holding.update(x[4] for x in stack if x[4] >= 0)
                         regions += 1
                         region, inside = regions, True
-                    stack.append((name, over[1] or apart, region, inside))
+                    stack.append((name, over[1] or apart, region, inside, start if apart and is_soft(name, attributes) else -1))
                     turn()
                 else:
                     turn(heading=name in HEADING, apart=apart)
     if not unseen:
         put(page[at:])
     turn()
+    if holding:
+        return blocks_of(page, free | holding)
     found = []
     for b in out:
         text = " ".join(html.unescape("".join(b.parts)).split())
@@ -177,17 +198,27 @@ def blocks_of(page: str) -> list[tuple[str, int, Block]]:
     return found
 
 
-def first_pass(text: str, linked: int, block: Block) -> bool | None:
-    """True for content, False for boilerplate, None for undecided."""
+def density_of(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP for w in words) / max(1, len(words))
+
+
+def readable(blocks: list[tuple[str, int, Block]]) -> bool:
+    """Whether a fifth of the text of long blocks is dense in stop words, so that their absence says something."""
+    long = [t for t, linked, b in blocks if not b.shut and not b.heading and len(t) >= SHORT and linked <= LINKED * len(t)]
+    return sum(len(t) for t in long if density_of(t) >= DENSE) * 5 >= sum(map(len, long))
+
+
+def first_pass(text: str, linked: int, block: Block, known: bool = True) -> bool | None:
+    """True for content, False for boilerplate, None for undecided; ``known``: the page's language has stop words here."""
     if block.shut or linked > LINKED * len(text):
         return False
     if block.heading or len(text) < SHORT:
         return None
-    words = WORD.findall(text.lower())
-    density = sum(w in STOP for w in words) / max(1, len(words))
+    density = density_of(text)
     if density >= DENSE or (density >= THIN and len(text) >= LONG):
         return True
-    return None if block.inside or density >= THIN else False
+    return None if block.inside or density >= THIN or not known else False
 
 
 def extract(page: str | None) -> str:
@@ -195,7 +226,8 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    labels = [first_pass(*b) for b in blocks]
+    known = readable(blocks)
+    labels = [first_pass(*b, known) for b in blocks]
     places: dict[int, list[int]] = {}
     for i, (label, (_, _, b)) in enumerate(zip(labels, blocks, strict=True)):
         if label is not None and not b.shut:

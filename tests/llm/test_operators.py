@@ -402,3 +402,31 @@ def test_gate_keeps_a_term_of_every_vector_above_the_threshold():
             norm = sum((n * weights[t]) ** 2 for t, n in counts.items())
             out = sum((n * weights[t]) ** 2 for t, n in counts.items() if t not in gate)
             assert out < 0.25 * norm  # what holds no gate term stays below 0.5
+
+
+RUSSIAN = "Вчера вечером в городском музее открылась выставка старинных карт, которую готовили больше двух лет."
+JAPANESE = "昨日の夜、市立博物館で古い地図の展覧会が始まった。準備には二年以上かかり、百点を超える作品が世界中から集められたという。" * 2
+POLISH = "Wczoraj wieczorem muzeum miejskie otworzyło wystawę dawnych map, którą przygotowywano ponad dwa lata."
+ENGLISH = "The one of the two is in the house and it was for us all, as they have said to me."
+
+
+@pytest.mark.parametrize("body", [RUSSIAN, JAPANESE, POLISH])
+def test_main_text_of_languages_without_known_stop_words(body):
+    page = f"<nav><a href=x>Menu</a></nav><div><p>{body}</p><p>Kurz.</p><p>{body}</p></div><div class='ad'>{body}</div><footer>{ENGLISH}</footer>"
+    assert maintext.extract(page) == f"{body}\nKurz.\n{body}"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "page with-nav", "site no-comments", "content-with-sidebar", "has_sidebar", "ad-free"])
+def test_names_of_wrappers_do_not_set_a_page_apart(name):
+    assert maintext.extract(f"<div class='{name}'><p>{ENGLISH}</p></div>") == ENGLISH
+
+
+@pytest.mark.parametrize("opening, closing", [("<div class='sidebar'>", "</div>"), ("<div id=banner><div class='search'>", "</div></div>"), ("<form>", "</form>")])
+def test_what_holds_an_article_is_not_set_apart(opening, closing):
+    assert maintext.extract(f"{opening}<article><p>{ENGLISH}</p></article>{closing}<div class='sidebar'>{ENGLISH}</div>") == ENGLISH
+    assert maintext.extract(f"{opening}<main><p>{ENGLISH}</p></main>{closing}") == ENGLISH
+
+
+@pytest.mark.parametrize("name", ["site-footer", "cookie-banner", "comment-list", "nav", "sidebar-container", "x sidebar", "comment-12"])
+def test_names_of_what_stands_beside_the_text(name):
+    assert maintext.extract(f"<p>{ENGLISH}</p><div class='{name}'><p>{ENGLISH}</p></div>") == ENGLISH
