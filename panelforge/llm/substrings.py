@@ -3,8 +3,9 @@
 A window is ``window`` consecutive words. Its fingerprint is the least hash among the runs of ``gram`` words inside it
 (a minimizer), so equal windows have equal fingerprints and neighbouring windows mostly share one: a document has
 about one fingerprint for ten words. The index holds immutable runs, each a Parquet table of (anchor, n) sorted by
-anchor. A new batch is aggregated, merge-joined with the runs and written as one more run; when there are more than
-``fanout`` runs they are compacted to one, with counts added.
+anchor. A new batch is aggregated and written as one more run; when there are more than ``fanout`` runs they are compacted
+to one, with counts added. Incremental use is not built: the runs hold no content, so passages are verified only among the
+documents of one call, and a passage that occurs once there and once in an earlier call is kept.
 
 A fingerprint that occurs twice only makes its windows candidates. They are verified by content: first whole chunks
 (all neighbouring windows of a document under one fingerprint, with every word they cover) by a 64-bit hash beneath the
@@ -185,7 +186,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
     the kept words joined by one space, or with finish="sha256" the hash of that text.
 
     The documents are added to the index in ``batches`` by a hash of their text, as a corpus would arrive; a passage
-    counts as repeated by what all batches and earlier content of ``index`` hold."""
+    counts as repeated by what all batches of this call hold; earlier content of ``index`` makes candidates but no copies."""
     spark = docs.sparkSession
     docs = without(docs, *OUT)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUT]
