@@ -11,7 +11,8 @@ Rows are dealt to blocks by a hash of their id, queries to blocks of bounded siz
 bounded memory that returns k rows a query, and the best k of all blocks are taken at the end.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; of vectors with
-another length than the query only those of equal length are compared; a null id takes no part; ties go to the smaller
+another length than the query only those of equal length are compared; a component that times ``scale`` does not fit a
+long, or a score among the best of a block that does not, is an error; a null id takes no part; ties go to the smaller
 id; rows that repeat an id are each a candidate (but not for a query of their own id); k rows or all there are.
 """
 
@@ -30,9 +31,9 @@ from .common import cut
 def quantised(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """(id, v): components as whole numbers, floor(scale * x); unusable rows are left out."""
     x = F.col(f"`{vector}`")
-    limit = float(1 << 40)
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < limit))
-    v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
+    limit = float(1 << 63)
+    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    v = F.transform(x, lambda e: F.when(F.abs(e.cast("double") * scale) < limit, F.floor(e.cast("double") * scale).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long")))
     return vectors.where(F.col(f"`{key}`").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v"))
 
 
@@ -140,11 +141,14 @@ class BitSlicedIndex:
         rows = self.positions(taken)
         if need:  # rows on the boundary are equal: the smallest ids
             rows = np.concatenate((rows, self.first(open_, need)))
-        value = np.zeros(len(rows), object if len(slices) > 62 else np.int64)
+        wide = len(slices) > 62 or abs(constant) >> 62  # Python's integers where sums need more than 63 bits
+        value = np.zeros(len(rows), object if wide else np.int64)
         for b, s in enumerate(slices):
-            value = value + (((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b)
-        order = np.lexsort((self.ids[rows], -value))
-        return self.ids[rows][order], (value + constant)[order]
+            bit = ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(value.dtype)
+            value = value + bit * (1 << b)
+        ids = self.ids[rows]
+        order = np.array(sorted(range(len(rows)), key=lambda i: (-value[i], ids[i])), np.int64) if wide else np.lexsort((ids, -value))
+        return ids[order], (value + constant)[order]
 
     @staticmethod
     def positions(bitmap: np.ndarray) -> np.ndarray:

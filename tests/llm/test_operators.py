@@ -430,3 +430,15 @@ def test_what_holds_an_article_is_not_set_apart(opening, closing):
 @pytest.mark.parametrize("name", ["site-footer", "cookie-banner", "comment-list", "nav", "sidebar-container", "x sidebar", "comment-12"])
 def test_names_of_what_stands_beside_the_text(name):
     assert maintext.extract(f"<p>{ENGLISH}</p><div class='{name}'><p>{ENGLISH}</p></div>") == ENGLISH
+
+
+def test_bitsliced_takes_large_components(spark):
+    big = float(1 << 45)
+    rows = [(0, [0.5, 1.0]), (1, [big, 0.25]), (2, [-big, 3.0]), (3, [1.0, 1.0]), (20, [float(1 << 56), -2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: [int(64 * x) for x in v] for i, v in rows}
+    want = {(i, j): sum(a * b for a, b in zip(q[i], q[j], strict=True)) for i in (0,) for j in q if j != i}
+    got = {(r.query_id, r.vec_id): r.score for r in bitsliced.search(df.where("vec_id < 20")).collect()}
+    assert got == {k: v for k, v in want.items() if k[1] < 20}
+    with pytest.raises(Exception, match="too large|too big|OverflowError"):
+        bitsliced.search(df).collect()
