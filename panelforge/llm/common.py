@@ -41,6 +41,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_table(keys: DataFrame, column: str, words: int = 1 << 20) -> DataFrame:
+    """(word, bits): a bitmap of the last bits of long keys, of ``words`` times 64 bits at most, so it may be broadcast."""
+    word, bit = F.pmod(F.shiftright(column, 6), F.lit(words)).cast("int"), F.expr(f"shiftleft(1L, int(`{column}` & 63))")
+    return keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def bit_held(df: DataFrame, column: str, table: DataFrame, words: int = 1 << 20) -> DataFrame:
+    """The rows of ``df`` whose key has its bit in a table of ``bit_table``: all rows with one of its keys, and some others."""
+    word, bit = F.pmod(F.shiftright(column, 6), F.lit(words)).cast("int"), F.col(column).bitwiseAND(F.lit(63)).cast("int")
+    found = df.withColumn("word", word).join(F.broadcast(table), "word").where(F.getbit("bits", bit) == 1)
+    return found.select(*df.columns)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}

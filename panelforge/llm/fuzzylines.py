@@ -1,166 +1,211 @@
 """Near-duplicate lines by MinHash, with DataFrame operations only.
 
 A line's shingles are all its runs of ``width`` characters, at every place, so white space plays no part and a character
-put in or taken out touches ``width`` of them wherever it stands. The signature deals their hashes to 32 bins by the top
-bits and keeps the least of each bin (one-permutation MinHash; a bin that is empty in both lines agrees). Four bins make a
-band: two lines of Jaccard similarity 0.8 share at least one of the eight bands with probability about 0.98, at 0.9 with
-0.999, at 0.4 with 0.2, so unlike lines seldom meet. In each bucket a line is compared with the first and the last line of an order that the bucket chooses of two:
-2 n comparisons, which join a group of near copies. What that leaves apart in a bucket is then compared in blocks, the
-lines of its rarest components with all lines of others, until nothing is left to compare, so no bucket is capped and
-lines that are joined already cost nothing. Exact Jaccard similarity over all shingles decides; distributed
-union-find joins the links, and of each component the first line (by document id, then place) stays.
+put in or taken out touches ``width`` of them wherever it stands. The signature deals their distinct hashes to ten equal
+ranges and keeps the six least of each (one-permutation MinHash with the bottom six); these are a band. Two lines of
+Jaccard similarity 0.8 share at least one of the ten bands with probability 0.95, at 0.85 with 0.99, at 0.9 with 0.999; at
+0.3 with 0.007 and at 0.1 with 0.00001, so unlike lines hardly ever meet.
 
-Equal lines are one node from the start (a 64-bit hash), so copies cost nothing later. Buckets are aggregated before
-the shuffle and met by joins whose large side can be split.
+Lines that share a band are a bucket. All pairs of a bucket that its components do not join already are compared, yet
+no bucket is gathered or written out as pairs:
+
+1. Every line is compared with the first and the last line of an order that the bucket chooses of two: 2 n pairs, which
+   join a group of near copies and are all pairs of a bucket of three lines or fewer.
+2. A larger bucket that still holds several components is dealt to blocks of about ``block`` lines. Blocks of lines
+   outside its largest component meet all its blocks, each pair of blocks as one row; only links leave that row.
+
+Exact Jaccard similarity over all shingles decides in both steps; distributed union-find joins the links, and of each
+component the first line (by document id, then place) stays.
 
-Defined cases: a null or empty text has no lines; blank lines are neither counted nor removed; a line without a full
-shingle is its own shingle; rows that repeat id and text are one document and keep the same lines; null ids come last
-in order; a document that loses all its lines is dropped by ``deduplicated``; other columns pass through.
+Equal lines are one node from the start (a 64-bit hash), so copies cost nothing later. Buckets are aggregated before
+the shuffle and met by joins whose large side can be split. Before a band or a text is shuffled it must pass a bitmap of
+the keys that are asked for; the bitmap has a fixed size (8 MB at most), is broadcast, and only spares work: the exact
+join follows, also where the bitmap is full.
+
+Defined cases: a null or empty text has no lines; blank lines (white space as Java's ``\\s``) are neither counted nor
+removed; a line shorter than ``width`` is its own only shingle; lines of fewer than four shingles equal only copies,
+since one shingle more makes less than 0.8; rows that repeat id and text are one document and keep the same lines; null
+ids come last in order; a document that loses all its lines is dropped by ``deduplicated``; very long lines are taken
+whole; an empty table gives no rows; other columns pass through whatever their names, but for names that begin with
+two underscores and "line_", which are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_table, bit_held, cut, stored
 from .union import components
 
 SIMILAR = (4, 5)
-BANDS, ROWS = 8, 4
-TOP = 59  # bits beneath the bin number: 32 bins, as many as all bands have rows
+BANDS, ROWS = 10, 6
+WIDTH = 5
+HIDDEN = "__line_"
 #: Fixed value: any pattern of mixed bits, to make a second order of the same hashes.
 FLIP = 0x5A17C3D2E96B4F81
 
 
-def shingles(line: str = "line", width: int = 5) -> Column:
-    """Distinct hashes of a line's shingles."""
-    every = F.regexp_extract_all(F.col(line), F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
-    found = F.when(F.length(line) < width, F.array(F.col(line))).otherwise(every)
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: as a lambda's variable it is neither computed nor copied again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shingles(line: str | Column = "line", width: int = WIDTH) -> Column:
+    """Hashes of a line's shingles in order, repeats included. Four bytes a character make every place a fixed offset."""
+
+    def cut_out(u: Column) -> Column:
+        every = F.sequence(F.lit(1), F.octet_length(u) - (4 * width - 1), F.lit(4))
+        found = F.transform(every, lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * width))))
+        return F.when(F.octet_length(u) <= 4 * width, F.array(F.xxhash64(u))).otherwise(found)
+
+    return let(F.encode(line, "UTF-32"), cut_out)
+
+
+def shingle_set(line: str | Column = "line") -> Column:
+    return F.array_distinct(shingles(line))
 
 
 def exploded(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, k, pos, line, h) for every line that is not blank."""
-    rows = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
+    rows = docs.select(F.col(f"`{key}`").alias("doc"), whole(text).alias("k"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
     return rows.where(F.col("line").rlike(r"\S")).withColumn("h", F.xxhash64("line"))
 
 
+def whole(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, k0 .. k7) of each distinct line of (h, line): a key for each band, null where all its bins are empty."""
-    signed = lines.select("h", F.sort_array(shingles()).alias("s")).withColumn("bin", F.transform("s", lambda x: F.shiftright(x, TOP)))
-    low = -(1 << 63 - TOP)  # hashes are signed, and sorted, so the first of a bin is its least
-    least = lambda i: F.get("s", F.nullif(F.array_position("bin", F.lit(low + i).cast("long")), F.lit(0)).cast("int") - 1)
-    signed = signed.select("h", *[least(i).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    rows = [[f"m{j * ROWS + i}" for i in range(ROWS)] for j in range(BANDS)]
-    keys = [F.when(F.coalesce(*r).isNotNull(), F.xxhash64(F.lit(j), *[F.coalesce(m, F.lit(0)) for m in r])) for j, r in enumerate(rows)]
-    return signed.select("h", *[k.alias(f"k{j}") for j, k in enumerate(keys)]).distinct()
+    """(h, keys) of each row of (h, line): a key for each band that holds a hash; none for less than four shingles."""
+    marks = [-(1 << 63) + j * ((1 << 64) // BANDS) for j in range(BANDS)] + [(1 << 63) - 1]
+    found = lines.where(F.length("line") >= WIDTH + 3).select("h", F.sort_array(F.concat(shingle_set(), F.array(*map(F.lit, marks)))).alias("s"))
+    found = found.withColumn("at", F.array(*[F.array_position("s", F.lit(m)) for m in marks]))
+    enough = F.size("s") >= 4 + len(marks)  # not a filter, which would be pushed below and take the shingles twice
+
+    def band(j: int) -> Column:
+        at, after = F.get("at", F.lit(j)), F.get("at", F.lit(j + 1))
+        least = F.slice("s", (at + 1).cast("int"), F.least(F.lit(ROWS), after - at - 1).cast("int"))
+        return F.when(enough & (after - at > 1), F.xxhash64(F.lit(j), least))
+
+    return found.select("h", F.array_compact(F.array(*map(band, range(BANDS)))).alias("keys"))
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """(key, x) for the bands of each line; x is its hash under one of two orders, which the band's last bit chooses."""
-    keyed = signed.select(F.explode(F.array(*[f"k{j}" for j in range(BANDS)])).alias("key"), "h").where("key is not null")
-    return keyed.select("key", order("h").alias("x"))
+    """(key, h) for the bands of each line."""
+    return signed.select(F.explode("keys").alias("key"), "h")
+
+
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(key, h), each once, of the bands that two different lines share."""
+    part = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))  # enough to tell a band's lines from each other
+    several = bands(signed).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high").select("key")
+    several = stored(several, "bands")
+    return bit_held(bands(signed), "key", bit_table(several, "key")).join(several, "key", "left_semi").distinct()
 
 
 def order(column: str) -> Column:
-    """Swaps between a line's hash and its place in the order of a band."""
+    """Swaps between a line's hash and its place in the order of a band, which the band's last bit chooses."""
     return F.col(column).bitwiseXOR(F.col("key").bitwiseAND(F.lit(1)) * F.lit(FLIP))
 
 
-def buckets(members: DataFrame) -> DataFrame:
-    """(key, h, low, high, n): each member of a bucket of two lines or more, with the ends of its order and its size."""
-    ends = members.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    return members.join(ends, "key").select("key", order("x").alias("h"), order("low").alias("low"), order("high").alias("high"), "n")
+def pairs_with_ends(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each line and the two ends of its buckets."""
+    placed = members.select("key", order("h").alias("x"))
+    ends = placed.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    met = placed.join(ends, "key").select(order("x").alias("h"), F.explode(F.array(order("low"), order("high"))).alias("other"))
+    return met.where("h != other").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
-def paired(met: DataFrame, others: Column) -> DataFrame:
-    """Distinct pairs (a, b) of each row's line and the other lines that it names."""
-    pairs = met.select("h", F.explode(others).alias("other")).where("h != other")
-    return pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+def alike(sa: Column, sb: Column) -> Column:
+    """True if the Jaccard similarity of two sets is at least 0.8; their sizes alone rule out most others."""
+    up, down = SIMILAR
+    m, n = F.size(sa), F.size(sb)
+    return (m * down >= n * up) & (n * down >= m * up) & (F.size(F.array_intersect(sa, sb)) * (down + up) >= (m + n) * up)
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs whose Jaccard similarity is at least 0.8. ``lines``: (h, line), or (h, s) where shingles are ready."""
-    side = lambda c: lines.select(F.col("h").alias(c), F.col(lines.columns[1]).alias(f"l{c}"))
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines in (h, line) are alike."""
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"l{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    ready = lines.columns[1] == "s"
-    both = both.select("a", "b", *[(F.col(f"l{c}") if ready else shingles(f"l{c}")).alias(f"s{c}") for c in ("a", "b")])
-    up, down = SIMILAR
-    m, n = F.size("sa"), F.size("sb")
-    near = both.where((m * down >= n * up) & (n * down >= m * up))  # sizes alone rule the others out
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return near.where(shared * down >= (m + n - shared) * up).select("a", "b")
-
-
-def pivots(rest: DataFrame, most: int) -> DataFrame:
-    """(key, pivots): up to ``most`` members of each bucket that still holds several components, those of its rarest ones first."""
-    size = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    several = size.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
-    ranked = rest.join(several, "key", "left_semi").join(size, ["key", "root"]).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("c", "root", "h")))
-    return ranked.where(F.col("r") <= most).groupBy("key").agg(F.collect_list(F.struct("h", "root")).alias("pivots"))
-
-
-def linked(lines: DataFrame, signed: DataFrame, block: int = 2000) -> DataFrame:
-    """(node, root) of the lines that links join. First each line meets the ends of its buckets. Then, in every bucket
-    that still holds several components, blocks of its lines meet all its lines of other components, until each bucket
-    holds one component or all its lines have been compared: what a comparison of all pairs would join is joined."""
-    met = cut(buckets(bands(signed)))
-    asked = met.select("h").distinct()
-    texts = cut(lines.join(asked, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
-    found = verified(paired(met, F.array("low", "high")), texts)
-    roots = cut(components(found))
-    rest = cut(met.where((F.col("n") > 3) & (F.col("h") != F.col("low")) & (F.col("h") != F.col("high"))).select("key", "h"))
-    sets = cut(texts.join(rest.select("h").distinct(), "h", "left_semi").select("h", shingles().alias("s")))
-    while True:
-        named = rest.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-        chosen = cut(pivots(named, block))
-        if chosen.isEmpty():
-            return roots
-        asks = named.join(chosen, "key").select("h", F.filter("pivots", lambda p: p["root"] != F.col("root"))["h"].alias("others"))
-        found = verified(paired(asks, F.col("others")), sets)
-        roots = cut(components(found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
-        done = chosen.select("key", F.explode("pivots.h").alias("h"))
-        rest = cut(rest.join(chosen.select("key"), "key", "left_semi").join(done, ["key", "h"], "left_anti"))
-
-
-def decisions(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc, k, pos, h) of all lines, and those of them that stay: one for each component."""
+    near = let(shingle_set("la"), lambda x: let(shingle_set("lb"), lambda y: alike(x, y)))
+    return both.where(near).select("a", "b")
+
+
+def links_of_blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) between components in the buckets of (key, h, root) that hold several and more than three lines."""
+    size = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = F.max_by("root", F.struct("c", "root")).alias("main")
+    mixed = size.groupBy("key").agg(largest, F.count(F.lit(1)).alias("roots"), F.sum("c").alias("n")).where("roots > 1 and n > 3")
+    open_ = members.join(mixed.select("key", "main", F.ceil(F.col("n") / block).alias("blocks")), "key").join(texts, "h")
+    dealt = open_.select("key", (F.col("root") == F.col("main")).alias("inner"), F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).alias("at"), F.struct("root", "line").alias("row"))
+    groups = stored(dealt.groupBy("key", "inner", "at").agg(F.collect_list("row").alias("rows")), "blocks")
+    outer = groups.where(~F.col("inner")).select("key", F.col("at").alias("p"), F.col("rows").alias("left"))
+    every = groups.select("key", "inner", F.col("at").alias("q"), F.col("rows").alias("right"))
+    met = outer.join(every, "key").where("inner or p <= q").withColumn("same", ~F.col("inner") & (F.col("p") == F.col("q")))
+    sets = lambda rows: F.transform(rows, lambda r: F.struct(r["root"].alias("root"), shingle_set(r["line"]).alias("s")))
+
+    def found(x: Column, rows: Column) -> Column:
+        near = F.filter(rows, lambda y: (y["root"] != x["root"]) & ~(F.col("same") & (y["root"] > x["root"])) & alike(x["s"], y["s"]))
+        return F.transform(near, lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
+
+    links = let(sets(F.col("left")), lambda x: let(sets(F.col("right")), lambda y: F.array_distinct(F.flatten(F.transform(x, lambda one: found(one, y))))))
+    return met.select(F.explode(links).alias("link")).select("link.a", "link.b").distinct()
+
+
+def linked(lines: DataFrame, signed: DataFrame, block: int = 64) -> DataFrame:
+    """(node, root) of the lines of (h, line) that links join: what a comparison of all pairs of all buckets would join."""
+    members = stored(shared_bands(signed), "buckets")
+    asked = members.select("h").distinct()
+    texts = bit_held(lines, "h", bit_table(asked, "h")).groupBy("h").agg(F.first("line").alias("line"))
+    texts = stored(texts.join(asked, "h", "left_semi"), "texts")
+    roots = cut(components(verified(pairs_with_ends(members), texts)))
+    named = stored(members.join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")), "components")
+    again = components(cut(links_of_blocks(named, texts, block))).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    joined = named.select("h", "root").distinct().join(again, "root", "left").select(F.col("h").alias("node"), F.coalesce("last", "root").alias("root"))
+    alone = F.col("node") == F.col("root")
+    return joined.where(~alone).unionAll(joined.where(~alone).select(F.col("root").alias("node"), "root").distinct())
+
+
+def kept_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, k, kept): the places of the lines that stay, from 0, in order, of each document (id and text hash) that keeps one."""
     every = exploded(docs, key, text)
-    slim = cut(every.select("doc", "k", "pos", "h"))
+    slim = stored(every.select("doc", "k", "pos", "h"), "lines")
     lines = every.select("h", "line")
-    roots = linked(lines, cut(signatures(lines))).select(F.col("node").alias("h"), "root")
+    roots = linked(lines, stored(signatures(lines), "signatures")).select(F.col("node").alias("h"), "root")
     order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("doc"), F.col("k").alias("k"), F.col("pos").alias("pos"))
     first = slim.groupBy("h").agg(F.min(order).alias("o")).join(roots, "h", "left")
     stays = first.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("o").alias("o")).select("o.doc", "o.k", "o.pos")
-    return slim, stays
+    return stays.groupBy("doc", "k").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
-def kept_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document (id and text hash k): n_lines, and the places of the lines that stay, from 0, in order."""
-    slim, stays = decisions(docs, key=key, text=text)
-    count = slim.groupBy("doc", "k").agg(F.countDistinct("pos").alias("n_lines"))
-    kept = stays.groupBy("doc", "k").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
-    both = count.join(kept.select(F.col("doc").alias("d"), F.col("k").alias("q"), "kept"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("k") == F.col("q")), "left").drop("d", "q")
-    return both.withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+def with_kept(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` beside two hidden columns: the number of lines that are not blank, and the places of those that stay."""
+    taken = [c for c in docs.columns if c.lower().startswith(HIDDEN)]
+    if taken:
+        raise ValueError(f"columns named like {taken} are for this operator's own use")
+    found = kept_lines(docs, key=key, text=text).select(F.col("doc").alias(f"{HIDDEN}d"), F.col("k").alias(f"{HIDDEN}k"), F.col("kept").alias(f"{HIDDEN}kept"))
+    full = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line: line.rlike(r"\S"))
+    rows = docs.withColumn(f"{HIDDEN}t", whole(text)).withColumn(f"{HIDDEN}n", F.coalesce(F.size(full), F.lit(0)).cast("long"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(f"{HIDDEN}d")) & (F.col(f"{HIDDEN}t") == F.col(f"{HIDDEN}k"))
+    kept = F.coalesce(f"{HIDDEN}kept", F.array().cast("array<int>"))
+    return rows.join(found, same, "left").withColumn(f"{HIDDEN}kept", kept)
 
 
 def summary(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, n_lines, n_removed, and the places of the lines that stay."""
-    found = kept_lines(docs, key=key, text=text).select(F.col("doc").alias("__d"), F.col("k").alias("__k"), "n_lines", "kept")
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("__t"))
-    out = rows.join(found, F.col(f"`{key}`").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__k")), "left")
-    n, kept = F.coalesce("n_lines", F.lit(0)), F.coalesce("kept", F.array().cast("array<int>"))
-    return out.select(key, n.alias("n_lines"), (n - F.size(kept)).alias("n_removed"), kept.alias("kept_lines"))
+    out = with_kept(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text)
+    n, kept = F.col(f"{HIDDEN}n"), F.col(f"{HIDDEN}kept")
+    return out.select(F.col(f"`{key}`"), n.alias("n_lines"), (n - F.size(kept)).alias("n_removed"), kept.alias("kept_lines"))
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """``docs`` with only the lines that stay (blank lines stay beside them), without documents that lost all. The column
     ``size``, where there is one, gets the new number of characters."""
-    found = kept_lines(docs, key=key, text=text).select(F.col("doc").alias("__d"), F.col("k").alias("__k"), F.col("n_lines").alias("__n"), F.col("kept").alias("__kept"))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("__k"))
-    rows = docs.join(found, same, "left").where(F.col("__n").isNull() | (F.size("__kept") > 0))
-    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: F.array_contains(F.col("__kept"), i) | ~line.rlike(r"\S"))
-    rows = rows.withColumn("__text", F.when(F.col("__n").isNull() | (F.col("__n") == F.size("__kept")), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n")))
+    n, kept = F.col(f"{HIDDEN}n"), F.col(f"{HIDDEN}kept")
+    rows = with_kept(docs, key, text).where((n == 0) | (F.size(kept) > 0))
+    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: F.array_contains(kept, i) | ~line.rlike(r"\S"))
+    after = f"{HIDDEN}text"
+    rows = rows.withColumn(after, F.when(n == F.size(kept), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n")))
     types = dict(docs.dtypes)
-    return rows.select(*[F.col("__text").alias(c) if c == text else F.length("__text").cast(types[c]).alias(c) if c == size else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[F.col(after).alias(c) if c == text else F.length(after).cast(types[c]).alias(c) if c == size else F.col(f"`{c}`") for c in docs.columns])

@@ -333,9 +333,9 @@ def test_buckets_join_what_all_their_pairs_would_join(spark):
             texts.add(" ".join(line))
     lines = spark.createDataFrame([(t,) for t in sorted(texts)], "line string").select(F.xxhash64("line").alias("h"), "line")
     signed = fuzzylines.signatures(lines)
-    sets = {r.h: frozenset(r.s) for r in lines.select("h", fuzzylines.shingles().alias("s")).collect()}
+    sets = {r.h: frozenset(r.s) for r in lines.select("h", fuzzylines.shingle_set().alias("s")).collect()}
     members = {}
-    for r in fuzzylines.bands(signed).select("key", fuzzylines.order("x").alias("h")).collect():
+    for r in fuzzylines.bands(signed).collect():
         members.setdefault(r.key, []).append(r.h)
     root = {h: h for h in sets}
 
@@ -351,7 +351,61 @@ def test_buckets_join_what_all_their_pairs_would_join(spark):
                 root[y] = x
     want = {h: find(h) for h in sets if any(find(o) == find(h) for o in sets if o != h)}
     assert max(map(len, members.values())) > 6 and len(set(want.values())) > 2
-    assert {r.node: r.root for r in fuzzylines.linked(lines, signed, block=2).collect()} == want
+    for block in (2, 64):
+        assert {r.node: r.root for r in fuzzylines.linked(lines, signed, block=block).collect()} == want
+
+
+def test_fuzzy_lines_against_all_pairs(spark):
+    """Recall of links and the surviving lines, against a comparison of all pairs of lines over all their shingles."""
+    rng = random.Random(11)
+    words = [a + b for a in WORDS for b in ("", "s", "ra")]
+    lines = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 12, 30, 80]))]
+        lines.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 4])):
+            line = list(base)
+            for i in rng.sample(range(len(line)), rng.choice([1, 1, 2])):
+                line[i] = rng.choice(words)
+            lines.append(" ".join(line))
+    lines += ["", " ", "abc", "abcd", "\u2028", "\u0085", "abcdefgh", "abcdefghi", lines[0]]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    flat = [(i, j, line) for i, t in rows for j, line in enumerate(t.split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", line)]
+    cut = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for _, _, x in flat]
+    root = list(range(len(flat)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    links = [(a, b) for a, b in itertools.combinations(range(len(flat)), 2) if len(cut[a] & cut[b]) * 5 >= len(cut[a] | cut[b]) * 4]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {(r.doc_id, p) for r in fuzzylines.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect() for p in r.kept_lines}
+    want = {flat[i][:2] for i in range(len(flat)) if find(i) == i}
+    gone = len(flat) - len(want)
+    assert len(links) > 60 and want <= got and len(flat) - len(got) >= 0.95 * gone  # a link that no band shows keeps a line more
+    signed = fuzzylines.signatures(spark.createDataFrame([(t,) for _, _, t in flat], "line string").select(F.xxhash64("line").alias("h"), "line")).collect()
+    keys = {r.h: set(r["keys"]) for r in signed}
+    h = [r.h for r in spark.createDataFrame([(i, x[2]) for i, x in enumerate(flat)], "i int, line string").orderBy("i").select(F.xxhash64("line").alias("h")).collect()]
+    found = sum(h[a] == h[b] or bool(keys.get(h[a], set()) & keys.get(h[b], set())) for a, b in links)
+    assert found >= 0.95 * len(links)
+
+
+def test_fuzzy_lines_defined_cases(spark):
+    long = " ".join(WORDS) * 900
+    rows = [(1, long, 9, "x"), (2, f"{long}!\n\u2028", 9, "y"), (3, "\u0085", 1, "z"), (4, None, None, None), (4, None, None, None), (5, "ab\n\nab", 2, "k"), (5, "ab\n\nab", 2, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, kept string")
+    got = collections.Counter((r.doc_id, r.n_lines, r.n_removed, tuple(r.kept_lines)) for r in fuzzylines.summary(df).collect())
+    assert got == collections.Counter({(1, 1, 0, (0,)): 1, (2, 2, 1, (1,)): 1, (3, 1, 0, (0,)): 1, (4, 0, 0, ()): 2, (5, 2, 1, (0,)): 2})
+    out = {r.doc_id: (r.text, r.n_chars, r.kept) for r in fuzzylines.deduplicated(df).collect()}
+    assert out[2] == ("\u2028", 1, "y") and out[5] == ("ab\n", 3, "k") and out[1] == (long, len(long), "x")
+    with pytest.raises(ValueError, match="own use"):
+        fuzzylines.summary(df.withColumnRenamed("kept", "__line_kept"), key="__line_kept")
 
 
 def test_near_lines_meet_wherever_they_differ(spark):
@@ -365,7 +419,7 @@ def test_near_lines_meet_wherever_they_differ(spark):
     near = [len(cut(a) & cut(b)) * 5 >= len(cut(a) | cut(b)) * 4 for a, b in pairs]
     assert near == [True, True, True, False, False, False]
     for (a, b), joined in zip(pairs, near, strict=True):
-        sets = [r.s for r in spark.createDataFrame([(a,), (b,)], "line string").select(fuzzylines.shingles().alias("s")).collect()]
+        sets = [r.s for r in spark.createDataFrame([(a,), (b,)], "line string").select(fuzzylines.shingle_set().alias("s")).collect()]
         assert [len(x) for x in sets] == [len(cut(a)), len(cut(b))] and len(set(sets[0]) & set(sets[1])) == len(cut(a) & cut(b))
     docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
     gone = {r.doc_id for r in fuzzylines.summary(docs).where("n_removed = 1").collect()}
