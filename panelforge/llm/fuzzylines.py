@@ -11,8 +11,9 @@ no bucket is gathered or written out as pairs:
 
 1. Every line is compared with the first and the last line of an order that the bucket chooses of two: 2 n pairs, which
    join a group of near copies and are all pairs of a bucket of three lines or fewer.
-2. A larger bucket that still holds several components is dealt to blocks of about ``block`` lines. Blocks of lines
-   outside its largest component meet all its blocks, each pair of blocks as one row; only links leave that row.
+2. A larger bucket that still holds several components is dealt to blocks of about ``block`` lines, fewer where they are
+   long. Blocks of lines outside its largest component meet all its blocks, each pair of blocks as one row; only links leave that row. Most
+   pairs are ruled out by the sizes and by 256 bits a line that bound the similarity from above.
 
 Exact Jaccard similarity over all shingles decides in both steps; distributed union-find joins the links, and of each
 component the first line (by document id, then place) stays.
@@ -23,8 +24,8 @@ the keys that are asked for; the bitmap has a fixed size (8 MB at most), is broa
 join follows, also where the bitmap is full.
 
 Defined cases: a null or empty text has no lines; blank lines (white space as Java's ``\\s``) are neither counted nor
-removed; a line shorter than ``width`` is its own only shingle; lines of fewer than four shingles equal only copies,
-since one shingle more makes less than 0.8; rows that repeat id and text are one document and keep the same lines; null
+removed; characters beyond 16 bits count as two; a line shorter than ``width`` is its own only shingle; lines of fewer
+than eight characters equal only copies, since their four shingles or fewer cannot reach 0.8 with others; rows that repeat id and text are one document and keep the same lines; null
 ids come last in order; a document that loses all its lines is dropped by ``deduplicated``; very long lines are taken
 whole; an empty table gives no rows; other columns pass through whatever their names, but for names that begin with
 two underscores and "line_", which are refused.
@@ -35,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, bit_held, cut, stored
+from .common import bit_held, bit_table, cut, stored
 from .union import components
 
 SIMILAR = (4, 5)
@@ -51,15 +52,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shingles(line: str | Column = "line", width: int = WIDTH) -> Column:
-    """Hashes of a line's shingles in order, repeats included. Four bytes a character make every place a fixed offset."""
+def shingles(line: str | Column = "line", width: int = WIDTH, code=F.xxhash64) -> Column:
+    """Hashes of a line's shingles in order, repeats included. Two bytes a character make every place a fixed offset."""
 
     def cut_out(u: Column) -> Column:
-        every = F.sequence(F.lit(1), F.octet_length(u) - (4 * width - 1), F.lit(4))
-        found = F.transform(every, lambda i: F.xxhash64(F.substring(u, i, F.lit(4 * width))))
-        return F.when(F.octet_length(u) <= 4 * width, F.array(F.xxhash64(u))).otherwise(found)
+        every = F.sequence(F.lit(1), F.octet_length(u) - (2 * width - 1), F.lit(2))
+        found = F.transform(every, lambda i: code(F.substring(u, i, F.lit(2 * width))))
+        return F.when(F.octet_length(u) <= 2 * width, F.array(code(u))).otherwise(found)
 
-    return let(F.encode(line, "UTF-32"), cut_out)
+    return let(F.encode(line, "UTF-16BE"), cut_out)
 
 
 def shingle_set(line: str | Column = "line") -> Column:
@@ -76,32 +77,36 @@ def whole(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h, keys) of each row of (h, line): a key for each band that holds a hash; none for less than four shingles."""
-    marks = [-(1 << 63) + j * ((1 << 64) // BANDS) for j in range(BANDS)] + [(1 << 63) - 1]
-    found = lines.where(F.length("line") >= WIDTH + 3).select("h", F.sort_array(F.concat(shingle_set(), F.array(*map(F.lit, marks)))).alias("s"))
-    found = found.withColumn("at", F.array(*[F.array_position("s", F.lit(m)) for m in marks]))
-    enough = F.size("s") >= 4 + len(marks)  # not a filter, which would be pushed below and take the shingles twice
+def signed(lines: DataFrame) -> DataFrame:
+    """Rows with a column ``line``, with ``keys`` in its place: a key for each band that holds a hash; none for a line of
+    less than eight characters. Hashes of 32 bits are enough here, where they only choose whom to compare."""
+    marks = [-(1 << 31) + j * ((1 << 32) // BANDS) for j in range(BANDS)] + [(1 << 31) - 1]
+    cells = F.array(*[F.lit(m).cast("int") for m in marks])
+    rest = [c for c in lines.columns if c != "line"]
+    # sorted beside the bounds of the bands, so that each band's hashes follow its bound
+    found = lines.select(*rest, (F.length("line") >= WIDTH + 3).alias("enough"), F.sort_array(F.concat(F.array_distinct(shingles(code=F.hash)), cells)).alias("s"))
+    found = found.withColumn("at", F.array(*[F.array_position("s", F.lit(m).cast("int")) for m in marks]))
 
     def band(j: int) -> Column:
         at, after = F.get("at", F.lit(j)), F.get("at", F.lit(j + 1))
         least = F.slice("s", (at + 1).cast("int"), F.least(F.lit(ROWS), after - at - 1).cast("int"))
-        return F.when(enough & (after - at > 1), F.xxhash64(F.lit(j), least))
+        return F.when(F.col("enough") & (after - at > 1), F.xxhash64(F.lit(j), least))
 
-    return found.select("h", F.array_compact(F.array(*map(band, range(BANDS)))).alias("keys"))
+    return found.select(*rest, F.array_compact(F.array(*map(band, range(BANDS)))).alias("keys"))
 
 
-def bands(signed: DataFrame) -> DataFrame:
-    """(key, h) for the bands of each line."""
-    return signed.select(F.explode("keys").alias("key"), "h")
+def bands(rows: DataFrame) -> DataFrame:
+    """(key, h) for the bands of each line of (h, keys)."""
+    return rows.select(F.explode("keys").alias("key"), "h")
 
 
-def shared_bands(signed: DataFrame) -> DataFrame:
+def shared_bands(rows: DataFrame) -> DataFrame:
     """(key, h), each once, of the bands that two different lines share."""
     part = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))  # enough to tell a band's lines from each other
-    several = bands(signed).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high").select("key")
+    several = bands(rows).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high").select("key")
     several = stored(several, "bands")
-    return bit_held(bands(signed), "key", bit_table(several, "key")).join(several, "key", "left_semi").distinct()
+    # an inner join, since a semi-join is pushed below the bitmap; keys are distinct in ``several``
+    return bit_held(bands(rows), "key", bit_table(several, "key")).join(several, "key").distinct()
 
 
 def order(column: str) -> Column:
@@ -127,38 +132,64 @@ def alike(sa: Column, sb: Column) -> Column:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines in (h, line) are alike."""
     side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"l{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = let(shingle_set("la"), lambda x: let(shingle_set("lb"), lambda y: alike(x, y)))
-    return both.where(near).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shingles("la").alias("la"), shingles("lb").alias("lb"))
+    both = both.select("a", "b", F.array_distinct("la").alias("sa"), F.array_distinct("lb").alias("sb"))
+    # not a filter, which would be pushed below and take the shingles again for each mention
+    return both.select(F.explode(F.array_repeat(F.struct("a", "b"), alike(F.col("sa"), F.col("sb")).cast("int"))).alias("link")).select("link.*")
+
+
+def parities(s: Column) -> list[Column]:
+    """256 bits of a set of hashes: each element turns one over, so two sets differ in at least as many elements as bits."""
+
+    def word(w: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == w
+        return F.aggregate(F.filter(s, mine), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+    return [word(w).alias(f"p{w}") for w in range(4)]
+
+
+def may_be_alike(x: Column, y: Column) -> Column:
+    """False where sizes and parities prove that two lines are not alike: sets of m and n that differ in d elements
+    have the similarity (m + n - d) / (m + n + d)."""
+    up, down = SIMILAR
+    m, n = x["n"], y["n"]
+    differ = sum((F.bit_count(x[f"p{w}"].bitwiseXOR(y[f"p{w}"])) for w in range(1, 4)), F.bit_count(x["p0"].bitwiseXOR(y["p0"])))
+    return (m * down >= n * up) & (n * down >= m * up) & (differ * (down + up) <= (m + n) * (down - up))
 
 
 def links_of_blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     """Links (a, b) between components in the buckets of (key, h, root) that hold several and more than three lines."""
     size = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = F.max_by("root", F.struct("c", "root")).alias("main")
-    mixed = size.groupBy("key").agg(largest, F.count(F.lit(1)).alias("roots"), F.sum("c").alias("n")).where("roots > 1 and n > 3")
-    open_ = members.join(mixed.select("key", "main", F.ceil(F.col("n") / block).alias("blocks")), "key").join(texts, "h")
-    dealt = open_.select("key", (F.col("root") == F.col("main")).alias("inner"), F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).alias("at"), F.struct("root", "line").alias("row"))
+    mixed = size.groupBy("key").agg(largest, F.count(F.lit(1)).alias("roots"), F.sum("c").alias("lines")).where("roots > 1 and lines > 3")
+    open_ = stored(members.join(mixed.select("key", "main"), "key"), "mixed")
+    sets = texts.join(open_.select("h").distinct(), "h").select("h", "line", shingle_set().alias("s"))
+    drawn = stored(sets.select("h", "line", F.size("s").alias("n"), *parities(F.col("s"))), "drawn")
+    blocks = open_.join(drawn.select("h", "n"), "h").groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (400 * block))).alias("blocks"))
+    row = F.struct("root", "line", "n", "p0", "p1", "p2", "p3").alias("row")
+    dealt = open_.join(drawn, "h").join(blocks, "key").select("key", (F.col("root") == F.col("main")).alias("inner"), F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).alias("at"), row)
     groups = stored(dealt.groupBy("key", "inner", "at").agg(F.collect_list("row").alias("rows")), "blocks")
     outer = groups.where(~F.col("inner")).select("key", F.col("at").alias("p"), F.col("rows").alias("left"))
     every = groups.select("key", "inner", F.col("at").alias("q"), F.col("rows").alias("right"))
     met = outer.join(every, "key").where("inner or p <= q").withColumn("same", ~F.col("inner") & (F.col("p") == F.col("q")))
-    sets = lambda rows: F.transform(rows, lambda r: F.struct(r["root"].alias("root"), shingle_set(r["line"]).alias("s")))
+    met = met.select("left", "right", F.transform("left", lambda r: shingle_set(r["line"])).alias("sl"), F.transform("right", lambda r: shingle_set(r["line"])).alias("sr"), "same")
 
-    def found(x: Column, rows: Column) -> Column:
-        near = F.filter(rows, lambda y: (y["root"] != x["root"]) & ~(F.col("same") & (y["root"] > x["root"])) & alike(x["s"], y["s"]))
-        return F.transform(near, lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
+    def found(x: Column, i: Column, right: Column, sl: Column, sr: Column, same: Column) -> Column:
+        fits = lambda y, j: (y["root"] != x["root"]) & ~(same & (y["root"] > x["root"])) & may_be_alike(x, y) & alike(F.get(sl, i), F.get(sr, j))
+        return F.transform(F.filter(right, fits), lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
 
-    links = let(sets(F.col("left")), lambda x: let(sets(F.col("right")), lambda y: F.array_distinct(F.flatten(F.transform(x, lambda one: found(one, y))))))
+    everything = F.array(F.struct("left", "right", "sl", "sr", "same"))  # held by a lambda's variable, see let
+    links = F.get(F.transform(everything, lambda e: F.array_distinct(F.flatten(F.transform(e["left"], lambda x, i: found(x, i, e["right"], e["sl"], e["sr"], e["same"]))))), F.lit(0))
     return met.select(F.explode(links).alias("link")).select("link.a", "link.b").distinct()
 
 
-def linked(lines: DataFrame, signed: DataFrame, block: int = 64) -> DataFrame:
-    """(node, root) of the lines of (h, line) that links join: what a comparison of all pairs of all buckets would join."""
-    members = stored(shared_bands(signed), "buckets")
+def linked(lines: DataFrame, rows: DataFrame, block: int = 256) -> DataFrame:
+    """(node, root) of the lines of (h, line) that links join, by the bands of (h, keys): what a comparison of all pairs of all
+    buckets would join."""
+    members = stored(shared_bands(rows), "buckets")
     asked = members.select("h").distinct()
-    texts = bit_held(lines, "h", bit_table(asked, "h")).groupBy("h").agg(F.first("line").alias("line"))
-    texts = stored(texts.join(asked, "h", "left_semi"), "texts")
+    texts = stored(bit_held(lines, "h", bit_table(asked, "h")).groupBy("h").agg(F.first("line").alias("line")).join(asked, "h"), "texts")
     roots = cut(components(verified(pairs_with_ends(members), texts)))
     named = stored(members.join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")), "components")
     again = components(cut(links_of_blocks(named, texts, block))).select(F.col("node").alias("root"), F.col("root").alias("last"))
@@ -170,9 +201,8 @@ def linked(lines: DataFrame, signed: DataFrame, block: int = 64) -> DataFrame:
 def kept_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, k, kept): the places of the lines that stay, from 0, in order, of each document (id and text hash) that keeps one."""
     every = exploded(docs, key, text)
-    slim = stored(every.select("doc", "k", "pos", "h"), "lines")
-    lines = every.select("h", "line")
-    roots = linked(lines, stored(signatures(lines), "signatures")).select(F.col("node").alias("h"), "root")
+    slim = stored(signed(every), "lines")
+    roots = linked(every.select("h", "line"), slim.select("h", "keys")).select(F.col("node").alias("h"), "root")
     order = F.struct(F.col("doc").isNull().alias("n"), F.col("doc").alias("doc"), F.col("k").alias("k"), F.col("pos").alias("pos"))
     first = slim.groupBy("h").agg(F.min(order).alias("o")).join(roots, "h", "left")
     stays = first.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("o").alias("o")).select("o.doc", "o.k", "o.pos")

@@ -332,7 +332,7 @@ def test_buckets_join_what_all_their_pairs_would_join(spark):
                 line[i] = rng.choice(words)
             texts.add(" ".join(line))
     lines = spark.createDataFrame([(t,) for t in sorted(texts)], "line string").select(F.xxhash64("line").alias("h"), "line")
-    signed = fuzzylines.signatures(lines)
+    signed = fuzzylines.signed(lines)
     sets = {r.h: frozenset(r.s) for r in lines.select("h", fuzzylines.shingle_set().alias("s")).collect()}
     members = {}
     for r in fuzzylines.bands(signed).collect():
@@ -389,7 +389,7 @@ def test_fuzzy_lines_against_all_pairs(spark):
     want = {flat[i][:2] for i in range(len(flat)) if find(i) == i}
     gone = len(flat) - len(want)
     assert len(links) > 60 and want <= got and len(flat) - len(got) >= 0.95 * gone  # a link that no band shows keeps a line more
-    signed = fuzzylines.signatures(spark.createDataFrame([(t,) for _, _, t in flat], "line string").select(F.xxhash64("line").alias("h"), "line")).collect()
+    signed = fuzzylines.signed(spark.createDataFrame([(t,) for _, _, t in flat], "line string").select(F.xxhash64("line").alias("h"), "line")).collect()
     keys = {r.h: set(r["keys"]) for r in signed}
     h = [r.h for r in spark.createDataFrame([(i, x[2]) for i, x in enumerate(flat)], "i int, line string").orderBy("i").select(F.xxhash64("line").alias("h")).collect()]
     found = sum(h[a] == h[b] or bool(keys.get(h[a], set()) & keys.get(h[b], set())) for a, b in links)
