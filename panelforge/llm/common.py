@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the setting is absent (tests)."""
+    """The folder that driver and executors share. A temporary one only where the setting is absent and Spark runs in one
+    process (tests); on a cluster each machine would write to a disk of its own, so that is an error."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {SETTING} to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="panelforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found

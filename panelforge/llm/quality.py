@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .bytewords import Slice, slices, text_bytes
 from .common import without
-from .labelled import training_sample
+from .labelled import fitted, training_sample
 
 #: Byte classes of the statistics: members of each class.
 CLASSES = {
@@ -266,6 +266,11 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 3, rate:
     return Rules(kept, b - float((w * mean / std).sum()))
 
 
+def train(sample: pa.Table) -> Rules:
+    """Rules from (text, label) rows."""
+    return fit(statistics(sample.column("text")), np.asarray(sample.column("label").to_pylist(), np.float64))
+
+
 def with_statistics(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the columns STATS."""
     names = {n.lower() for n in STATS}
@@ -283,8 +288,7 @@ def with_statistics(docs: DataFrame, *, text: str = "text", keep: list[str] | No
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = 6_000) -> Rules:
-    sample = training_sample(docs, labels, label, most=most)
-    return fit(statistics(sample.column("text")), np.asarray(sample.column("label").to_pylist(), np.float64))
+    return fitted(training_sample(docs, labels, label, most=most), train)
 
 
 def scored(docs: DataFrame, rules: Rules, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .bytewords import Slice, slices
 from .common import without
-from .labelled import training_sample
+from .labelled import fitted, training_sample
 
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 PREFIXES = (5, 6, 7, 8)
@@ -269,4 +269,4 @@ def clean(docs: DataFrame, net: Net | float, *, text: str = "text", threshold: f
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most: int = 6_000) -> Net | float:
-    return train(training_sample(docs, labels, label, most=most))
+    return fitted(training_sample(docs, labels, label, most=most), train)
