@@ -1,4 +1,12 @@
-"""A corpus pipeline of five stages, each an operator of ``panelforge.llm`` applied to what the stage before kept."""
+"""A corpus pipeline of five stages, each an operator of ``panelforge.llm`` applied to what the stage before kept.
+
+Defined cases, the same for every stage: a null text is a text without words, lines or shingles, and is kept by the
+filters; rows that repeat a document are judged alike by toxicity and decontamination, keep the same lines in line dedup,
+and are one group in near-dedup, so one of them stays; ties (the same first line, the same group) go to the smaller
+doc_id, null last; texts of any length are taken whole; an empty table, or a stage that keeps nothing, gives an empty
+table with the same columns; columns that are not of documents pass through whatever their names, but for names that
+begin with "__line_", which line dedup refuses.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +17,8 @@ from panelforge.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labelled rows that are not held out."""
+    """Documents that the classifier rejects go; it learns from the labelled rows that are not held out. Without labels, or
+    with labels of one kind only, the score is their share: nothing goes unless most labelled documents are toxic."""
     net = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, net)
 
