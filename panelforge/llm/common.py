@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -45,6 +45,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: as a lambda's variable it is neither computed nor copied again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bit_table(keys: DataFrame, column: str, words: int = 1 << 20) -> DataFrame:
     """(word, bits): a bitmap of the last bits of long keys, of ``words`` times 64 bits at most, so it may be broadcast."""
     word, bit = F.pmod(F.shiftright(column, 6), F.lit(words)).cast("int"), F.expr(f"shiftleft(1L, int(`{column}` & 63))")

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_held, bit_table, cut, stored
+from .common import bit_held, bit_table, cut, let, stored
 from .union import components
 
 SIMILAR = (4, 5)
@@ -47,11 +47,6 @@ HIDDEN = "__line_"
 FLIP = 0x5A17C3D2E96B4F81
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: as a lambda's variable it is neither computed nor copied again."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shingles(line: str | Column = "line", width: int = WIDTH, code=F.xxhash64) -> Column:
     """Hashes of a line's shingles in order, repeats included. Two bytes a character make every place a fixed offset."""
 

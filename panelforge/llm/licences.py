@@ -32,7 +32,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bit_held, bit_table, cut, let, stored
 
 #: Notices by which licences are declared.
 TEMPLATES = {
@@ -138,7 +138,7 @@ def cosines(units: DataFrame, weights: dict[str, float], keys: list[str]) -> Dat
     spark = units.sparkSession
     side = F.broadcast(spark.createDataFrame(sides(weights), "template int, licence string, t string, v double"))
     known = F.broadcast(spark.createDataFrame(sorted((t, w) for t, w in weights.items() if t), "t string, idf double"))
-    counted = units.select(*keys, F.explode(terms("body")).alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("n"))
+    counted = units.select(*keys, F.explode(counts(terms("body"))).alias("c")).select(*keys, "c.t", "c.n")
     counted = counted.join(known, "t", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(weights[""])))
     norm = counted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = counted.join(side, "t").groupBy(*keys, "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
@@ -146,14 +146,25 @@ def cosines(units: DataFrame, weights: dict[str, float], keys: list[str]) -> Dat
     return dots.join(norm, keys).where("norm > 0").select(*keys, "licence", (F.col("dot") / F.col("norm")).alias("score"))
 
 
+def counts(words: Column) -> Column:
+    """(t, n) of an array's different words, within the row: equal words stand together once they are sorted."""
+
+    def runs(w: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        ends = lambda f: F.transform(f, lambda i, j: F.struct(F.get(w, i).alias("t"), (F.coalesce(F.get(f, j + 1), F.size(w)) - i).alias("n")))
+        return F.when(F.size(w) > 0, let(first, ends))
+
+    return let(F.sort_array(words), runs)
+
+
 def covering(files: DataFrame, weights: dict[str, float], threshold: float) -> DataFrame:
-    """The files of (k, text) of which a part may reach the threshold: by Cauchy's inequality its cosine is at most the
-    norm of what the template shares with the file."""
+    """Keys of the files of (k, text) of which a part may reach the threshold: by Cauchy's inequality its cosine is at most
+    the norm of what the template shares with the file. Copies of a text add up, which only lets more of them through."""
     side = F.broadcast(files.sparkSession.createDataFrame([(i, t, v * v) for i, _, t, v in sides(weights)], "template int, t string, vv double"))
     known = F.array(*[F.lit(t) for t in sorted(weights) if t])
     held = files.select("k", F.explode(F.array_intersect(terms("text"), known)).alias("t")).join(side, "t")
-    enough = held.groupBy("k", "template").agg(F.sum("vv").alias("vv")).where(F.col("vv") >= threshold**2 - 1e-9).select("k").distinct()
-    return files.join(enough, "k", "left_semi")
+    enough = held.groupBy("k", "template").agg(F.sum("vv").alias("vv")).where(F.col("vv") >= threshold**2 - 1e-9)
+    return stored(enough.select("k").distinct(), "covering")
 
 
 def windows(files: DataFrame) -> DataFrame:
@@ -177,8 +188,11 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", threshold:
     own = files.select(F.col(f"`{path}`").alias("path"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k"), F.col(f"`{text}`").alias("text"))
     weights = term_weights(own)
     gate = F.array(*[F.lit(t) for t in gate_terms(weights, threshold)])
-    holders = own.where(F.arrays_overlap(terms(F.coalesce("text", F.lit(""))), gate)).select("k", "text").dropDuplicates(["k"])
-    holders = cut(covering(holders, weights, threshold))
+    passing = own.where(F.arrays_overlap(terms(F.coalesce("text", F.lit(""))), gate)).select("k", "text")
+    asked = covering(passing, weights, threshold)
+    # texts are shuffled only where their key passes a bitmap of fixed size; the join decides
+    holders = bit_held(own.select("k", "text"), "k", bit_table(asked, "k")).groupBy("k").agg(F.first("text").alias("text"))
+    holders = stored(holders.join(asked, "k"), "holders")
     lines = windows(holders).where(F.arrays_overlap(terms("body"), gate))
     whole = holders.select("k", F.lit(-1).cast("long").alias("pos"), F.col("text").alias("body"))
     score = cosines(lines.unionAll(whole), weights, ["k", "pos"]).where(F.col("score") >= threshold)
