@@ -2,19 +2,24 @@
 
 A window is ``window`` consecutive words. Its fingerprint is the least hash among the runs of ``gram`` words inside it
 (a minimizer), so equal windows have equal fingerprints and neighbouring windows mostly share one: a document has
-about one fingerprint for ten words. The index holds immutable runs, each a Parquet table of (anchor, n) sorted by
-anchor. A new batch is aggregated and written as one more run; when there are more than ``fanout`` runs they are compacted
-to one, with counts added. Incremental use is not built: the runs hold no content, so passages are verified only among the
-documents of one call, and a passage that occurs once there and once in an earlier call is kept.
-
-A fingerprint that occurs twice only makes its windows candidates. They are verified by content: first whole chunks
-(all neighbouring windows of a document under one fingerprint, with every word they cover) by a 64-bit hash beneath the
-64-bit fingerprint, then, where chunks differ, every single window. Copies of a chunk count once in the second step, so
-a passage that sits in a third of all documents costs one row a document. Rows meet by key through joins whose large
-side is splittable; no group is ever gathered in one task. Texts travel compressed.
+about one fingerprint for ten words. The index holds immutable runs, each a Parquet table of (anchor, k, n) sorted by
+anchor: fingerprint, document (a hash of its text) and how often it holds it. Documents come in batches; each batch
+becomes a run, and is merge-joined with all earlier runs. Fingerprints that an earlier run holds, or the batch itself
+twice, make their windows candidates. When there are more than ``fanout`` runs they are compacted to one. An index that
+is passed in also keeps the documents of a call (compressed, by k), so that a later call can verify against them: of the
+earlier documents only those that share a fingerprint are read again.
+
+Candidates are verified by content: first whole chunks (all neighbouring windows of a document under one fingerprint,
+with every word they cover) by a 64-bit hash beneath the 64-bit fingerprint, then, where chunks differ, every single
+window by a 64-bit hash of its words. The hashes of words have no algebraic structure that texts could meet by pattern.
+Copies of a chunk count once in the second step, so a passage that sits in a third of all documents costs one row a
+document. Rows meet by key through joins whose large side is splittable; no group is ever gathered in one task. Texts
+travel compressed.
 
 Defined cases: a null or empty text has no words; a document shorter than a window loses nothing; a repeated row is a
-copy, so its windows are repeated; ids are not looked at; columns of the input named like an output are replaced.
+copy, so its windows are repeated; a document that an earlier call has put into the index is one more occurrence of its
+windows, also if it comes again; very long texts are taken whole; ids are not looked at; an empty table gives no rows;
+columns of the input named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -24,17 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import SPACE, BASES, _POWERS, fold_table, mix, slices, windows_of
+from .bytewords import SPACE, BASES, _POWERS, fold_table, mix, slices, windows_of, word_codes
 from .common import shared_dir, stored, without
 
 FOLD = fold_table(SPACE, lower=False)
 LOW = np.uint64(0xFFFFFFFF)
 OUT = ("n_words", "n_removed", "removed", "kept")
+RUN = "anchor long, k long, n long"
 
 
 def chunks_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +74,7 @@ def chunk_hashes(words: np.ndarray, anchor: np.ndarray, first: np.ndarray, count
 def documents_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """Row and word hashes of each text."""
     for s in slices(column):
-        h = s.hashes()[0]
+        h = word_codes(s)
         for d in range(s.docs):
             yield s.first + d, h[s.cuts[d] : s.cuts[d + 1]]
 
@@ -80,84 +87,68 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def anchor_counts(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, n) of the chunks of (k, text), added up within each Arrow batch before anything is shuffled."""
-
-    def run(batches):
-        for batch in batches:
-            found = [chunks_of(words, window, gram)[0] for _, words in documents_of(batch.column(1))]
-            value, n = np.unique(_joined(found), return_counts=True)
-            yield _longs(value, n, names=["anchor", "n"])
-
-    return texts.mapInArrow(run, "anchor long, n long")
-
-
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k, anchor) of (k, text), each fingerprint once for a document."""
+    """(anchor, k, n) of (k, text): each fingerprint of a document, and how often it has a chunk of its own there."""
 
     def run(batches):
         for batch in batches:
-            k, keys, found = batch.column(0).to_numpy(), [], []
+            k, out = batch.column(0).to_numpy(), ([], [], [])
             for row, words in documents_of(batch.column(1)):
-                a = np.unique(chunks_of(words, window, gram)[0])
-                keys.append(np.full(len(a), k[row]))
-                found.append(a)
-            yield _longs(_joined(keys), _joined(found), names=["k", "anchor"])
+                a, n = np.unique(chunks_of(words, window, gram)[0], return_counts=True)
+                for o, v in zip(out, (a, np.full(len(a), k[row]).view(np.uint64), n), strict=True):
+                    o.append(v)
+            yield _longs(*map(_joined, out), names=["anchor", "k", "n"])
 
-    return texts.mapInArrow(run, "k long, anchor long")
+    return texts.mapInArrow(run, RUN)
 
 
 class FingerprintIndex:
-    """Runs of (anchor, n) under a folder that all machines share."""
+    """Runs of (anchor, k, n), and documents (k, packed), under a folder that all machines share."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, *, fanout: int = 8):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.texts: list[str] = []
 
-    def _write(self, counts: DataFrame) -> None:
-        path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        counts.sortWithinPartitions("anchor").write.parquet(path)
-        self.runs.append(path)
+    def _write(self, df: DataFrame, kind: str) -> str:
+        path = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("anchor long, n long").parquet(path)
+    def read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def add(self, found: DataFrame) -> None:
-        """One more run from a batch's fingerprints (anchor, and n where they are counted already)."""
-        n = F.sum("n") if "n" in found.columns else F.count(F.lit(1))
-        self._write(found.groupBy("anchor").agg(n.alias("n")))
-        if len(self.runs) > self.fanout:
-            self.compact()
+    def add(self, found: DataFrame) -> DataFrame:
+        """A batch's fingerprints (anchor, k, n) as one more sorted run, read from there."""
+        summed = found.groupBy("anchor", "k").agg(F.sum("n").alias("n"))
+        self.runs.append(self._write(summed.sortWithinPartitions("anchor", "k"), "run"))
+        return self.read(self.runs[-1:], RUN)
+
+    def known(self, found: DataFrame, runs: list[str]) -> DataFrame:
+        """The fingerprints of a batch that earlier runs hold, by a merge join with them."""
+        earlier = self.read(runs, RUN).select("anchor").hint("merge")
+        return found.select("anchor").distinct().join(earlier, "anchor", "left_semi")
 
-    def known(self, found: DataFrame) -> DataFrame:
-        """The fingerprints of a batch that a run already holds, by a merge join with each run."""
-        batch = found.select("anchor").distinct()
-        hits = [batch.join(self._read(p).select("anchor").hint("merge"), "anchor", "left_semi") for p in self.runs]
-        out = batch.limit(0) if not hits else hits[0]
-        for h in hits[1:]:
-            out = out.unionAll(h)
-        return out.distinct()
+    def keep(self, packed: DataFrame) -> None:
+        """Documents (k, packed) that later batches are verified against."""
+        self.texts.append(self._write(packed.groupBy("k").agg(F.min("packed").alias("packed")), "texts"))
+
+    def documents(self, runs: list[str], wanted: DataFrame) -> DataFrame:
+        """(k, packed, cands) of the kept documents that hold one of the fingerprints ``wanted`` in ``runs``."""
+        holders = self.read(runs, RUN).join(wanted, "anchor", "left_semi").groupBy("k").agg(F.collect_list("anchor").alias("cands"))
+        kept = self.read(self.texts, "k long, packed binary").groupBy("k").agg(F.min("packed").alias("packed"))
+        return kept.join(holders, "k").select("k", "packed", "cands")
 
     def compact(self) -> None:
         """All runs become one; the old ones are removed after the new one is whole."""
-        if len(self.runs) < 2:
-            return
-        old, self.runs = self.runs, []
-        every = self._read(old[0])
-        for p in old[1:]:
-            every = every.unionAll(self._read(p))
-        self._write(every.groupBy("anchor").agg(F.sum("n").alias("n")))
-        for p in old:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def repeated(self) -> DataFrame:
-        """Fingerprints that occur twice or more in all that was added."""
-        self.compact()
-        if not self.runs:
-            return self.spark.createDataFrame([], "anchor long")
-        return self._read(self.runs[0]).where("n > 1").select("anchor")
+        if len(self.runs) > self.fanout:
+            old = self.runs
+            summed = self.read(old, RUN).groupBy("anchor", "k").agg(F.sum("n").alias("n"))
+            self.runs = [self._write(summed.sortWithinPartitions("anchor", "k"), "run")]
+            for path in old:
+                system, place = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+                system.delete_dir(place)
 
 
 def cover(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -185,20 +176,28 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
     """``docs`` (or its columns ``keep``) with n_words, n_removed, the removed spans of words as (start, end), and ``kept``:
     the kept words joined by one space, or with finish="sha256" the hash of that text.
 
-    The documents are added to the index in ``batches`` by a hash of their text, as a corpus would arrive; a passage
-    counts as repeated by what all batches of this call hold; earlier content of ``index`` makes candidates but no copies."""
+    The documents go through the index in ``batches`` by a hash of their text, as a corpus would arrive. A window counts as
+    repeated by what all batches of this call and, where ``index`` is passed, all earlier calls hold."""
     spark = docs.sparkSession
     docs = without(docs, *OUT)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUT]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hidden = {c: f"__c{i}" for i, c in enumerate(kept)}
     texts = docs.select(F.xxhash64(whole).alias("k"), whole.alias("text"))
-    index = index or FingerprintIndex(spark)
+    lasting, index = index is not None, index or FingerprintIndex(spark)
+    earlier, found = list(index.runs), []
     for i in range(batches):
-        index.add(anchor_counts(texts.where(F.pmod(F.shiftright("k", 8), F.lit(batches)) == i) if batches > 1 else texts, window, gram))
-    again = index.repeated()
-    cands = anchors(texts, window, gram).join(again, "anchor", "left_semi").distinct()
-    cands = cands.groupBy("k").agg(F.collect_list("anchor").alias("cands"))
+        part = texts.where(F.pmod(F.shiftright("k", 8), F.lit(batches)) == i) if batches > 1 else texts
+        before = list(index.runs)
+        run = index.add(anchors(part, window, gram))
+        found.append(run.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
+        if before:
+            found.append(index.known(run, before))
+    again = found[0]
+    for more in found[1:]:
+        again = again.unionAll(more)
+    again = stored(again.distinct(), "anchors")
+    cands = index.read(index.runs[len(earlier) :], RUN).join(again, "anchor", "left_semi").groupBy("k").agg(F.collect_list("anchor").alias("cands"))
 
     own = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()], F.xxhash64(whole).alias("k"), whole.alias("text"))
     fields = own.schema.fields[:-2]
@@ -219,7 +218,13 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
             body = pa.array([z.compress(x.as_py()) for x in b.column("text").cast(pa.large_binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), b.column("k"), body], names=[*names, "k", "packed"])
 
+    def pack_texts(batches):
+        for b in batches:
+            z = zstandard.ZstdCompressor(level=3)
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([z.compress(x.as_py()) for x in b.column("text").cast(pa.large_binary())], pa.binary())], names=["k", "packed"])
+
     packed = own.mapInArrow(pack, T.StructType([*fields, T.StructField("k", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    history = index.documents(earlier, again) if earlier else None
     joined = packed.join(cands, "k", "left").select(*names, "k", "packed", "cands")
 
     def settle(batches):
@@ -237,6 +242,9 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
     halfway = stored(joined.mapInArrow(settle, shape), "passages")
     done = halfway.where("packed is null").select(*names, *OUT)
     open_ = halfway.where("packed is not null")
+    compared = open_.select("k", "packed", "cands")
+    if history is not None:
+        compared = compared.unionAll(stored(history, "history"))
 
     def opened(b: pa.RecordBatch):
         """Row, word hashes, and the candidate chunks (fingerprint, first window, windows, hash) of each document."""
@@ -257,7 +265,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
                     o.append(v)
             yield _longs(*map(_joined, out), names=["k", "anchor", "chunk", "n"])
 
-    chunks = open_.select("k", "packed", "cands").mapInArrow(chunk_rows, "k long, anchor long, chunk long, n long")
+    chunks = compared.mapInArrow(chunk_rows, "k long, anchor long, chunk long, n long")
     variants = stored(chunks.groupBy("anchor", "chunk").agg(F.sum("n").alias("n"), F.min("k").alias("k")), "chunks")
     copied = chunks.join(variants.where("n > 1").select("anchor", "chunk"), ["anchor", "chunk"], "left_semi").select("k", "chunk").distinct()
     copied = copied.groupBy("k").agg(F.collect_list("chunk").alias("copied"))
@@ -286,7 +294,7 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
             flag = np.concatenate(single) if single else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(_joined(out[0]).view(np.int64)), pa.array(_joined(out[1]).view(np.int64)), pa.array(flag)], names=["k", "w", "single"])
 
-    singles = stored(open_.select("k", "packed", "cands").join(asked, "k").mapInArrow(window_rows, "k long, w long, single boolean"), "windows")
+    singles = stored(compared.join(asked, "k").mapInArrow(window_rows, "k long, w long, single boolean"), "windows")
     twice = singles.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     shared = singles.where("single").join(twice, "w", "left_semi").select("k", "w").distinct().groupBy("k").agg(F.collect_list("w").alias("shared"))
 
@@ -303,6 +311,9 @@ def repeated_spans(docs: DataFrame, *, text: str = "text", window: int = 35, gra
                 rows[row] = render(z.decompress(b.column("packed")[row].as_py()), cover(len(words), np.concatenate(starts), window))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *finished(rows)], names=[*names, *OUT])
 
+    if lasting:
+        index.keep(texts.mapInArrow(pack_texts, "k long, packed binary"))
+        index.compact()
     marked = open_.select(*names, "k", "packed", "cands").join(copied, "k", "left").join(shared, "k", "left")
     closed = marked.mapInArrow(close, T.StructType([*fields, *result]))
     return done.unionAll(closed).select(*[F.col(h).alias(c) for c, h in hidden.items()], *OUT)

@@ -167,12 +167,50 @@ def test_substrings(docs, empty):
 
 def test_index_runs_are_merged_and_compacted(spark, tmp_path):
     index = substrings.FingerprintIndex(spark, str(tmp_path), fanout=2)
-    batch = lambda *v: spark.createDataFrame([(x,) for x in v], "anchor long")
+    batch = lambda *v: spark.createDataFrame([(x, 100 + x, 1) for x in v], substrings.RUN)
     index.add(batch(1, 2))
-    assert {r.anchor for r in index.known(batch(2, 3)).collect()} == {2}
-    index.add(batch(2, 3, 3))
+    run = index.add(batch(2, 3, 3))
+    assert {r.anchor for r in index.known(run, index.runs[:1]).collect()} == {2} and {(r.anchor, r.n) for r in run.collect()} == {(2, 1), (3, 2)}
+    index.compact()
+    assert len(index.runs) == 2
     index.add(batch(9))
-    assert len(index.runs) == 1 and {r.anchor for r in index.repeated().collect()} == {2, 3}
+    index.compact()
+    assert len(index.runs) == 1 and {(r.anchor, r.n) for r in index.read(index.runs, substrings.RUN).collect()} == {(1, 1), (2, 2), (3, 2), (9, 1)}
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_words_that_differ_by_a_pattern_are_not_equal(spark):
+    """Two words of 1,024 letters whose polynomial hashes modulo 2**64 agree under every odd base."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = prose(21, 34)
+    df = spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word * 3} {rest}"), (4, f"{word * 2 + other} {rest}")], "doc_id long, text string")
+    assert {r.n_removed for r in substrings.repeated_spans(df).collect()} == {0}
+
+
+def test_passages_of_earlier_calls_are_repeated(spark, tmp_path):
+    index = substrings.FingerprintIndex(spark, str(tmp_path), fanout=2)
+    passage, near = prose(31, 60), prose(31, 60).split()
+    near[30] = "other"
+    calls = [
+        [(1, f"{prose(32, 40)} {passage} {prose(33, 40)}"), (2, prose(34, 90))],
+        [(3, f"{passage} {prose(35, 50)}"), (4, " ".join(near)), (5, prose(36, 80))],
+        [(6, prose(34, 90)), (7, f"{prose(37, 20)} {prose(36, 80)[: len(prose(36, 40))]}"), (8, None)],
+    ]
+    seen, got, want = collections.Counter(), {}, {}
+    for rows in calls:
+        for _, t in rows:
+            w = words(t)
+            seen.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+        for i, t in rows:
+            w = words(t)
+            want[i] = len({j for a in range(len(w) - 34) if seen[tuple(w[a : a + 35])] > 1 for j in range(a, a + 35)})
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got |= {r.doc_id: r.n_removed for r in substrings.repeated_spans(df, index=index).collect()}
+    assert got == want and want[3] == 60 and want[6] == 90 and want[7] == 40 and want[1] == want[4] == want[5] == 0
+    assert len(index.runs) == 1  # two runs a call, compacted beyond two
 
 
 # --- 2
