@@ -3,28 +3,33 @@
 Texts and test items are lower-cased (A-Z) and cut into words of digits, ASCII letters and non-ASCII characters.
 The patterns are all runs of ``window`` words of every item; an item of fewer words is one pattern of its own
 length. For each pattern length there is one table set: the shift table says for a block of two words how far the
-search may skip, blocks with shift 0 lead to a bucket of patterns with that suffix, keyed once more by the first
-block, and a direct comparison confirms an occurrence.
+search may skip, a block with shift 0 is the suffix of patterns, whose bucket is keyed once more by the first block, and
+a direct comparison of the words confirms an occurrence.
+
+The items are read in blocks of ``block_bytes``. Each block travels as text and is compiled by the workers to flat tables
+of about ten times its size (shifts and marks by hashed place, buckets as sorted arrays); it adds its findings to the
+rows passing through. At most ``at_once`` blocks are searched in one stage, then the rows are written out, so the memory
+of an executor is bounded whatever the size of the benchmark. Nothing is shuffled.
 
 Defined cases: a null or empty text has no words and is clean; items without words match nothing; a null item_id
 is reported as the empty string; items that repeat an id count once; an empty benchmark leaves every document
-clean; columns of the input named like an output column are replaced; repeated rows are judged one by one.
-
-The items are read in blocks of ``block_bytes``; each block is broadcast by itself and adds its findings to the
-rows passing through, so memory is bounded whatever the size of the benchmark, and nothing is shuffled.
+clean; columns of the input named like an output column are replaced; repeated rows are judged one by one; very long
+texts and items are searched whole.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import fold_table
-from .common import without
+from .common import stored, without
 
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 FOLD = fold_table(SEPARATORS, lower=True)
@@ -37,46 +42,74 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length, given as tuples of words with the places of the items that hold them."""
-
-    def __init__(self, patterns: dict[tuple, set[int]]):
-        self.length = m = len(next(iter(patterns)))
-        self.block = b = min(2, m)
-        self.skip = m - b + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list]] = {}
-        for p, items in patterns.items():
-            for end in range(b, m + 1):
-                block = p[end - b : end]
-                self.shift[block] = min(self.shift.get(block, self.skip), m - end)
-            self.buckets.setdefault(p[m - b :], {}).setdefault(p[:b], []).append((p, sorted(items)))
+    """Patterns of one length: ``places`` are their starts in the list ``words``, ``owners`` the items that hold them."""
+
+    def __init__(self, length: int, words: list[bytes], places: list[int], owners: list[int]):
+        self.length = m = length
+        self.words, self.block = words, min(2, m)
+        b = self.block
+        self.skip = min(m - b + 1, 255)
+        self.mask = (1 << max(10, (4 * len(places)).bit_length())) - 1
+        self.shift = bytearray([self.skip]) * (self.mask + 1)
+        self.marks = bytearray(self.mask + 1)
+        keys = np.empty(len(places), np.int64)
+        for n, at in enumerate(places):
+            # every block but an item's first ones ends a pattern; two blocks in one slot only make the search skip less
+            for end in range(b if n == 0 or owners[n] != owners[n - 1] else m, m + 1):
+                slot = hash(tuple(words[at + end - b : at + end])) & self.mask
+                if m - end < self.shift[slot]:
+                    self.shift[slot] = m - end
+            keys[n] = key = hash((tuple(words[at : at + b]), tuple(words[at + m - b : at + m])))
+            self.marks[key & self.mask] = 1
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places, self.owners = keys[order], np.asarray(places, np.int64)[order], np.asarray(owners, np.int64)[order]
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """Starts of the occurrences, in order, each with its items."""
-        m, b, skip, shift, buckets = self.length, self.block, self.skip, self.shift.get, self.buckets
+        m, b, shift, mask, marks = self.length, self.block, self.shift, self.mask, self.marks
         end, n = m, len(words)
         while end <= n:
             suffix = tuple(words[end - b : end])
-            step = shift(suffix, skip)
+            step = shift[hash(suffix) & mask]
             if step:
                 end += step
                 continue
             start = end - m
-            for p, items in buckets[suffix].get(tuple(words[start : start + b]), ()):
-                if p == tuple(words[start:end]):
+            key = hash((tuple(words[start : start + b]), suffix))
+            if marks[key & mask]:
+                i, j = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+                here = words[start:end]
+                items = [int(self.owners[x]) for x in range(i, j) if self.words[(at := self.places[x]) : at + m] == here]
+                if items:
                     yield start, items
             end += 1
 
 
 def compile_items(items: list[tuple[str, bytes | None]], window: int) -> list[WuManber]:
     """One searcher for each pattern length; patterns refer to items by place."""
-    by_length: dict[int, dict[tuple, set[int]]] = {}
+    words: list[bytes] = []
+    one: dict[bytes, bytes] = {}
+    by_length: dict[int, tuple[list[int], list[int]]] = {}
     for at, (_, text) in enumerate(items):
-        w = tuple(words_of(text))
+        w = [one.setdefault(x, x) for x in words_of(text)]
         size = min(window, len(w))
-        for i in range(len(w) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(w[i : i + size], set()).add(at)
-    return [WuManber(p) for _, p in sorted(by_length.items(), reverse=True)]
+        if size:
+            places, owners = by_length.setdefault(size, ([], []))
+            places += range(len(words), len(words) + len(w) - size + 1)
+            owners += [at] * (len(w) - size + 1)
+            words += w
+    return [WuManber(size, words, *found) for size, found in sorted(by_length.items(), reverse=True)]
+
+
+_COMPILED: dict[str, list[WuManber]] = {}
+
+
+def compiled(name: str, items: list[tuple[str, bytes | None]], window: int) -> list[WuManber]:
+    """The searchers of a block, made once in a worker, which forgets those of the block before."""
+    if name not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[name] = compile_items(items, window)
+    return _COMPILED[name]
 
 
 def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes | None]]]:
@@ -105,7 +138,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20, at_once: int = 2, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_words, spans of hit words as (start, end), and item_ids as sorted strings."""
     spark = docs.sparkSession
     docs = without(docs, *OUT)
@@ -115,16 +148,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
 
     passing = source.columns
 
-    def scan(table, final: bool, first: bool):
+    def scan(table, name: str, final: bool, first: bool):
         def run(batches):
-            ids, searchers = table.value
+            items = table.value
+            ids, searchers = [k for k, _ in items], compiled(name, items, window)
             for batch in batches:
                 body = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
                 before = None if first else (batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist())
                 counts, spans, found = [], [], []
                 for row, raw in enumerate(body):
                     words = words_of(raw.as_py())
-                    hit, items = ([], set()) if before is None else ([(x["start"], x["end"]) for x in before[0][row]], set(before[1][row]))
+                    hit, found_items = ([], set()) if before is None else ([(x["start"], x["end"]) for x in before[0][row]], set(before[1][row]))
                     for s in searchers:
                         for start, at in s.find(words):
                             end = start + s.length
@@ -132,24 +166,24 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
                                 hit[-1] = (hit[-1][0], end)
                             else:
                                 hit.append((start, end))
-                            items.update(ids[i] for i in at)
+                            found_items.update(ids[i] for i in at)
                     counts.append(len(words))
                     spans.append([{"start": s, "end": e} for s, e in merge(hit)])
-                    found.append(sorted(items, key=str.encode))
+                    found.append(sorted(found_items, key=str.encode))
                 names = kept if final else passing
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))], names=[*names, *OUT])
 
         return run
 
     blocks = blocks_of(benchmark, item_id, item_text, block_bytes)
-    pending = next(blocks, [])
-    current, first = source, True
+    pending, current, n = next(blocks, []), source, 0
     while pending is not None:
         after = next(blocks, None)
-        final = after is None
-        shape = schema if final else T.StructType([*source.schema.fields, *schema.fields[-3:]])
-        shared = spark.sparkContext.broadcast(([k for k, _ in pending], compile_items(pending, window)))
-        current, first, pending = current.mapInArrow(scan(shared, final, first), shape), False, after
+        shape = schema if after is None else T.StructType([*source.schema.fields, *schema.fields[-3:]])
+        current = current.mapInArrow(scan(spark.sparkContext.broadcast(pending), uuid.uuid4().hex, after is None, n == 0), shape)
+        pending, n = after, n + 1
+        if pending is not None and n % at_once == 0:
+            current = stored(current, "searched")
     return current
 
 
