@@ -7,13 +7,17 @@ negative weights go to two sums of which one is subtracted. The rows are then se
 downward: a slice splits the rows still open, those above the boundary are taken, and the rows that end on the
 boundary are ordered exactly by id.
 
-Rows are dealt to blocks by a hash of their id, queries to blocks of bounded size; every pair of blocks is one task of
-bounded memory that returns k rows a query, and the best k of all blocks are taken at the end.
+Rows are dealt to blocks at random, so that rows which repeat an id are spread, and queries to groups; both hold at most
+``cells`` numbers on average. Every pair of a block and a group is one task of bounded memory, which makes the block's
+index once for all the group's queries and returns k rows a query; the best k of all blocks are taken at the end. The
+work is queries times rows, as asked; making a block's index costs as much as a few of its thousands of queries.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; of vectors with
 another length than the query only those of equal length are compared; a component that times ``scale`` does not fit a
 long, or a score among the best of a block that does not, is an error; a null id takes no part; ties go to the smaller
-id; rows that repeat an id are each a candidate (but not for a query of their own id); k rows or all there are.
+id; rows that repeat an id are each a candidate (but not for a query of their own id), and share one list of k if the id is a query; k rows
+or all there are; an empty table gives no rows; columns other than key and vector are not read, whatever their names; vectors of
+any length are taken whole, in smaller blocks.
 """
 
 from __future__ import annotations
@@ -172,16 +176,19 @@ def _grid(table: pa.Table, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width)
 
 
-def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, scale: int = 64, block_rows: int = 65_536, block_queries: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, scale: int = 64, block_rows: int = 65_536, cells: int = 4 << 20) -> DataFrame:
     """For each row whose id is divisible by ``every``: query_id, rank from 1, vec_id, score of its k best other rows."""
     rows = cut(quantised(vectors, key=key, vector=vector, scale=scale).withColumn("d", F.size("v")))
-    spark, n = rows.sparkSession, rows.count()
-    asked = rows.where(F.col("id") % every == 0)
-    blocks = max(1, math.ceil(n / block_rows))
+    spark = rows.sparkSession
+    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max("d"), F.lit(1))).first()
+    most = max(64, min(block_rows, cells // width))
+    blocks = max(1, math.ceil(n / most))
     slots = max(1, spark.sparkContext.defaultParallelism) * 2
-    groups = max(1, min(math.ceil(n / every / 64), max(math.ceil(n / every / block_queries), math.ceil(slots / blocks))))
-    data = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    ask = asked.withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    groups = max(1, min(math.ceil(n / every / 64), max(math.ceil(n / every / most), math.ceil(slots / blocks))))
+    place = F.xxhash64(F.monotonically_increasing_id())  # of rows in the checkpoint, so another try gives the same
+    dealt = rows.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("group", F.pmod(F.shiftright(place, 32), F.lit(groups)).cast("int"))
+    data = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    ask = dealt.where(F.col("id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
