@@ -48,8 +48,3 @@ def edge_bin(x: Column, edges: Column) -> Column:
     """Number of edges below x: the bin i with edge[i-1] < x <= edge[i]."""
     return F.size(F.filter(edges, lambda e: e < x)).cast("int")
 
-
-def slope_parts(x: str, y: str) -> list[Column]:
-    """Sums from which moments, slopes and cluster scores follow."""
-    a, b = F.col(x), F.col(y)
-    return [F.count(F.lit(1)).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"), F.sum(b * b).alias("syy")]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.functions.columns import FOLLOWING, avg_rank, div, floor_bin, qcut_bin
+from panelforge.functions.columns import FOLLOWING, avg_rank, div, floor_bin, pct_rank, qcut_bin
 
 FEATURES = ("ret_1", "vol_3", "range_pos_3", "rel_vol_3")
 TARGETS = ("fwd_1", "fwd_2")
@@ -37,38 +37,53 @@ def coverage(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("n_sessions"), F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("session", "slot").alias("n_decisions"))
 
 
-def cluster_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Squared scores of the slope summed over clusters: one aggregate of the rows, pair values by windows over its rows."""
-    x, y = F.col("x"), F.col("y")
-    g = pairs.groupBy(*PAIR, *by).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
-    w = Window.partitionBy(*PAIR)
-    for c in ("n", "sx", "sy", "sxx", "sxy"):
-        g = g.withColumn(f"t_{c}", F.sum(c).over(w))
-    mx, my = F.col("t_sx") / F.col("t_n"), F.col("t_sy") / F.col("t_n")
-    g = g.withColumn("cxx", F.col("t_sxx") - F.col("t_n") * mx * mx).withColumn("b", div(F.col("t_sxy") - F.col("t_n") * mx * my, F.col("cxx")))
-    score = (F.col("sxy") - mx * F.col("sy") - my * F.col("sx") + F.col("n") * mx * my) - F.col("b") * (F.col("sxx") - 2 * mx * F.col("sx") + F.col("n") * mx * mx)
-    return g.withColumn("s", score).groupBy(*PAIR).agg(F.first("b").alias("slope"), F.first("cxx").alias("cxx"), F.first("t_n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.col("s") * F.col("s")).alias("q"))
+def cell_scores(pairs: DataFrame) -> DataFrame:
+    """One row a pair, session and symbol: its rows, and their part s of the score of the pair's slope.
+
+    The rows are read once. A cell keeps central moments, and only cells are moved to the pair's means, so a feature far
+    from zero or of any unit loses no digits; both clusterings are sums of cells."""
+    n = F.count(F.lit(1))
+    g = pairs.groupBy(*PAIR, "session", "symbol").agg(n.alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (n * F.var_pop("x")).alias("sxx"), (n * F.covar_pop("x", "y")).alias("sxy"))
+    w = Window.partitionBy(*PAIR)  # cells of a pair, not its rows
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w)
+    g = g.withColumn("dx", F.col("mx") - mean("mx")).withColumn("dy", F.col("my") - mean("my"))
+    g = g.withColumn("cxx", F.col("sxx") + F.col("n") * F.col("dx") * F.col("dx")).withColumn("cxy", F.col("sxy") + F.col("n") * F.col("dx") * F.col("dy"))
+    g = g.withColumn("t_xx", F.sum("cxx").over(w)).withColumn("slope", div(F.sum("cxy").over(w), F.col("t_xx")))
+    return g.select(*PAIR, "session", "symbol", "n", "slope", F.col("t_xx").alias("cxx"), (F.col("cxy") - F.col("slope") * F.col("cxx")).alias("s"))
+
+
+def clustered(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Squared scores of clusters, summed over a pair."""
+    g = cells.groupBy(*PAIR, *by).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.first("slope").alias("slope"), F.first("cxx").alias("cxx"))
+    return g.groupBy(*PAIR).agg(F.first("slope").alias("slope"), F.first("cxx").alias("cxx"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.col("s") * F.col("s")).alias("q"))
 
 
 def one_way(pairs: DataFrame) -> DataFrame:
-    s = cluster_scores(pairs, ["session"])
+    s = clustered(cell_scores(pairs), ["session"])
     se = div(F.sqrt("q"), F.col("cxx"))
     return s.select(*PAIR, "n", F.col("g").alias("n_clusters"), "slope", se.alias("se"), div(F.col("slope"), se).alias("t"))
 
 
 def two_way(pairs: DataFrame) -> DataFrame:
-    """Session plus symbol minus their meet, each with its small-sample factor, floored at zero."""
-    parts = None
-    for name, by, sign in (("d", ["session"], 1), ("s", ["symbol"], 1), ("x", ["session", "symbol"], -1)):
-        c = cluster_scores(pairs, by)
-        v = div(F.col("g"), F.col("g") - 1) * div(F.col("n") - 1, F.col("n") - 2) * div(F.col("q"), F.col("cxx") * F.col("cxx")) * sign
+    """Session plus symbol minus their meet, each with its small-sample factor; what is left of less than a billionth of
+    the three is rounding noise and no variance, whatever the unit of the feature."""
+    cells, parts = cell_scores(pairs), None
+    for name, by in (("d", ["session"]), ("s", ["symbol"]), ("x", ["session", "symbol"])):
+        c = clustered(cells, by)
+        v = div(F.col("g"), F.col("g") - 1) * div(F.col("n") - 1, F.col("n") - 2) * div(F.col("q"), F.col("cxx") * F.col("cxx"))
         c = c.select(*PAIR, *(["slope", "n"] if name == "d" else []), v.alias(f"v_{name}"))
         parts = c if parts is None else parts.join(c, PAIR)
-    total = F.col("v_d") + F.col("v_s") + F.col("v_x")
-    se = F.when(total.isNotNull(), F.sqrt(F.when(total > 1e-15, total).otherwise(F.lit(0.0))))  # rounding noise is no variance
+    total, all_ = F.col("v_d") + F.col("v_s") - F.col("v_x"), F.col("v_d") + F.col("v_s") + F.col("v_x")
+    se = F.when(total.isNotNull(), F.sqrt(F.when(total > 1e-9 * all_, total).otherwise(F.lit(0.0))))
     return parts.select(*PAIR, "n", "slope", se.alias("se"), div(F.col("slope"), se).alias("t"))
 
 
+def clustered_screen(pairs: DataFrame) -> DataFrame:
+    """A pair's slope with both kinds of errors, and the two-sided normal p of each t."""
+    both = one_way(pairs).join(two_way(pairs).select(*PAIR, F.col("se").alias("se_two_way"), F.col("t").alias("t_two_way")), PAIR)
+    return both.withColumn("p", normal_p("t")).withColumn("p_two_way", normal_p("t_two_way"))
+
+
 def binary_effect(pairs: DataFrame) -> DataFrame:
     on, off = F.col("x") == 1, F.col("x") == 0
     out = pairs.groupBy(*PAIR).agg(F.count_if(on).alias("n_on"), F.count_if(off).alias("n_off"), F.count_if(~F.col("x").isin(0.0, 1.0)).alias("n_bad"), F.avg(F.when(on, F.col("y"))).alias("mean_on"), F.avg(F.when(off, F.col("y"))).alias("mean_off"), F.countDistinct(F.when(on, F.col("session"))).alias("on_sessions"), F.countDistinct(F.when(off, F.col("session"))).alias("off_sessions"))
@@ -134,9 +149,28 @@ def outlier_variants(pairs: DataFrame) -> DataFrame:
     return out.groupBy(*PAIR, "v.variant").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("v.vy", "v.vx").alias("slope"))
 
 
-def arithmetic_p(t: Column) -> Column:
-    """A p-like number in (0, 1] without special functions, for exact comparisons: 1 / (1 + t squared)."""
-    return 1 / (1 + t * t)
+# Coefficients of a rational Chebyshev fit of erfc (Numerical Recipes), relative error below 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_p(t: str) -> Column:
+    """Two-sided normal tail probability of a statistic, by arithmetic alone; null for null."""
+    z = F.abs(F.col(t)) / math.sqrt(2)
+    u = 1 / (1 + 0.5 * z)
+    fit = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        fit = F.lit(c) + u * fit
+    return u * F.exp(-z * z + fit)
+
+
+def normal_p_sql(t: str) -> str:
+    """The same as SQL text."""
+    z = f"(abs({t}) / sqrt(2.0::double))"
+    u = f"(1 / (1 + 0.5::double * {z}))"
+    fit = f"({ERFC[-1]}::double)"
+    for c in reversed(ERFC[:-1]):
+        fit = f"({c}::double + {u} * {fit})"
+    return f"{u} * exp(-{z} * {z} + {fit})"
 
 
 def bh(rows: DataFrame, p: str, by: list[str], out: str = "fdr") -> DataFrame:
@@ -147,12 +181,6 @@ def bh(rows: DataFrame, p: str, by: list[str], out: str = "fdr") -> DataFrame:
     return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(w.rowsBetween(0, FOLLOWING))))).drop("__q")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_p(t: pd.Series) -> pd.Series:
-    """Two-sided normal tail probability."""
-    return t.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
-
-
 def bootstrap(series: DataFrame, by: list[str], x: str, draws: int = 200, seed: int = 20260714) -> DataFrame:
     """Percentile interval of the mean of a group's values (one value a session: a group is small)."""
     fields = ", ".join(f"{c} {t}" for c, t in series.select(*by).dtypes)
@@ -183,12 +211,16 @@ def wald(pairs: DataFrame, category: str) -> DataFrame:
     return sums.groupBy(*PAIR).applyInPandas(run, "feature string, target string, k long, wald double, range double")
 
 
-def finalised(screen: DataFrame) -> DataFrame:
-    """Families, global and family FDR, and an anomaly score from spread, FDR and monotonicity."""
-    s = screen.withColumn("family", F.when(F.col("feature").startswith("r"), "price").otherwise("activity"))
-    s = bh(bh(s, "p", ["one"], "global_fdr"), "p", ["family", "target"], "family_fdr")
-    rank = F.rank().over(Window.orderBy(F.abs("spread").asc_nulls_first())) / F.count(F.lit(1)).over(Window.partitionBy())
-    return s.withColumn("score", 0.4 * rank + 0.35 * (1 - F.col("global_fdr")) + 0.25 * F.abs("monotonicity"))
+#: Family of each screened feature.
+FAMILIES = {"ret_1": "price", "range_pos_3": "price", "vol_3": "volatility", "rel_vol_3": "volume"}
+
+
+def finalised(screen: DataFrame, families: dict[str, str] = FAMILIES) -> DataFrame:
+    """Families, global and family FDR, and an anomaly score from spread, FDR and monotonicity. Screen rows, one a pair."""
+    named = F.coalesce(F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col("feature")], F.lit("other"))
+    s = bh(bh(screen.withColumn("family", named), "p", ["one"], "global_fdr"), "p", ["family", "target"], "family_fdr")
+    s = s.withColumn("size", F.abs("spread")).withColumn("rank", pct_rank("size", ["one"]))
+    return s.withColumn("score", 0.4 * F.col("rank") + 0.35 * (1 - F.col("global_fdr")) + 0.25 * F.abs("monotonicity")).drop("size", "rank")
 
 
 def capped(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:

@@ -6,44 +6,104 @@ aggregate before it gets here.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import avg_rank, div, edge_bin
+from panelforge.sources.shared import cut
 
 from .screening import PAIR, bh
 
-# Labels of evidence and the limits that separate them.
-NOT_USABLE = ("constant_feature", "insufficient_data")
-CONCENTRATED = ("highly_concentrated", "single_symbol_dominated", "insufficient_evidence")
 #: Lowest absolute effect in basis points up to each horizon in sessions; 25 beyond.
 EFFECT_FLOORS = ((2, 8.0), (5, 12.0), (10, 18.0), (14, 22.0))
+
+
+@dataclass(frozen=True)
+class Gate:
+    """A test that rows must pass: a column, or ``of`` with the column in it, against a limit. An unknown value fails."""
+
+    column: str
+    holds: str  # "<", "<=", ">", ">=", "in" or "out"
+    limit: object
+    of: str = "{}"
+
+    def test(self, known: set[str], slack: float = 0.0) -> Column:
+        """False for every row where the column is absent. Limits that may be met exactly get ``slack``."""
+        if self.column not in known:
+            return F.lit(False)
+        v = F.expr(self.of.format(self.column))
+        tests = {"<": lambda: v < self.limit, ">": lambda: v > self.limit, "<=": lambda: v <= self.limit + slack, ">=": lambda: v >= self.limit - slack, "in": lambda: v.isin(*self.limit), "out": lambda: ~v.isin(*self.limit)}
+        return yes(tests[self.holds]())
+
+
+def passed(groups: dict[str, tuple[Gate, ...]], known: set[str], slack: float = 0.0) -> dict[str, Column]:
+    """For each group of gates whether all of them hold."""
+    out = {}
+    for name, gates in groups.items():
+        ok = F.lit(True)
+        for g in gates:
+            ok = ok & g.test(known, slack)
+        out[name] = ok
+    return out
+
+
+def first_label(choices: tuple[tuple[str, tuple[str, ...]], ...], holds: dict[str, Column]) -> Column:
+    """The first label all of whose groups hold; the last one asks for none."""
+    label = F.lit(choices[-1][0])
+    for name, groups in reversed(choices[:-1]):
+        ok = F.lit(True)
+        for g in groups:
+            ok = ok & holds[g]
+        label = F.when(ok, F.lit(name)).otherwise(label)
+    return label
+
+
+# What evidence asks for, and the labels from the strongest down with the groups that each needs.
+EVIDENCE = {
+    "unusable": (Gate("status", "in", ("constant_feature", "insufficient_data")),),
+    "discovered": (Gate("global_fdr", "<", 0.05),),
+    "confirmed": (Gate("two_way_cluster_p", "<", 0.05),),
+    "covered": (Gate("n", ">=", 30), Gate("valid_sessions", ">=", 5), Gate("valid_symbols", ">=", 3)),
+    "consistent": (Gate("year_consistency", ">=", 0.6), Gate("symbol_breadth", ">=", 0.6)),
+    "large": (Gate("top_bottom_spread", ">=", 0.5, "abs({}) * 1e4"),),
+    "ordered": (Gate("monotonicity", ">=", 0.5, "abs({})"),),
+    "binary": (Gate("scan_kind", "in", ("binary",)),),
+    "outliers": (Gate("outlier_worst_signed_spread", ">", 0.0),),
+    "dispersed": (Gate("concentration", "out", ("highly_concentrated", "single_symbol_dominated", "insufficient_evidence")),),
+    "recommended": (Gate("recommendation", "in", ("advance",), "substring({}, 1, 7)"),),
+    "recent": (Gate("recent_effect", ">", 0.0),),
+}
+SOLID = ("discovered", "confirmed", "covered", "large")
+LABELS = (
+    ("robust_phase1_anomaly_candidate", (*SOLID, "consistent", "shaped", "outliers", "dispersed")),
+    ("requires_phase2_testing", (*SOLID, "recommended")),
+    ("stable_anomaly_candidate", (*SOLID, "consistent")),
+    ("recently_relevant_anomaly_candidate", (*SOLID, "recent")),
+    ("statistically_significant_discovery", ("discovered",)),
+    ("exploratory_relationship", ("confirmed",)),
+    ("no_meaningful_relationship", ()),
+)
+#: What a generated feature must show, by what it shows; effects are signed means of the target.
 PROMOTION = {
-    "effect_bps": 1.0,
-    "ratio": 1.25,
-    "increment_bps": 0.25,
-    "positive_folds": 0.60,
-    "recent_low": 0.50,
-    "recent_high": 2.50,
-    "symbols": 0.55,
-    "hhi": 0.02,
-    "top5": 0.25,
-    "without_top5": 0.50,
+    "stable": (Gate("recent_ratio", "<=", 2.50),),
+    "significant": (Gate("fdr", "<=", 0.05), Gate("p_two_way", "<=", 0.05), Gate("effect", ">=", 1.0, "abs({}) * 1e4")),
+    "broad": (Gate("agreeing_symbols", ">=", 0.55), Gate("symbol_hhi", "<=", 0.02), Gate("top5_share", "<=", 0.25)),
+    "lasting": (Gate("positive_folds", ">=", 0.60), Gate("worst_fold", ">", 0.0), Gate("recent_ratio", ">=", 0.50)),
+    "not a few names": (Gate("effect_rest", ">=", 0.0, "abs({}) - 0.50 * abs(effect)"),),
+    "more than a parent": (Gate("parent_effect", ">=", 0.0, "abs(effect) - 1.25 * abs({})"), Gate("parent_effect", ">=", 0.25, "(abs(effect) - abs({})) * 1e4")),
 }
-PROMOTION_INPUTS = (
-    "systematic_global_fdr",
-    "two_way_cluster_p",
-    "top_bottom_spread",
-    "best_parent_absolute_effect",
-    "historical_subperiod_positive_fold_pct",
-    "historical_subperiod_worst_signed_effect",
-    "recent_to_full_effect_ratio",
-    "eligible_symbols_expected_direction_pct",
-    "symbol_effect_hhi",
-    "top5_symbol_effect_pct",
-    "effect_remove_top5_symbols",
+PROMOTION_INPUTS = ("fdr", "p_two_way", "effect", "parent_effect", "positive_folds", "worst_fold", "recent_ratio", "agreeing_symbols", "symbol_hhi", "top5_share", "effect_rest")
+OWN_MERIT = ("stable", "significant", "broad", "lasting", "not a few names")
+PROMOTED = (
+    ("systematic_interaction_requires_more_diagnostics", ("unknown",)),
+    ("recently_emerged_high_instability", ("unstable",)),
+    ("exploratory_generated_interaction_candidate", (*OWN_MERIT, "more than a parent")),
+    ("significant_but_not_incremental_to_parent", OWN_MERIT),
+    ("systematic_interaction_not_robust", ()),
 )
-TINY = 1e-15
 
 
 def yes(test: Column) -> Column:
@@ -51,6 +111,14 @@ def yes(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def year_consistency(pairs: DataFrame, least: int = 5) -> DataFrame:
+    """Share of the years whose own slope has the sign of the pair's."""
+    own = pairs.groupBy(*PAIR, F.substring("session", 1, 4).alias("year")).agg(F.regr_slope("y", "x").alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    whole = pairs.groupBy(*PAIR).agg(F.regr_slope("y", "x").alias("slope"))
+    agrees = (F.signum("own") == F.signum("slope")).cast("double")
+    return own.join(whole, PAIR).groupBy(*PAIR).agg(F.count("own").alias("n_years"), F.avg(agrees).alias("year_consistency"))
+
+
 def symbol_breadth(pairs: DataFrame, least: int = 5) -> DataFrame:
     """Share of the symbols whose own slope has the sign of the pair's."""
     own = pairs.groupBy(*PAIR, "symbol").agg(F.regr_slope("y", "x").alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -67,54 +135,27 @@ def without_top(pairs: DataFrame, k: int = 2) -> DataFrame:
     return pairs.groupBy(*PAIR).agg(F.regr_slope("y", "x").alias("slope")).join(rest, PAIR, "left").withColumn("retention", div("slope_rest", "slope"))
 
 
-def classify(rows: DataFrame, fdr: float = 0.05, bps: float = 0.5, least: tuple[int, int, int] = (30, 5, 3)) -> DataFrame:
-    """The strongest evidence label that a screen row earns, as ``evidence``; inputs that are absent or null earn nothing,
-    but an absent spread is no obstacle. Recency alone never promotes to the robust label."""
-
-    def col(name: str, default) -> Column:
-        return F.col(name) if name in rows.columns else F.lit(default)
-
-    usable = ~F.col("status").isin(*NOT_USABLE)
-    covered = yes(col("n", 0) >= least[0]) & yes(col("valid_sessions", 0) >= least[1]) & yes(col("valid_symbols", 0) >= least[2])
-    exact, found = yes(col("two_way_cluster_p", None) < 0.05), yes(col("global_fdr", None) < fdr)
-    stable = yes(col("year_consistency", None) >= 0.6) & yes(col("symbol_breadth", None) >= 0.6)
-    large = yes(F.abs(col("top_bottom_spread", float("inf"))) >= bps / 1e4)
-    shaped = yes(col("scan_kind", "continuous") == "binary") | yes(F.abs(col("monotonicity", 0.0)) >= 0.5)
-    kept = yes(col("outlier_worst_signed_spread", None) > 0) & ~F.coalesce(col("concentration", None).cast("string"), F.lit("insufficient_evidence")).isin(*CONCENTRATED)
-    solid = found & exact & covered & large
-    robust = solid & stable & shaped & kept
-    label = (
-        F.when(~usable, F.col("status"))
-        .when(robust, "robust_phase1_anomaly_candidate")
-        .when(solid & yes(col("recommendation", "").cast("string").startswith("advance")), "requires_phase2_testing")
-        .when(solid & stable, "stable_anomaly_candidate")
-        .when(solid & yes(col("recent_effect", None) > 0), "recently_relevant_anomaly_candidate")
-        .when(found, "statistically_significant_discovery")
-        .when(exact, "exploratory_relationship")
-        .otherwise("no_meaningful_relationship")
-    )
-    return rows.withColumn("evidence", label)
-
-
-def promote(rows: DataFrame, limits: dict[str, float] = PROMOTION) -> DataFrame:
-    """Class of a generated two-factor feature: significant, better than its parents, and robust; or what it lacks."""
-    known = F.lit(True)
-    for name in PROMOTION_INPUTS:
-        known = known & F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf"))
-    effect, parent, recent = F.abs("top_bottom_spread"), F.abs("best_parent_absolute_effect"), F.col("recent_to_full_effect_ratio")
-    significant = (F.col("systematic_global_fdr") <= 0.05) & (F.col("two_way_cluster_p") <= 0.05) & (effect + TINY >= limits["effect_bps"] / 1e4)
-    better = (effect + TINY >= limits["ratio"] * parent) & (effect - parent + TINY >= limits["increment_bps"] / 1e4)
-    robust = (F.col("historical_subperiod_positive_fold_pct") + TINY >= limits["positive_folds"]) & (F.col("historical_subperiod_worst_signed_effect") > 0) & (recent + TINY >= limits["recent_low"])
-    robust = robust & (F.col("eligible_symbols_expected_direction_pct") + TINY >= limits["symbols"]) & (F.col("symbol_effect_hhi") <= limits["hhi"] + TINY)
-    robust = robust & (F.col("top5_symbol_effect_pct") <= limits["top5"] + TINY) & (F.col("effect_remove_top5_symbols") + TINY >= limits["without_top5"] * effect)
-    label = (
-        F.when(~known, "systematic_interaction_requires_more_diagnostics")
-        .when(recent > limits["recent_high"], "recently_emerged_high_instability")
-        .when(significant & better & robust, "exploratory_generated_interaction_candidate")
-        .when(significant & robust, "significant_but_not_incremental_to_parent")
-        .otherwise("systematic_interaction_not_robust")
-    )
-    return rows.withColumn("promotion", label)
+def classify(rows: DataFrame, limits: dict[str, tuple[Gate, ...]] | None = None) -> DataFrame:
+    """The strongest evidence label that a screen row earns, as ``evidence``; ``limits`` replaces groups of EVIDENCE. Inputs
+    that are absent or null earn nothing, but an absent spread is no obstacle. Recency alone never promotes to the robust
+    label."""
+    groups, known = EVIDENCE | (limits or {}), set(rows.columns)
+    holds = passed(groups, known)
+    if "top_bottom_spread" not in known:
+        holds["large"] = F.lit(True)
+    holds["shaped"] = holds["ordered"] | holds["binary"]
+    label = first_label(LABELS, holds)
+    return rows.withColumn("evidence", F.when(holds["unusable"], F.col("status")).otherwise(label) if "status" in known else label)
+
+
+def promote(rows: DataFrame, gates: dict[str, tuple[Gate, ...]] = PROMOTION) -> DataFrame:
+    """Class of a generated two-factor feature, as ``promotion``: the groups of gates that it passes decide; ``failed`` lists
+    those that it does not."""
+    holds = passed(gates, set(rows.columns), slack=1e-11)
+    finite = F.forall(F.array(*[F.col(c).cast("double") for c in PROMOTION_INPUTS]), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    holds |= {"unknown": ~finite, "unstable": ~holds["stable"]}
+    failed = F.array_compact(F.array(*[F.when(~holds[g], F.lit(g)) for g in gates]))
+    return rows.withColumn("promotion", first_label(PROMOTED, holds)).withColumn("failed", failed)
 
 
 def interday_fdr(tests: DataFrame) -> DataFrame:
@@ -156,12 +197,11 @@ def rank_correlations(wide: DataFrame, names: tuple[str, ...], keys: tuple[str,
 def clusters(names: DataFrame, links: DataFrame) -> DataFrame:
     """(name, cluster): the least name reachable over links (a, b). Names are features of a screen, so few; each round is
     one join and one aggregate, and rounds end when no name changes."""
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    state = names.select("name", F.col("name").alias("cluster")).distinct()
+    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = cut(names.select("name", F.col("name").alias("cluster")).distinct())
     while True:
         near = both.join(state.withColumnRenamed("name", "b"), "b").groupBy("a").agg(F.min("cluster").alias("c"))
-        after = state.join(near, F.col("name") == F.col("a"), "left").select("name", F.least("cluster", "c").alias("cluster"))
-        after = after.sparkSession.createDataFrame(after.toPandas(), after.schema)  # one row a feature: lineage ends here
+        after = cut(state.join(near, F.col("name") == F.col("a"), "left").select("name", F.least("cluster", "c").alias("cluster")))
         if not after.exceptAll(state).limit(1).count():
             return after
         state = after

@@ -32,9 +32,18 @@ def score_sql(name, by):
 
 OLS = f"{LONG}, mm as (select feature, target, avg(x) as mx, avg(y) as my from p group by all), cen as (select p.*, mx, my from p join mm using (feature, target)), ols as (select feature, target, sum((x - mx) * (x - mx)) as cxx, sum((x - mx) * (y - my)) / nullif(sum((x - mx) * (x - mx)), 0) as b from cen group by all)"
 R.add("clustered_se_one_way", P, "n n_clusters", "slope se t", lambda s, d: op.one_way(pairs(s, d)), f"{OLS}, {score_sql('sd', 'session')}\nselect feature, target, n, g as n_clusters, slope, sqrt(q) / cxx as se, slope / nullif(sqrt(q) / cxx, 0) as t from sd")
-R.add("screen_clustered_ols", P, "n n_clusters", "slope se t", lambda s, d: op.one_way(pairs(s, d)), f"{OLS}, {score_sql('sd', 'session')}\nselect feature, target, n, g as n_clusters, slope, sqrt(q) / cxx as se, slope / nullif(sqrt(q) / cxx, 0) as t from sd")
 V = "g::double / nullif(g - 1, 0) * (n - 1) / nullif(n - 2, 0) * q / nullif(cxx * cxx, 0)"
-R.add("clustered_se_two_way", P, "n", "slope se t", lambda s, d: op.two_way(pairs(s, d)), f"{OLS}, {score_sql('sd', 'session')}, {score_sql('ss', 'symbol')}, {score_sql('sx', 'session, symbol')}, vv as (select a.feature, a.target, a.n, a.slope, case when a.v + b.v - c.v > 1e-15 then sqrt(a.v + b.v - c.v) when a.v + b.v - c.v is not null then 0.0 end as se from (select *, {V} as v from sd) a join (select *, {V} as v from ss) b using (feature, target) join (select *, {V} as v from sx) c using (feature, target))\nselect *, slope / nullif(se, 0) as t from vv")
+R.add("clustered_se_two_way", P, "n", "slope se t", lambda s, d: op.two_way(pairs(s, d)), f"{OLS}, {score_sql('sd', 'session')}, {score_sql('ss', 'symbol')}, {score_sql('sx', 'session, symbol')}, vv as (select a.feature, a.target, a.n, a.slope, case when a.v + b.v - c.v > 1e-9 * (a.v + b.v + c.v) then sqrt(a.v + b.v - c.v) when a.v + b.v - c.v is not null then 0.0 end as se from (select *, {V} as v from sd) a join (select *, {V} as v from ss) b using (feature, target) join (select *, {V} as v from sx) c using (feature, target))\nselect *, slope / nullif(se, 0) as t from vv")
+TWO = f"{OLS}, {score_sql('sd', 'session')}, {score_sql('ss', 'symbol')}, {score_sql('sx', 'session, symbol')}, vv as (select a.feature, a.target, a.n, a.g, a.slope, sqrt(a.q) / a.cxx as se, case when a.v + b.v - c.v > 1e-9 * (a.v + b.v + c.v) then sqrt(a.v + b.v - c.v) when a.v + b.v - c.v is not null then 0.0 end as se2 from (select *, {V} as v from sd) a join (select *, {V} as v from ss) b using (feature, target) join (select *, {V} as v from sx) c using (feature, target)), v2 as (select *, g as n_clusters, slope / nullif(se, 0) as t, se2 as se_two_way, slope / nullif(se2, 0) as t_two_way from vv)"
+R.add("screen_clustered_ols", P, "n n_clusters", "slope se t p se_two_way t_two_way p_two_way", lambda s, d: op.clustered_screen(pairs(s, d)), f"{TWO}\nselect *, {op.normal_p_sql('t')} as p, {op.normal_p_sql('t_two_way')} as p_two_way from v2")
+
+
+def far_pairs(s, d):
+    """The pairs with a feature far from zero and in a large unit: slopes and t must not depend on either."""
+    return pairs(s, d).withColumn("x", 1e6 * F.col("x") + 1e9)
+
+
+R.add("screen_far_from_zero", P, "n", "scaled t t_two_way", lambda s, d: op.clustered_screen(far_pairs(s, d)).select("feature", "target", "n", (1e6 * F.col("slope")).alias("scaled"), F.round("t", 4).alias("t"), F.round("t_two_way", 4).alias("t_two_way")), f"{TWO}\nselect feature, target, n, slope as scaled, round(t, 4) as t, round(t_two_way, 4) as t_two_way from v2")
 R.add("binary_effect", P, "n_on n_off n_bad on_sessions off_sessions", "mean_on mean_off effect activation", lambda s, d: op.binary_effect(pairs(s, d, ("up",))), f"{LONG}\nselect feature, target, count(*) filter (x = 1) as n_on, count(*) filter (x = 0) as n_off, count(*) filter (x not in (0, 1)) as n_bad, count(distinct session) filter (x = 1) as on_sessions, count(distinct session) filter (x = 0) as off_sessions, avg(y) filter (x = 1) as mean_on, avg(y) filter (x = 0) as mean_off, avg(y) filter (x = 1) - avg(y) filter (x = 0) as effect, count(*) filter (x = 1)::double / count(*) as activation from pu where feature = 'up' group by all")
 R.add("category_means", f"{P} slot", "n", "mean_y slope", lambda s, d: op.by_label(pairs(s, d), F.col("slot"), "slot"), f"{LONG}\nselect feature, target, slot, count(*) as n, avg(y) as mean_y, regr_slope(y, x) as slope from p group by all")
 QT = f"{LONG}, q0 as (select *, row_number() over (partition by feature, target order by x, session, slot, symbol) as r, count(*) over (partition by feature, target) as n from p), q as (select *, greatest(ceil((r - 1) * 10.0::double / (n - 1)) - 1, 0)::int as bin, least(floor((r - 1) * 10.0::double / n), 9)::int as fbin from q0)"
@@ -59,15 +68,15 @@ R.add("outlier_variants", f"{P} variant", "n", "slope", lambda s, d: op.outlier_
 
 def screen(s, d):
     p = pairs(s, d)
-    t = op.one_way(p).withColumn("p", op.arithmetic_p(F.col("t"))).withColumn("one", F.lit(1))
+    t = op.one_way(p).withColumn("p", op.normal_p("t")).withColumn("one", F.lit(1))
     return t.join(op.decile_spread(p).select("feature", "target", "spread"), ["feature", "target"]).join(op.monotonicity(p), ["feature", "target"])
 
 
-SCR = f"{DS}, mm as (select feature, target, avg(x) as mx, avg(y) as my from p group by all), cen as (select p.*, mx, my from p join mm using (feature, target)), ols as (select feature, target, sum((x - mx) * (x - mx)) as cxx, sum((x - mx) * (y - my)) / nullif(sum((x - mx) * (x - mx)), 0) as b from cen group by all), {score_sql('sd', 'session')}, sc as (select feature, target, slope / nullif(sqrt(q) / cxx, 0) as t from sd), scr as (select feature, target, t, 1 / (1 + t * t) as p, spread, monotonicity from sc join ds using (feature, target) join mo using (feature, target)), f0 as (select *, case when feature like 'r%' then 'price' else 'activity' end as family, row_number() over (order by p, feature, target) as r, count(*) over () as m from scr), f1 as (select *, p * m / r as q1, p * count(*) over (partition by family, target) / row_number() over (partition by family, target order by p, feature) as q2 from f0), f2 as (select *, least(1, min(q1) over (order by p, feature, target rows between current row and unbounded following)) as global_fdr, least(1, min(q2) over (partition by family, target order by p, feature rows between current row and unbounded following)) as family_fdr, rank() over (order by abs(spread) nulls first)::double / count(*) over () as sr from f1), fin as (select *, 0.4 * sr + 0.35 * (1 - global_fdr) + 0.25 * abs(monotonicity) as score from f2)"
+SCR = f"{DS}, mm as (select feature, target, avg(x) as mx, avg(y) as my from p group by all), cen as (select p.*, mx, my from p join mm using (feature, target)), ols as (select feature, target, sum((x - mx) * (x - mx)) as cxx, sum((x - mx) * (y - my)) / nullif(sum((x - mx) * (x - mx)), 0) as b from cen group by all), {score_sql('sd', 'session')}, sc as (select feature, target, slope / nullif(sqrt(q) / cxx, 0) as t from sd), scr as (select feature, target, t, {op.normal_p_sql('t')} as p, spread, monotonicity from sc join ds using (feature, target) join mo using (feature, target)), f0 as (select *, case feature when 'ret_1' then 'price' when 'range_pos_3' then 'price' when 'vol_3' then 'volatility' when 'rel_vol_3' then 'volume' else 'other' end as family, row_number() over (order by p, feature, target) as r, count(*) over () as m from scr), f1 as (select *, p * m / r as q1, p * count(*) over (partition by family, target) / row_number() over (partition by family, target order by p, feature) as q2 from f0), f2 as (select *, least(1, min(q1) over (order by p, feature, target rows between current row and unbounded following)) as global_fdr, least(1, min(q2) over (partition by family, target order by p, feature rows between current row and unbounded following)) as family_fdr, case when spread is not null then (rank() over (order by abs(spread) nulls last) + (count(*) over (partition by abs(spread)) - 1) / 2.0::double) / count(spread) over () end as sr from f1), fin as (select *, 0.4 * sr + 0.35 * (1 - global_fdr) + 0.25 * abs(monotonicity) as score from f2)"
 R.add("bh_fdr", P, "", "p fdr", lambda s, d: op.bh(screen(s, d), "p", ["one"]), f"{SCR}\nselect feature, target, p, global_fdr as fdr from fin")
 R.add("screen_finalize", f"{P} family", "", "global_fdr family_fdr score", lambda s, d: op.finalised(screen(s, d)), f"{SCR}\nselect * from fin")
 R.add("candidate_caps", f"{P} family", "place", "score", lambda s, d: op.capped(op.finalised(screen(s, d)), ["family"], [F.desc("score"), F.col("feature"), F.col("target")], 2), f"{SCR}\nselect *, row_number() over (partition by family order by score desc, feature, target) as place from fin qualify place <= 2")
-R.add("pvalue_erfc", P, "", "p_normal", lambda s, d: op.one_way(pairs(s, d)).withColumn("p_normal", op.normal_p("t")))
+R.add("pvalue_erfc", P, "", "p_normal", lambda s, d: op.one_way(pairs(s, d)).withColumn("p_normal", op.normal_p("t")), f"{OLS}, {score_sql('sd', 'session')}, ot as (select feature, target, slope / nullif(sqrt(q) / cxx, 0) as t from sd)\nselect feature, target, {op.normal_p_sql('t')} as p_normal from ot")
 R.add("bootstrap_ci", P, "n", "low high", lambda s, d: op.bootstrap(daily_ic(s, d), ["feature", "target"], "ic"))
 R.add("wald_test", P, "k", "wald range", lambda s, d: op.wald(pairs(s, d), "slot"))
 # diagnostics

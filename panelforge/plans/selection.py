@@ -9,10 +9,10 @@ from panelforge.operators import selection as op
 
 from .intraday import ALL, feats
 from .registry import Registry
-from .screening import LONG, SCR, P, pairs, screen
+from .screening import LONG, SCR, P, V, pairs, score_sql, screen
 
 R = Registry()
-NAMES = screening.FEATURES
+NAMES, PAIR = screening.FEATURES, screening.PAIR
 LISTED = ", ".join(f"'{n}'" for n in NAMES)
 
 BR = """br0 as (select feature, target, symbol, regr_slope(y, x) as own from p group by all having count(*) >= 5),
@@ -29,19 +29,30 @@ select *, slope_rest / nullif(slope, 0) as retention from br1 left join rs using
 )
 
 
+R.add(
+    "year_consistency", P, "n_years", "year_consistency", lambda s, d: op.year_consistency(pairs(s, d)),
+    f"""{LONG}, yc0 as (select feature, target, session[1:4] as year, regr_slope(y, x) as own from p group by all having count(*) >= 5), br1 as (select feature, target, regr_slope(y, x) as slope from p group by all)
+select feature, target, count(own) as n_years, avg((sign(own) = sign(slope))::int) as year_consistency from yc0 join br1 using (feature, target) group by all""",
+)
+
+
 def evidence(s, d):
-    """The screen's rows with what the classes ask for; the p-like number stands for both tests."""
-    rows = screening.finalised(screen(s, d)).drop("n").join(op.symbol_breadth(pairs(s, d)), ["feature", "target"])
-    cover = screening.coverage(pairs(s, d)).select("feature", "target", "n", F.col("n_sessions").alias("valid_sessions"), F.col("n_symbols").alias("valid_symbols"))
-    rows = rows.join(cover, ["feature", "target"]).withColumn("status", F.lit("screened")).withColumn("two_way_cluster_p", F.col("p") / 4)
-    return rows.withColumn("top_bottom_spread", F.col("spread")).withColumn("symbol_breadth", F.col("breadth")).withColumn("year_consistency", F.col("breadth"))
+    """The screen's rows with what the classes ask for; there is no outlier spread among it, so the robust class needs more."""
+    p = pairs(s, d)
+    rows = screening.finalised(screen(s, d)).drop("n").join(op.symbol_breadth(p), PAIR).join(op.year_consistency(p), PAIR)
+    cover = screening.coverage(p).select(*PAIR, "n", F.col("n_sessions").alias("valid_sessions"), F.col("n_symbols").alias("valid_symbols"))
+    tests = screening.two_way(p).select(*PAIR, screening.normal_p("t").alias("two_way_cluster_p"))
+    rows = rows.join(cover, PAIR).join(tests, PAIR).withColumn("status", F.lit("screened"))
+    return rows.withColumn("top_bottom_spread", F.col("spread")).withColumn("symbol_breadth", F.col("breadth"))
 
 
 R.add(
-    "candidate_classes", f"{P} evidence", "", "global_fdr breadth", lambda s, d: op.classify(evidence(s, d), fdr=0.8),
-    f"""{SCR}, {BR}, cv as (select feature, target, count(*) as n, count(distinct session) as ns, count(distinct symbol) as ny from p group by all),
-ev as (select *, global_fdr < 0.8 as found, p / 4 < 0.05 as exact, n >= 30 and ns >= 5 and ny >= 3 and abs(spread) >= 0.5 / 1e4 as fit from fin join br using (feature, target) join cv using (feature, target))
-select *, case when found and exact and fit and breadth >= 0.6 then 'stable_anomaly_candidate' when found then 'statistically_significant_discovery' when exact then 'exploratory_relationship' else 'no_meaningful_relationship' end as evidence from ev""",
+    "candidate_classes", f"{P} evidence", "", "global_fdr breadth", lambda s, d: op.classify(evidence(s, d), {"discovered": (op.Gate("global_fdr", "<", 0.8),)}),
+    f"""{SCR}, {BR}, {score_sql('ss', 'symbol')}, {score_sql('sx', 'session, symbol')}, tw as (select a.feature, a.target, a.slope / nullif(case when a.v + b.v - c.v > 1e-9 * (a.v + b.v + c.v) then sqrt(a.v + b.v - c.v) when a.v + b.v - c.v is not null then 0.0 end, 0) as t2 from (select *, {V} as v from sd) a join (select *, {V} as v from ss) b using (feature, target) join (select *, {V} as v from sx) c using (feature, target)),
+yc0 as (select feature, target, session[1:4] as year, regr_slope(y, x) as own from p group by all having count(*) >= 5), yc as (select feature, target, avg((sign(own) = sign(slope))::int) as years from yc0 join br1 using (feature, target) group by all),
+cv as (select feature, target, count(*) as n, count(distinct session) as ns, count(distinct symbol) as ny from p group by all),
+ev as (select *, global_fdr < 0.8 as found, coalesce({screening.normal_p_sql('t2')} < 0.05, false) as exact, n >= 30 and ns >= 5 and ny >= 3 and abs(spread) >= 0.5 / 1e4 as fit from fin join br using (feature, target) join yc using (feature, target) join cv using (feature, target) join tw using (feature, target))
+select *, case when found and exact and fit and breadth >= 0.6 and years >= 0.6 then 'stable_anomaly_candidate' when found then 'statistically_significant_discovery' when exact then 'exploratory_relationship' else 'no_meaningful_relationship' end as evidence from ev""",
 )
 
 RC = f"""fw as (select symbol, session, slot, unnest([{LISTED}]) as f, unnest([{', '.join(NAMES)}]) as x from feat),

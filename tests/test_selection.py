@@ -41,17 +41,17 @@ FIT = dict(zip(op.PROMOTION_INPUTS, (0.05, 0.05, 0.0002, 0.0001, 0.6, 1e-6, 0.5,
     "change, label",
     [
         ({}, "exploratory_generated_interaction_candidate"),
-        ({"systematic_global_fdr": 0.0501}, "systematic_interaction_not_robust"),
-        ({"best_parent_absolute_effect": 0.00019}, "significant_but_not_incremental_to_parent"),
-        ({"historical_subperiod_positive_fold_pct": 0.59}, "systematic_interaction_not_robust"),
-        ({"historical_subperiod_worst_signed_effect": 0.0}, "systematic_interaction_not_robust"),
-        ({"recent_to_full_effect_ratio": 2.51}, "recently_emerged_high_instability"),
-        ({"symbol_effect_hhi": 0.021}, "systematic_interaction_not_robust"),
-        ({"top5_symbol_effect_pct": 0.26}, "systematic_interaction_not_robust"),
-        ({"effect_remove_top5_symbols": 0.00009}, "systematic_interaction_not_robust"),
-        ({"two_way_cluster_p": None}, "systematic_interaction_requires_more_diagnostics"),
-        ({"two_way_cluster_p": math.nan}, "systematic_interaction_requires_more_diagnostics"),
-        ({"two_way_cluster_p": math.inf}, "systematic_interaction_requires_more_diagnostics"),
+        ({"fdr": 0.0501}, "systematic_interaction_not_robust"),
+        ({"parent_effect": 0.00019}, "significant_but_not_incremental_to_parent"),
+        ({"positive_folds": 0.59}, "systematic_interaction_not_robust"),
+        ({"worst_fold": 0.0}, "systematic_interaction_not_robust"),
+        ({"recent_ratio": 2.51}, "recently_emerged_high_instability"),
+        ({"symbol_hhi": 0.021}, "systematic_interaction_not_robust"),
+        ({"top5_share": 0.26}, "systematic_interaction_not_robust"),
+        ({"effect_rest": 0.00009}, "systematic_interaction_not_robust"),
+        ({"p_two_way": None}, "systematic_interaction_requires_more_diagnostics"),
+        ({"p_two_way": math.nan}, "systematic_interaction_requires_more_diagnostics"),
+        ({"p_two_way": math.inf}, "systematic_interaction_requires_more_diagnostics"),
     ],
 )
 def test_promotion_changes_one_step_past_each_limit(spark, change, label):
