@@ -13,7 +13,7 @@ no bucket is gathered or written out as pairs:
    join a group of near copies and are all pairs of a bucket of three lines or fewer.
 2. A larger bucket that still holds several components is dealt to blocks of about ``block`` lines, fewer where they are
    long. Blocks of lines outside its largest component meet all its blocks, each pair of blocks as one row; only links leave that row. Most
-   pairs are ruled out by the sizes and by 256 bits a line that bound the similarity from above.
+   pairs are ruled out by the sizes and by 1,024 bits a line that bound the similarity from above.
 
 Exact Jaccard similarity over all shingles decides in both steps; distributed union-find joins the links, and of each
 component the first line (by document id, then place) stays.
@@ -42,6 +42,7 @@ from .union import components
 SIMILAR = (4, 5)
 BANDS, ROWS = 10, 6
 WIDTH = 5
+WORDS = 16  # of 64 bits of parity
 HIDDEN = "__line_"
 #: Fixed value: any pattern of mixed bits, to make a second order of the same hashes.
 FLIP = 0x5A17C3D2E96B4F81
@@ -133,15 +134,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select(F.explode(F.array_repeat(F.struct("a", "b"), alike(F.col("sa"), F.col("sb")).cast("int"))).alias("link")).select("link.*")
 
 
-def parities(s: Column) -> list[Column]:
-    """256 bits of a set of hashes: each element turns one over, so two sets differ in at least as many elements as bits."""
-
-    def word(w: int) -> Column:
-        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-        mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == w
-        return F.aggregate(F.filter(s, mine), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-
-    return [word(w).alias(f"p{w}") for w in range(4)]
+def parities(sets: DataFrame) -> DataFrame:
+    """(h, n, parity) of the sets of (h, s): their size, and 1,024 bits that each element turns one of over, so two sets
+    differ in at least as many elements as bits."""
+    rows = sets.select("h", F.explode("s").alias("x"))
+    word, bit = F.shiftright("x", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, int(x & 63))")
+    found = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("long")).alias(f"p{w}") for w in range(WORDS)])
+    return found.select("h", "n", F.array(*[f"p{w}" for w in range(WORDS)]).alias("parity"))
 
 
 def may_be_alike(x: Column, y: Column) -> Column:
@@ -149,7 +148,7 @@ def may_be_alike(x: Column, y: Column) -> Column:
     have the similarity (m + n - d) / (m + n + d)."""
     up, down = SIMILAR
     m, n = x["n"], y["n"]
-    differ = sum((F.bit_count(x[f"p{w}"].bitwiseXOR(y[f"p{w}"])) for w in range(1, 4)), F.bit_count(x["p0"].bitwiseXOR(y["p0"])))
+    differ = sum((F.bit_count(F.get(x["parity"], F.lit(w)).bitwiseXOR(F.get(y["parity"], F.lit(w)))) for w in range(1, WORDS)), F.bit_count(F.get(x["parity"], F.lit(0)).bitwiseXOR(F.get(y["parity"], F.lit(0)))))
     return (m * down >= n * up) & (n * down >= m * up) & (differ * (down + up) <= (m + n) * (down - up))
 
 
@@ -159,10 +158,10 @@ def links_of_blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFra
     largest = F.max_by("root", F.struct("c", "root")).alias("main")
     mixed = size.groupBy("key").agg(largest, F.count(F.lit(1)).alias("roots"), F.sum("c").alias("lines")).where("roots > 1 and lines > 3")
     open_ = stored(members.join(mixed.select("key", "main"), "key"), "mixed")
-    sets = texts.join(open_.select("h").distinct(), "h").select("h", "line", shingle_set().alias("s"))
-    drawn = stored(sets.select("h", "line", F.size("s").alias("n"), *parities(F.col("s"))), "drawn")
+    asked = texts.join(open_.select("h").distinct(), "h")
+    drawn = stored(asked.join(parities(asked.select("h", shingle_set().alias("s"))), "h"), "drawn")
     blocks = open_.join(drawn.select("h", "n"), "h").groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (400 * block))).alias("blocks"))
-    row = F.struct("root", "line", "n", "p0", "p1", "p2", "p3").alias("row")
+    row = F.struct("root", "line", "n", "parity").alias("row")
     dealt = open_.join(drawn, "h").join(blocks, "key").select("key", (F.col("root") == F.col("main")).alias("inner"), F.pmod(F.xxhash64("h", F.lit(1)), F.col("blocks")).alias("at"), row)
     groups = stored(dealt.groupBy("key", "inner", "at").agg(F.collect_list("row").alias("rows")), "blocks")
     outer = groups.where(~F.col("inner")).select("key", F.col("at").alias("p"), F.col("rows").alias("left"))
