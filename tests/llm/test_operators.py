@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from panelforge.llm import labelled as labelled_module
 from panelforge.llm import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, quality, simhash, substrings, toxicity, union
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, size string, score string, n_words string, fingerprint string, spans string"
@@ -535,3 +536,72 @@ def test_bitsliced_takes_large_components(spark):
     assert got == {k: v for k, v in want.items() if k[1] < 20}
     with pytest.raises(Exception, match="too large|too big|OverflowError"):
         bitsliced.search(df).collect()
+
+
+def test_licence_scores_against_all_cosines(spark):
+    """Every line, window and whole text against every template, without gates or covers."""
+    notices = list(licences.TEMPLATES.values())
+    texts = [f"{prose(i, 12)}\n{notices[i % len(notices)]}\n{prose(i + 50, 9)}" for i in range(8)]
+    texts += [licence_file("MIT"), f"{licence_file('ISC')}\n{prose(77, 30)}", prose(70, 60), "", None, dict(licences.HEADERS)["Apache-2.0"], "the MIT and the ISC", notices[3], notices[3], "x " * 20_000 + f"\n{notices[1]}"]
+    cut = lambda t: collections.Counter(re.findall(licences.TERM, (t or "").lower()))
+    n, templates = len(texts), licences.template_terms()
+    known = {t for v in templates.values() for t in v}
+    df = collections.Counter(t for x in texts for t in set(cut(x)) & known)
+    weigh = lambda t: np.log((1 + n) / (1 + df[t])) if t in known else np.log(1 + n)
+
+    def best(body):
+        c = {t: k * weigh(t) for t, k in cut(body).items()}
+        size = np.sqrt(sum(v * v for v in c.values()))
+        out = {}
+        for (name, _), counts in templates.items():
+            v = {t: k * weigh(t) for t, k in counts.items()}
+            dot = sum(v[t] * c[t] for t in v if t in c)
+            if size and dot:
+                out[name] = max(out.get(name, 0.0), dot / size / np.sqrt(sum(x * x for x in v.values())))
+        return {k: v for k, v in out.items() if v >= 0.5}
+
+    want = {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        units = lines + ["\n".join(lines[a : a + w]) for w in licences.WINDOWS if len(lines) > w for a in range(0, len(lines), w // 2)]
+        found, whole = collections.defaultdict(float), best(t)
+        for u in [*units, t]:
+            for k, v in best(u).items():
+                found[k] = max(found[k], v)
+        want[i] = (min(found, key=lambda k: (-round(found[k], 12), k)), round(max(found.values()), 9), "file" if whole else "header") if found else (None, None, "none")
+    got = {int(r.path): (r.licence, r.score and round(r.score, 9), r.origin) for r in licences.scan(spark.createDataFrame([(str(i), t, "clash") for i, t in enumerate(texts)], "path string, text string, licence string").withColumn("path", F.col("path"))).collect()}
+    same = {i for i in want if got[i][0] == want[i][0] and (want[i][1] is None or abs(got[i][1] - want[i][1]) < 1e-6)}
+    alone = {i for i in want if want[i][0] is not None}
+    assert alone <= same and all(got[i][2] == want[i][2] for i in alone) and len(alone) > 10
+
+
+def test_inheritance_on_deep_paths(spark):
+    rows = [("a/LICENSE", notices := licences.TEMPLATES["MIT"]), ("a/b/c/d/e/f", "x"), ("a/b/c/LICENSE", licences.TEMPLATES["ISC"]), ("a/b/c/d/g", "y"), ("a/b/h", "z"), ("ab/i", "w"), ("/".join("q" * 60), "v"), ("LICENSE", licences.TEMPLATES["GPL-3.0"])]
+    got = {r.path: (r.licence, r.inherited_from) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert notices and got["a/b/c/d/e/f"] == ("ISC", "a/b/c") == got["a/b/c/d/g"] and got["a/b/h"] == ("MIT", "a") and got["ab/i"] == ("GPL-3.0", "") == got["/".join("q" * 60)]
+
+
+def test_training_samples_are_bounded(spark):
+    d = spark.createDataFrame([(i, "word " * (i % 7 + 1)) for i in range(300)] + [(7, "again")] * 50 + [(None, "x"), (8, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1)], "doc_id long, toxic int")
+    got = labelled_module.training_sample(d, marks, "toxic", most=50, most_bytes=400).collect()
+    assert len({r.id for r in got}) == len(got) <= 50 and sum(len(r.text) for r in got) <= 400
+    assert len(labelled_module.training_sample(d, marks, "toxic", most=50, most_bytes=1).collect()) == 1
+    assert labelled_module.training_sample(d.limit(0), marks, "toxic").count() == 0 == labelled_module.training_sample(d, marks.limit(0), "toxic").count()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base, other = prose(61, 90), prose(62, 90)
+    rows = [(1, base), (2, base), (3, None), (4, ""), (5, f"{other}\n{prose(63, 40)}"), (6, f"{other}\n{prose(64, 40)}"), (None, prose(65, 80)), (7, f"{prose(66, 30)} {prose(67, 20)}"), (7, f"{prose(66, 30)} {prose(67, 20)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, spans string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(67, 20))], "item_id long, text string")
+    for name, d in (("odd", docs), ("none", docs.limit(0))):
+        for table, df in (("documents", d), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns[: len(docs.columns)] == docs.columns or set(docs.columns) <= set(out.columns)
+        got = {r.doc_id: r.text for r in out.collect()}
+        assert name == "none" and not got or (2 not in got and 7 not in got and got.get(6, prose(64, 40)) == prose(64, 40) and set(got) <= {1, 5, 6, None})
