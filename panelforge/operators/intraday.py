@@ -163,14 +163,15 @@ def session_returns(bars: DataFrame) -> DataFrame:
 
 
 def session_betas(bars: DataFrame, window: int = 10, least: int = 5) -> DataFrame:
-    """Beta to the benchmark from session returns of the ``window`` sessions before."""
+    """Beta to the benchmark from session returns of the ``window`` sessions before: the covariance over sessions with both
+    returns, the variance over all of the benchmark's."""
     r = session_returns(bars).select("symbol", "session", "day_return")
     b = r.where(F.col("symbol") == BENCHMARK).select("session", F.col("day_return").alias("m"))
     w = Window.partitionBy("symbol").orderBy("session").rowsBetween(-window, -1)
     both = r.join(b, "session", "left")
     pair = F.col("day_return").isNotNull() & F.col("m").isNotNull()
     y, m = F.when(pair, F.col("day_return")), F.when(pair, F.col("m"))
-    return both.select("symbol", "session", F.when(F.count(y).over(w) >= least, div(F.covar_samp(y, m).over(w), F.var_samp(m).over(w))).alias("beta"))
+    return both.select("symbol", "session", F.when((F.count(y).over(w) >= least) & (F.count("m").over(w) >= least), div(F.covar_samp(y, m).over(w), F.var_samp("m").over(w))).alias("beta"))
 
 
 def cross_section(features: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ R.add("fwd_return_asof", K, "entry_slot", "fwd_1 fwd_2", targets, f"{B}, {op.TAR
 R.add("fwd_eod", K, "", "fwd_eod", targets, f"{B}, {op.TARGET_SQL}\nselect * from tgt")
 R.add("benchmark_adjusted", K, "", "adj_1", lambda s, d: op.benchmark_adjusted(targets(s, d)), f"{B}, {op.TARGET_SQL}\nselect t.symbol, t.session, t.slot, t.fwd_1 - b.fwd_1 as adj_1 from tgt t left join tgt b on b.symbol = 'S0' and b.session = t.session and b.slot = t.slot")
 DAYS = """dd as (select symbol, session, arg_min(o, slot) as so, arg_max(c, slot) as sc from bars group by all), sr as (select symbol, session, lag(sc) over w / lag(sc, 2) over w - 1 as previous_session_return, so / lag(sc) over w - 1 as overnight_gap, lag(sc) over w / lag(sc, 3) over w - 1 as session_return_2, sc / lag(sc) over w - 1 as day_return from dd window w as (partition by symbol order by session)),
-bt0 as (select a.symbol, a.session, case when m.day_return is not null then a.day_return end as y, case when a.day_return is not null then m.day_return end as m from sr a left join sr m on m.symbol = 'S0' and m.session = a.session), bt as (select symbol, session, case when count(y) over w >= 5 then covar_samp(y, m) over w / nullif(var_samp(m) over w, 0) end as beta from bt0 window w as (partition by symbol order by session rows between 10 preceding and 1 preceding))"""
+bt0 as (select a.symbol, a.session, case when m.day_return is not null then a.day_return end as y, case when a.day_return is not null then m.day_return end as m, m.day_return as every from sr a left join sr m on m.symbol = 'S0' and m.session = a.session), bt as (select symbol, session, case when count(y) over w >= 5 and count(every) over w >= 5 then covar_samp(y, m) over w / nullif(var_samp(every) over w, 0) end as beta from bt0 window w as (partition by symbol order by session rows between 10 preceding and 1 preceding))"""
 R.add("prior_session_return", "symbol session", "", "previous_session_return overnight_gap session_return_2", lambda s, d: op.session_returns(bars(s, d)), f"{B}, {DAYS}\nselect * from sr")
 R.add("rolling_beta", "symbol session", "", "beta", lambda s, d: op.session_betas(bars(s, d)), f"{B}, {DAYS}\nselect * from bt")
 R.add("beta_residual", K, "", "resid_1", lambda s, d: (t := targets(s, d)).join(t.where("symbol = 'S0'").select("session", "slot", F.col("fwd_1").alias("b_1")), ["session", "slot"], "left").join(op.session_betas(bars(s, d)), ["symbol", "session"], "left").withColumn("resid_1", F.col("fwd_1") - F.col("beta") * F.col("b_1")),
