@@ -108,19 +108,22 @@ select security, session, case when count(y) over w >= 8 then covar_pop(y, x) ov
 
 
 def tested(p):
-    """Hypotheses of one pair with the normal p of their t, their rates and whether they pass small gates."""
+    """Hypotheses of one pair with the normal p of their t, their rates, securities and neighbouring horizons, and whether they pass small gates."""
     series = op.daily_pairs(ranked(p), op.targets(p))
     rows = op.pair_tests(series, "ret", "target_3").withColumn("raw_p", normal_p("t")).withColumn("fdr_family", F.lit("all")).withColumn("feature_family", F.when(F.col("test_type") == "ic", "rank").otherwise("spread"))
     rows = selection.interday_fdr(rows).withColumn("test_type", F.when(F.col("test_type") == "ic", "rank_ic").otherwise(F.col("test_type")))
-    rows = rows.withColumn("horizon", F.lit(3)).withColumn("distinct_symbols", F.lit(50)).withColumn("neighbor_supported", F.lit(True))
-    return selection.interday_gates(rows, fdr=0.9, ic_dates=20, decile_dates=20)
+    paired = ranked(p).join(op.targets(p).select("security", "session", "target"), ["security", "session"]).where("pct is not null and target is not null")
+    seen = paired.agg(F.countDistinct("security").alias("distinct_symbols")).withColumn("horizon", F.lit(3))
+    beside = op.neighbours(profile(p)).select("horizon", (F.coalesce(F.greatest("before", "after"), F.lit(0)) == 1).alias("neighbor_supported"))
+    rows = rows.withColumn("horizon", F.lit(3)).join(seen, "horizon").join(beside, "horizon")
+    return selection.interday_gates(rows, fdr=0.9, ic_dates=20, decile_dates=20, symbols=10)
 
 
 TS = """ts0 as (select unnest(['rank_ic', 'top_bottom', 'top_middle', 'middle_bottom']) as test_type, unnest([ic, top_bottom, top_middle, middle_bottom]) as e from dp), ts1 as (select test_type, count(*) as valid_dates, avg(e) as effect, avg(e) / nullif(stddev_samp(e) / sqrt(count(*)), 0) as t from ts0 where e is not null group by test_type),
 ts2 as (select *, @P as raw_p, test_type = 'rank_ic' as fam from ts1), ts3 as (select *, raw_p * count(*) over () / row_number() over (order by raw_p, test_type) as q1, raw_p * count(*) over (partition by fam) / row_number() over (partition by fam order by raw_p, test_type) as q2 from ts2),
 ts as (select *, least(1, min(q1) over (order by raw_p, test_type rows between current row and unbounded following)) as global_fdr, least(1, min(q2) over (partition by fam order by raw_p, test_type rows between current row and unbounded following)) as feature_family_fdr from ts3)""".replace("@P", normal_p_sql("t"))
 q("interday_fdr", "valid_dates", "effect raw_p global_fdr feature_family_fdr", tested, f", {DP}, {TS}\nselect * from ts", keys="test_type")
-q("interday_gates", "", "effect", tested, f", {DP}, {TS}\nselect *, global_fdr <= 0.9 and valid_dates >= 20 and abs(effect) >= case when test_type = 'rank_ic' then 0.01 else 12.0::double / 1e4 end as passes from ts", keys="test_type passes")
+q("interday_gates", "", "effect", tested, f", {DP}, {TS}, {HZ}, nb0 as (select horizon, (lag(effect) over w / effect >= 0.5)::int as before, (lead(effect) over w / effect >= 0.5)::int as after from hz window w as (order by horizon)), nb as (select coalesce(greatest(before, after), 0) = 1 as beside from nb0 where horizon = 3), ny as (select count(distinct security) as symbols from rb join tg using (security, session) where pct is not null and target is not null)\nselect *, (select symbols from ny) >= 10 and (select beside from nb) and global_fdr <= 0.9 and valid_dates >= 20 and abs(effect) >= case when test_type = 'rank_ic' then 0.01 else 12.0::double / 1e4 end as passes from ts", keys="test_type passes")
 q(
     "horizon_shape", "peak_horizon sign_changes", "peak_effect retention area", lambda p: op.horizon_shape(profile(p).withColumn("one", F.lit(1)), ["one"]),
     f""", {HZ}, hs0 as (select *, lag(effect) over (order by horizon) as e0, lead(effect) over (order by horizon) as e1, lag(horizon) over (order by horizon) as h0 from hz), hs1 as (select sum((effect + e0) / 2 * (horizon - h0)) as area, count(*) filter (sign(effect) <> sign(e0)) as sign_changes from hs0), hs2 as (select horizon as peak_horizon, effect as peak_effect, greatest(sign(effect) * e0, sign(effect) * e1) / abs(effect) as retention from hs0 order by abs(effect) desc, horizon limit 1)
