@@ -42,7 +42,7 @@ from .union import components
 SIMILAR = (4, 5)
 BANDS, ROWS = 10, 6
 WIDTH = 5
-WORDS = 16  # of 64 bits of parity
+WORDS, FIRST = 16, 4  # of 64 bits of parity, and of those looked at first
 HIDDEN = "__line_"
 #: Fixed value: any pattern of mixed bits, to make a second order of the same hashes.
 FLIP = 0x5A17C3D2E96B4F81
@@ -118,11 +118,17 @@ def pairs_with_ends(members: DataFrame) -> DataFrame:
     return met.where("h != other").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
+def near_in_size(m: Column, n: Column) -> Column:
+    """False where the sizes of two sets alone prove a Jaccard similarity below 0.8."""
+    up, down = SIMILAR
+    return (m * down >= n * up) & (n * down >= m * up)
+
+
 def alike(sa: Column, sb: Column) -> Column:
     """True if the Jaccard similarity of two sets is at least 0.8; their sizes alone rule out most others."""
     up, down = SIMILAR
     m, n = F.size(sa), F.size(sb)
-    return (m * down >= n * up) & (n * down >= m * up) & (F.size(F.array_intersect(sa, sb)) * (down + up) >= (m + n) * up)
+    return near_in_size(m, n) & (F.size(F.array_intersect(sa, sb)) * (down + up) >= (m + n) * up)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,8 +154,12 @@ def may_be_alike(x: Column, y: Column) -> Column:
     have the similarity (m + n - d) / (m + n + d)."""
     up, down = SIMILAR
     m, n = x["n"], y["n"]
-    differ = sum((F.bit_count(F.get(x["parity"], F.lit(w)).bitwiseXOR(F.get(y["parity"], F.lit(w)))) for w in range(1, WORDS)), F.bit_count(F.get(x["parity"], F.lit(0)).bitwiseXOR(F.get(y["parity"], F.lit(0)))))
-    return (m * down >= n * up) & (n * down >= m * up) & (differ * (down + up) <= (m + n) * (down - up))
+
+    def few(words: int) -> Column:
+        differ = [F.bit_count(F.get(x["parity"], F.lit(w)).bitwiseXOR(F.get(y["parity"], F.lit(w)))) for w in range(words)]
+        return sum(differ[1:], differ[0]) * (down + up) <= (m + n) * (down - up)
+
+    return near_in_size(m, n) & few(FIRST) & few(WORDS)
 
 
 def links_of_blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
@@ -167,14 +177,24 @@ def links_of_blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFra
     outer = groups.where(~F.col("inner")).select("key", F.col("at").alias("p"), F.col("rows").alias("left"))
     every = groups.select("key", "inner", F.col("at").alias("q"), F.col("rows").alias("right"))
     met = outer.join(every, "key").where("inner or p <= q").withColumn("same", ~F.col("inner") & (F.col("p") == F.col("q")))
-    met = met.select("left", "right", F.transform("left", lambda r: shingle_set(r["line"])).alias("sl"), F.transform("right", lambda r: shingle_set(r["line"])).alias("sr"), "same")
-
-    def found(x: Column, i: Column, right: Column, sl: Column, sr: Column, same: Column) -> Column:
-        fits = lambda y, j: (y["root"] != x["root"]) & ~(same & (y["root"] > x["root"])) & may_be_alike(x, y) & alike(F.get(sl, i), F.get(sr, j))
-        return F.transform(F.filter(right, fits), lambda y: F.struct(F.least(x["root"], y["root"]).alias("a"), F.greatest(x["root"], y["root"]).alias("b")))
 
-    everything = F.array(F.struct("left", "right", "sl", "sr", "same"))  # held by a lambda's variable, see let
-    links = F.get(F.transform(everything, lambda e: F.array_distinct(F.flatten(F.transform(e["left"], lambda x, i: found(x, i, e["right"], e["sl"], e["sr"], e["same"]))))), F.lit(0))
+    def close(x: Column, right: Column, same: Column) -> Column:
+        """The places in ``right`` of the rows that sizes and parities do not rule out for ``x``."""
+        fits = lambda y: (y["root"] != x["root"]) & ~(same & (y["root"] > x["root"])) & may_be_alike(x, y)
+        return F.filter(F.transform(right, lambda y, j: F.when(fits(y), j)), lambda j: j.isNotNull())
+
+    def found(x: Column, i: Column, e: Column) -> Column:
+        near = F.filter(F.get(e["close"], i), lambda j: alike(F.get(e["sl"], i), F.get(e["sr"], j)))
+        root = lambda j: F.get(e["right"], j)["root"]
+        return F.transform(near, lambda j: F.struct(F.least(x["root"], root(j)).alias("a"), F.greatest(x["root"], root(j)).alias("b")))
+
+    # each held by a lambda's variable, see let; sets are made only of lines that a pair is left of
+    met = met.select("left", "right", let(F.struct("left", "right", "same"), lambda e: F.transform(e["left"], lambda x: close(x, e["right"], e["same"]))).alias("close"))
+    met = met.where(F.size(F.flatten("close")) > 0).select("left", "right", "close", F.array_distinct(F.flatten("close")).alias("asked"))
+    sl = F.transform("left", lambda x, i: F.when(F.size(F.get("close", i)) > 0, shingle_set(x["line"])))
+    sr = F.transform("right", lambda y, j: F.when(F.array_contains("asked", j), shingle_set(y["line"])))
+    met = met.select("left", "right", "close", sl.alias("sl"), sr.alias("sr"))
+    links = let(F.struct(*met.columns), lambda e: F.array_distinct(F.flatten(F.transform(e["left"], lambda x, i: found(x, i, e)))))
     return met.select(F.explode(links).alias("link")).select("link.a", "link.b").distinct()
 
 

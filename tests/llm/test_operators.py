@@ -466,6 +466,21 @@ def test_near_lines_meet_wherever_they_differ(spark):
     assert gone == {2 * i + 1 for i, joined in enumerate(near) if joined}
 
 
+def test_links_of_blocks_against_all_pairs(spark):
+    """One near pair among lines of one bucket that are unlike: what the first words of parity leave is compared in full."""
+    rng = random.Random(29)
+    words = [f"w{i:03d}" for i in range(300)]
+    base = rng.sample(words, 50)
+    lines = [" ".join(base), " ".join([*base[:-1], "other"])] + [" ".join(rng.sample(words, 50)) for _ in range(30)]
+    cut = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
+    assert [(a, b) for a, b in itertools.combinations(range(32), 2) if len(cut[a] & cut[b]) * 5 >= len(cut[a] | cut[b]) * 4] == [(0, 1)]
+    texts = spark.createDataFrame([(t,) for t in lines], "line string").select(F.xxhash64("line").alias("h"), "line")
+    members = texts.select(F.lit(1).cast("long").alias("key"), "h", F.col("h").alias("root"))
+    near = tuple(sorted(r.h for r in texts.collect() if r.line in lines[:2]))
+    for block in (3, 64):
+        assert {(r.a, r.b) for r in fuzzylines.links_of_blocks(members, texts, block).collect()} == {near}
+
+
 def licence_file(name):
     return (pathlib.Path(licences.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
 
