@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, quality, simhash, substrings, toxicity
+from . import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, pieces, quality, simhash, substrings, toxicity
 from .common import held_out, table
 
 
@@ -60,6 +60,14 @@ def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op13_merge_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"], packed=True)
+    return pieces.digest(pieces.decode(ids, model))
+
+
 QUERIES = {
     "op1_rule_ensemble": op1_rule_ensemble,
     "op2_pareto_mix": op2_pareto_mix,
@@ -71,6 +79,7 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_fingerprint_index": op9_fingerprint_index,
     "op10_simhash_popcount": op10_simhash_popcount,
+    "op13_merge_backtracking": op13_merge_backtracking,
 }
 ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
