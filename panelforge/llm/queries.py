@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, pieces, quality, simhash, substrings, toxicity
+from . import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, periodic, pieces, quality, simhash, substrings, toxicity
 from .common import held_out, table
 
 
@@ -60,6 +60,12 @@ def op7_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_lpf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = periodic.made_periodic(periodic.words_of("text"), "doc_id").alias("words")
+    return periodic.digest(periodic.periodic_runs(docs.select("doc_id", words), keep=["doc_id"]))
+
+
 def op13_merge_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_fingerprint_index": op9_fingerprint_index,
     "op10_simhash_popcount": op10_simhash_popcount,
+    "op11_lpf_runs": op11_lpf_runs,
     "op13_merge_backtracking": op13_merge_backtracking,
 }
 ORACLES = {
