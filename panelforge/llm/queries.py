@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, periodic, pieces, quality, simhash, substrings, toxicity
+from . import bitsliced, decontaminate, fuzzylines, licences, maintext, mixing, periodic, pieces, quality, simhash, substrings, toxicity, whitening
 from .common import held_out, table
 
 
@@ -66,6 +66,10 @@ def op11_lpf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(docs.select("doc_id", words), keep=["doc_id"]))
 
 
+def op12_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 def op13_merge_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_fingerprint_index": op9_fingerprint_index,
     "op10_simhash_popcount": op10_simhash_popcount,
     "op11_lpf_runs": op11_lpf_runs,
+    "op12_residue_whitening": op12_residue_whitening,
     "op13_merge_backtracking": op13_merge_backtracking,
 }
 ORACLES = {
