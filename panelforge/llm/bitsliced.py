@@ -12,9 +12,9 @@ Rows are dealt to blocks at random, so that rows which repeat an id are spread,
 index once for all the group's queries and returns k rows a query; the best k of all blocks are taken at the end. The
 work is queries times rows, as asked; making a block's index costs as much as a few of its thousands of queries.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; of vectors with
-another length than the query only those of equal length are compared; a component that times ``scale`` does not fit a
-long, or a score among the best of a block that does not, is an error; a null id takes no part; ties go to the smaller
+Defined cases: vectors that are null, or hold null or non-finite components or one that times ``scale`` does not fit a long,
+take no part; of vectors with another length than the query only those of equal length are compared, empty ones with
+score 0; a score among the best of a block that does not fit a long is an error; a null id takes no part; ties go to the smaller
 id; rows that repeat an id are each a candidate (but not for a query of their own id), and share one list of k if the id is a query; k rows
 or all there are; an empty table gives no rows; columns other than key and vector are not read, whatever their names; vectors of
 any length are taken whole, in smaller blocks.
@@ -33,11 +33,12 @@ from .common import cut
 
 
 def quantised(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, v): components as whole numbers, floor(scale * x); unusable rows are left out."""
+    """(id, v): components as whole numbers, floor(scale * x). Rows without an id or a vector, with a component that is null or
+    not finite, or with one whose whole number does not fit a long are left out."""
     x = F.col(f"`{vector}`")
     limit = float(1 << 63)
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
-    v = F.transform(x, lambda e: F.when(F.abs(e.cast("double") * scale) < limit, F.floor(e.cast("double") * scale).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long")))
+    fine = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * scale) < limit))
+    v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
     return vectors.where(F.col(f"`{key}`").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v"))
 
 
@@ -186,7 +187,7 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
     slots = max(1, spark.sparkContext.defaultParallelism) * 2
     groups = max(1, min(math.ceil(n / every / 64), max(math.ceil(n / every / most), math.ceil(slots / blocks))))
     place = F.xxhash64(F.monotonically_increasing_id())  # of rows in the checkpoint, so another try gives the same
-    dealt = rows.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("group", F.pmod(F.shiftright(place, 32), F.lit(groups)).cast("int"))
+    dealt = rows.where("d > 0").withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("group", F.pmod(F.shiftright(place, 32), F.lit(groups)).cast("int"))
     data = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     ask = dealt.where(F.col("id") % every == 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -202,6 +203,11 @@ def search(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding"
         return pa.table({n: np.concatenate(o) if o else np.zeros(0, np.int64) for n, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     found = ask.groupBy("d", "block", "group").cogroup(data.groupBy("d", "block", "group")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    # vectors without components: every score is 0, so the smallest ids win
+    empty = rows.where("d = 0").select("id")
+    first = F.broadcast(empty.distinct().orderBy("id").limit(k + 1).select(F.col("id").alias("vec_id")))
+    zero = empty.where(F.col("id") % every == 0).select(F.col("id").alias("query_id")).join(first, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.lit(0).cast("long").alias("score"))
+    found = found.unionAll(zero)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

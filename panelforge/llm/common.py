@@ -63,6 +63,16 @@ def bit_held(df: DataFrame, column: str, table: DataFrame, words: int = 1 << 20)
     return found.select(*df.columns)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}

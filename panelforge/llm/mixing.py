@@ -8,14 +8,18 @@ documents are ranked by the odds of a random number over the odds of ``p`` (Ros
 order while the target allows: a sample of fixed size, measured in words. One more document, the one nearest in size to
 what is then missing, closes the gap if it is at most twice as large.
 
-The random number is a hash of the id (of the text where the id is null), so reruns agree.
+The random number is a hash of the id (of the text where the id is null), so reruns agree. Rows that share source, size and
+hash are numbered, and each number has a draw of its own. Which row has which number matters only to rows of one id and
+size with other texts; these are numbered by their texts. The numbering is counted by partition, so that a group of
+copies never meets in one task.
 
 Order statistics of a source are never gathered in one task: ranks are counted in buckets first, and only the bucket
 that holds the boundary is sorted. The number of buckets follows the number of rows. Tables by source are broadcast
 when they are checked to be small.
 
 Defined cases: a null or empty text has size 0 and is never taken; null sources form one source, last in order; rows
-that repeat id and size share their rank and are taken together; an empty table gives an empty mix.
+that repeat id and size each have a draw of their own; an empty table gives an empty mix; texts of any length are only
+counted.
 """
 
 from __future__ import annotations
@@ -40,6 +44,19 @@ def ticket(key: str, text: str):
     return F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"), F.lit("")))
 
 
+def told_apart(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` with a ticket of its own for each of the rows that share one (``repeated``: their keys), without the columns same and words."""
+    alone = rows.join(repeated, "same", "left_anti")
+    place, at = "__place", "__at"
+    many = cut(rows.join(repeated, "same", "left_semi").withColumn(place, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    heap = ["same", "words", place]
+    before = Window.partitionBy("same").orderBy("words", place).rowsBetween(Window.unboundedPreceding, -1)
+    base = many.groupBy(*heap).agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    number = F.row_number().over(Window.partitionBy(*heap).orderBy(at)) - 1 + F.col("base")
+    many = many.join(base, heap).withColumn("number", number).withColumn("ticket", F.when(F.col("number") == 0, F.col("ticket")).otherwise(F.md5(F.concat_ws(":", "ticket", "number"))))
+    return alone.unionByName(many.select(*alone.columns)).drop("same", "words")
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, broadcast if it is counted to have few rows."""
     return F.broadcast(df) if df.count() <= SMALL else df
@@ -128,11 +145,18 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     docs = without(docs, *OUT)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in OUT]
     hidden = {c: f"__c{i}" for i, c in enumerate(kept)}
-    own = [F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), ticket(key, text).alias("ticket")]
-    slim = cut(docs.select(*own, *([F.col(f"`{c}`").alias(h) for c, h in hidden.items()] if keep is not None else [])))
+    own = [F.col(f"`{source}`").alias("source"), word_count(text).alias("size"), ticket(key, text).alias("ticket"), F.xxhash64(f"`{text}`").alias("words")]
+    same = F.concat_ws("|", "ticket", "size", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).alias("same")
+    slim = cut(docs.select(*own, *([F.col(f"`{c}`").alias(h) for c, h in hidden.items()] if keep is not None else [])).select("*", same))
+    repeated = cut(slim.groupBy("same").count().where("count > 1").select("same"))
+    some = repeated.count() > 0
+    slim = cut(told_apart(slim, repeated)) if some else slim
     decided, buckets = plan(slim.select("source", "size", "ticket"), weights=weights, budget=budget, cap=cap)
     # with few columns the cut rows serve again; whole documents are read a second time instead of being copied
-    rows = slim if keep is not None else docs.select(*own, *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
+    rows = slim
+    if keep is None:
+        rows = docs.select(*own, *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]).select("*", same)
+        rows = told_apart(rows, repeated) if some else rows
     rows = chosen(placed(rows, small(decided), cap, buckets))
     more = F.coalesce((F.col("ticket") == F.col("extra")) & (F.col("size") == F.col("extra_size")) & F.col("q").isNotNull() & ~F.col("drawn"), F.lit(False))
     rows = rows.withColumn("copies", F.col("certain") + F.col("drawn").cast("long") + more.cast("long"))
@@ -141,7 +165,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
 #: DuckDB SQL for doc_id, size, source_size, target and taken.
 ORACLE = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(cast(doc_id as varchar), text, '')) as ticket from documents),
+with d0 as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5(coalesce(cast(doc_id as varchar), text, '')) as t0 from documents),
+d1 as (select *, row_number() over (partition by source, size, t0) - 1 as number from d0), d as (select doc_id, source, size, case when number = 0 then t0 else md5(t0 || ':' || number) end as ticket from d1),
 s as (select source, sum(size)::bigint as source_size, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from d group by source),
 f as (select *, ((select sum(source_size) from s) * 1.5::double - coalesce(sum(source_size * 2.0::double) over (o rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (o rows between current row and unbounded following) as level from s window o as (order by source_size * 2.0::double / weight, source nulls last)),
 lv as (select arg_min(level, source_size * 2.0::double / weight) as level from f where level * weight <= source_size * 2.0::double),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import SPACE, fold_table
-from .common import cut, text_key, without
+from .common import cut, fresh, text_key, without
 from .union import components
 
 FOLD = fold_table(SPACE, lower=True)
@@ -228,16 +228,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest key stays, of equal keys the least text hash."""
-    names = [f"__k{i}" for i in (1, 2)]
-    mark = [c.alias(n) for c, n in zip(text_key(text), names)]
-    keyed = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("text"), *mark)
-    prints = cut(fingerprints(keyed, keep=["__id", *names]))
+    own, count, *names = fresh(docs, "__id", "__n", "__k1", "__k2")
+    mark = [c.alias(n) for c, n in zip(text_key(f"`{text}`"), names)]
+    keyed = docs.select(F.col(f"`{key}`").alias(own), F.col(f"`{text}`").alias("text"), *mark)
+    prints = cut(fingerprints(keyed, keep=[own, *names]))
     roots = cut(classes(prints, radius=radius)).withColumnRenamed("node", "fingerprint")
-    order = F.struct(F.col("__id").isNull().alias("null"), *[F.col(c) for c in ("__id", *names)])
+    order = F.struct(F.col(own).isNull().alias("null"), *[F.col(c) for c in (own, *names)])
     first = prints.join(roots, "fingerprint", "left").groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min(order).alias("f"))
-    first = first.select(*[F.col(f"f.{c}").alias(f"__r{c}") for c in ("__id", *names)])
-    marked = docs.select("*", F.col(f"`{key}`").alias("__id"), *mark)
-    same = [F.col(c).eqNullSafe(F.col(f"__r{c}")) if c == "__id" else F.col(c) == F.col(f"__r{c}") for c in ("__id", *names)]
-    kept = marked.join(first, same[0] & same[1] & same[2], "left_semi")
-    one = F.row_number().over(Window.partitionBy(*names, "__id").orderBy("__id"))
-    return kept.withColumn("__n", one).where("__n = 1").select(*[f"`{c}`" for c in docs.columns])
+    first = first.select(*[F.col(f"f.{c}").alias(f"first_{i}") for i, c in enumerate((own, *names))])
+    hidden = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    marked = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()], F.col(f"`{key}`").alias(own), *mark)
+    kept = marked.join(first, F.col(own).eqNullSafe(F.col("first_0")) & (F.col(names[0]) == F.col("first_1")) & (F.col(names[1]) == F.col("first_2")), "left_semi")
+    one = F.row_number().over(Window.partitionBy(*names, own).orderBy(own))
+    return kept.withColumn(count, one).where(F.col(count) == 1).select(*[F.col(h).alias(c) for c, h in hidden.items()])
