@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from panelforge.plans import generation, interday, intraday, screening, selection, trading
+from panelforge.plans import bulk, generation, interday, intraday, screening, selection, trading
 
-GROUPS = (intraday.R, screening.R, selection.R, generation.R, interday.R, trading.R)
+GROUPS = (intraday.R, screening.R, bulk.R, selection.R, generation.R, interday.R, trading.R)
 QUERIES = {n: q for g in GROUPS for n, q in g.queries.items()}
 ORACLES = {n: q for g in GROUPS for n, q in g.oracles.items()}

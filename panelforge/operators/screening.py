@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.functions.columns import FOLLOWING, avg_rank, div, floor_bin, pct_rank, qcut_bin
+from panelforge.functions.columns import FOLLOWING, avg_rank, div, pct_rank
+from panelforge.operators import order
 
 FEATURES = ("ret_1", "vol_3", "range_pos_3", "rel_vol_3")
 TARGETS = ("fwd_1", "fwd_2")
@@ -90,21 +91,26 @@ def binary_effect(pairs: DataFrame) -> DataFrame:
     return out.withColumn("effect", F.col("mean_on") - F.col("mean_off")).withColumn("activation", div(F.col("n_on"), F.col("n_on") + F.col("n_off")))
 
 
-def quantile_table(pairs: DataFrame, q: int = 10) -> DataFrame:
-    """Mean target by quantile bin of first-ranks in a total order."""
-    order = Window.partitionBy(*PAIR).orderBy("x", "session", "slot", "symbol")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*PAIR))
-    out = pairs.withColumn("r", F.row_number().over(order)).withColumn("n", n).withColumn("bin", qcut_bin(F.col("r"), F.col("n"), q)).withColumn("floor", floor_bin(F.col("r"), F.col("n"), q))
-    return out
+TIES = ["session", "slot", "symbol"]
+
+
+def quantile_table(pairs: DataFrame, q: int = 10, name: str = "bin") -> DataFrame:
+    """``pairs`` with their quantile bin (``floor``: bins of equal numbers) by first-ranks in a total order; a pair's rows
+    are never sorted in one task."""
+    return order.bins(pairs, PAIR, "x", TIES, order.floor_last(q) if name == "floor" else order.qcut_last(q), name)
+
+
+def bin_means(pairs: DataFrame, q: int = 10) -> DataFrame:
+    return quantile_table(pairs, q).groupBy(*PAIR, "bin").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
 def decile_spread(pairs: DataFrame) -> DataFrame:
-    t = quantile_table(pairs).groupBy(*PAIR, "bin").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
+    t = bin_means(pairs)
     return t.groupBy(*PAIR).agg((F.max(F.when(F.col("bin") == 9, F.col("m"))) - F.max(F.when(F.col("bin") == 0, F.col("m")))).alias("spread"), F.sum("n").alias("n")).withColumn("spread", F.when(F.col("n") >= 20, F.col("spread")))
 
 
 def monotonicity(pairs: DataFrame) -> DataFrame:
-    t = quantile_table(pairs).groupBy(*PAIR, "bin").agg(F.avg("y").alias("m")).withColumn("r", avg_rank("m", PAIR))
+    t = bin_means(pairs).withColumn("r", avg_rank("m", PAIR))
     b = F.col("bin").cast("double")
     return t.groupBy(*PAIR).agg(div(F.covar_pop(b, "r"), F.sqrt(F.var_pop(b) * F.var_pop("r"))).alias("monotonicity"))
 

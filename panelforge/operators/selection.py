@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.columns import avg_rank, div, edge_bin
+from panelforge.functions.columns import div, edge_bin
+from panelforge.operators import order
 from panelforge.sources.shared import cut
 
 from .screening import PAIR, bh
@@ -186,11 +187,12 @@ def interday_gates(rows: DataFrame, *, fdr: float = 0.05, ic_dates: int = 750, d
 
 def rank_correlations(wide: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = ("symbol", "session", "slot")) -> DataFrame:
     """(a, b, n, sessions, symbols, corr): rank correlation of every two features over rows with both. A row carries its
-    pairs, so rows are neither joined nor shuffled before the ranks."""
-    order = sorted(names)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(order) for b in order[i + 1 :]])
+    pairs; their ranks come from counts of buckets (``order``), so no task sorts all rows of a pair."""
+    sorted_names = sorted(names)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(sorted_names) for b in sorted_names[i + 1 :]])
     rows = wide.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").where("x is not null and y is not null")
-    rows = rows.withColumn("rx", avg_rank("x", ["a", "b"])).withColumn("ry", avg_rank("y", ["a", "b"]))
+    for c in "xy":
+        rows = order.average_ranks(rows, ["a", "b"], c, f"r{c}")
     return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"), F.countDistinct("symbol").alias("symbols"), div(F.covar_pop("rx", "ry"), F.sqrt(F.var_pop("rx") * F.var_pop("ry"))).alias("corr"))
 
 
@@ -215,18 +217,19 @@ def parent_pairs(corr: DataFrame, scores: DataFrame, *, most: float = 0.90, leas
     why = F.when(strength >= most, "parent_correlation").when(F.col("n") < least[0], "insufficient_joint_observations").when(F.col("sessions") < least[1], "insufficient_joint_sessions").when(F.col("symbols") < least[2], "insufficient_joint_symbols")
     p = p.withColumn("why", why).withColumn("pair_score", 0.4 * F.col("score_a") + 0.4 * F.col("score_b") + 0.2 * F.coalesce(1 - strength, F.lit(0.0)))
     p = p.withColumn("bucket", F.concat_ws("::", F.least("family_a", "family_b"), F.greatest("family_a", "family_b")))
-    order = [F.desc("pair_score"), F.col("a"), F.col("b")]
-    p = p.withColumn("place", F.row_number().over(Window.partitionBy("bucket", F.col("why").isNull()).orderBy(*order)))
+    turn = [F.desc("pair_score"), F.col("a"), F.col("b")]
+    p = p.withColumn("place", F.row_number().over(Window.partitionBy("bucket", F.col("why").isNull()).orderBy(*turn)))
     p = p.withColumn("why", F.coalesce("why", F.when(F.col("place") > cap, "family_pair_cap")))
     # what the family cap turned away does not count towards the total
-    p = p.withColumn("place", F.row_number().over(Window.partitionBy(F.col("why").isNull()).orderBy(*order)))
+    p = p.withColumn("place", F.row_number().over(Window.partitionBy(F.col("why").isNull()).orderBy(*turn)))
     p = p.withColumn("why", F.coalesce("why", F.when(F.col("place") > total, "total_pair_cap")))
     return p.select("a", "b", "bucket", "n", "corr", "pair_score", F.coalesce("why", F.lit("")).alias("rejection_reason"))
 
 
 def edge_bins(pairs: DataFrame, edges: int = 19) -> DataFrame:
     """Mean target by the bin between exact percentile edges of the feature; equal values share a bin."""
-    cuts = pairs.groupBy(*PAIR).agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / (edges + 1)) for i in range(1, edges + 1)]))).alias("edges"))
+    found = order.quantiles(pairs, PAIR, "x", [i / (edges + 1) for i in range(1, edges + 1)])
+    cuts = found.select(*PAIR, F.array_distinct("quantiles").alias("edges"))
     binned = pairs.join(cuts, PAIR).withColumn("bin", edge_bin(F.col("x"), F.col("edges")))
     return binned.groupBy(*PAIR, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y"))
 

@@ -14,6 +14,7 @@ class Registry:
     def __init__(self):
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.oracles: dict[str, str] = {}
+        self.plain: dict[str, str] = {}  # SQL before rounding, for queries that build on it
 
     def add(self, name: str, keys: str, longs: str, doubles: str, build: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
         """``keys`` pass unchanged, ``longs`` become BIGINT, ``doubles`` are rounded; ``sql`` ends in the same columns."""
@@ -24,6 +25,7 @@ class Registry:
 
         self.queries[name] = query
         if sql:
+            self.plain[name] = sql
             cut = sql.rstrip().rfind("\n")
             head, last = sql[:cut], sql[cut:]
             columns = [*keys.split(), *[f"cast({c} as bigint) as {c}" for c in longs.split()], *[f"round(cast({c} as double), {DIGITS}) + 0.0::double as {c}" for c in doubles.split()]]

@@ -47,8 +47,8 @@ R.add("screen_far_from_zero", P, "n", "scaled t t_two_way", lambda s, d: op.clus
 R.add("binary_effect", P, "n_on n_off n_bad on_sessions off_sessions", "mean_on mean_off effect activation", lambda s, d: op.binary_effect(pairs(s, d, ("up",))), f"{LONG}\nselect feature, target, count(*) filter (x = 1) as n_on, count(*) filter (x = 0) as n_off, count(*) filter (x not in (0, 1)) as n_bad, count(distinct session) filter (x = 1) as on_sessions, count(distinct session) filter (x = 0) as off_sessions, avg(y) filter (x = 1) as mean_on, avg(y) filter (x = 0) as mean_off, avg(y) filter (x = 1) - avg(y) filter (x = 0) as effect, count(*) filter (x = 1)::double / count(*) as activation from pu where feature = 'up' group by all")
 R.add("category_means", f"{P} slot", "n", "mean_y slope", lambda s, d: op.by_label(pairs(s, d), F.col("slot"), "slot"), f"{LONG}\nselect feature, target, slot, count(*) as n, avg(y) as mean_y, regr_slope(y, x) as slope from p group by all")
 QT = f"{LONG}, q0 as (select *, row_number() over (partition by feature, target order by x, session, slot, symbol) as r, count(*) over (partition by feature, target) as n from p), q as (select *, greatest(ceil((r - 1) * 10.0::double / (n - 1)) - 1, 0)::int as bin, least(floor((r - 1) * 10.0::double / n), 9)::int as fbin from q0)"
-R.add("quantile_table", f"{P} bin", "n", "mean_y", lambda s, d: op.quantile_table(pairs(s, d)).groupBy("feature", "target", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")), f"{QT}\nselect feature, target, bin, count(*) as n, avg(y) as mean_y from q group by all")
-R.add("floor_bins", f"{P} floor", "n", "mean_y", lambda s, d: op.quantile_table(pairs(s, d)).groupBy("feature", "target", "floor").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")), f"{QT}\nselect feature, target, fbin as floor, count(*) as n, avg(y) as mean_y from q group by all")
+R.add("quantile_table", f"{P} bin", "n", "mean_y", lambda s, d: op.bin_means(pairs(s, d)).withColumnRenamed("m", "mean_y"), f"{QT}\nselect feature, target, bin, count(*) as n, avg(y) as mean_y from q group by all")
+R.add("floor_bins", f"{P} floor", "n", "mean_y", lambda s, d: op.quantile_table(pairs(s, d), name="floor").groupBy("feature", "target", "floor").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")), f"{QT}\nselect feature, target, fbin as floor, count(*) as n, avg(y) as mean_y from q group by all")
 DS = f"{QT}, dt as (select feature, target, bin, avg(y) as m, count(*) as n from q group by all), ds as (select feature, target, case when sum(n) >= 20 then max(m) filter (bin = 9) - max(m) filter (bin = 0) end as spread, sum(n) as n from dt group by all), mo0 as (select *, rank() over (partition by feature, target order by m) + (count(*) over (partition by feature, target, m) - 1) / 2.0 as r from dt), mo as (select feature, target, covar_pop(bin, r) / nullif(sqrt(var_pop(bin) * var_pop(r)), 0) as monotonicity from mo0 group by all)"
 R.add("decile_spread", P, "n", "spread", lambda s, d: op.decile_spread(pairs(s, d)), f"{DS}\nselect * from ds")
 R.add("monotonicity", P, "", "monotonicity", lambda s, d: op.monotonicity(pairs(s, d)), f"{DS}\nselect * from mo")
