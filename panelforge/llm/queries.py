@@ -74,8 +74,7 @@ def op13_merge_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = pieces.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"], packed=True)
-    return pieces.digest(pieces.decode(ids, model))
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"], packed=True, decoded=True))
 
 
 QUERIES = {

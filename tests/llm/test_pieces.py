@@ -24,14 +24,19 @@ def library():
 
 @pytest.fixture(scope="module")
 def coder():
-    return pieces.Coder(pieces.Vocabulary.load(MODEL))
+    return pieces.Encoder(pieces.Vocabulary.load(MODEL))
+
+
+@pytest.fixture(scope="module")
+def decoder():
+    return pieces.Decoder(pieces.Vocabulary.load(MODEL))
 
 
 def ints(packed):
     return np.frombuffer(packed, "<u4").tolist()
 
 
-def test_odd_and_random_texts(library, coder):
+def test_odd_and_random_texts(library, coder, decoder):
     r = random.Random(1)
     parts = ["a", "b", "e", "t", "h", " ", "  ", "in", "the", "ing", "1", "2", "\n", "é", "日", "_", "-", "▁", "."]
     texts = ODD + ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(3000)]
@@ -40,38 +45,71 @@ def test_odd_and_random_texts(library, coder):
     for text in texts:
         packed = coder.encode(text)
         assert ints(packed) == library.encode(text, add_bos=True, add_eos=True)
-        assert coder.decode(packed) == library.decode(ints(packed))
+        assert decoder.decode(packed) == library.decode(ints(packed))
+
+
+def merged(v, text):
+    """Merging pair by pair: the best score first, of equal ones the leftmost."""
+    score = {p: s for p, s, k in zip(v.pieces, v.scores, v.kinds) if k == pieces.NORMAL}
+    parts = list(text)
+    while len(parts) > 1:
+        best = max(((score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in score), default=None)
+        if best is None:
+            break
+        parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+    return parts
+
+
+def split(coder, text):
+    return [coder.text(s) for s in coder.split(text)]
 
 
 def test_backtracking_equals_merging(coder):
-    """Without the memory of stretches: the sequence of compatible pieces is what merging pair by pair gives."""
     r = random.Random(2)
     for _ in range(2000):
-        text = "".join(r.choice(["▁", "s", "t", "e", "a", "r", "in", "on", "ing"]) for _ in range(r.randrange(1, 25)))
-        assert coder.split(text) == coder.merged(text)
+        text = "".join(r.choice(["▁", "s", "t", "e", "a", "r", "\n", "in", "on", "ing"]) for _ in range(r.randrange(1, 25)))
+        assert split(coder, text) == merged(coder.v, text)
 
 
 def test_backs_out_of_a_longest_match_that_fails():
     """Merges b+c first, so the longest match "ab" never stands before "c"."""
     v = pieces.Vocabulary(("<unk>", "<s>", "</s>", "bc", "ab", "a", "b", "c"), (0.0, 0.0, 0.0, -1.0, -2.0, -3.0, -4.0, -5.0), (2, 3, 3, 1, 1, 1, 1, 1), 0, 1, 2, False, " ? ", "test")
-    c = pieces.Coder(v)
-    assert c.split("abc") == ["a", "bc"] == c.merged("abc") and c.split("ababc") == ["ab", "a", "bc"] and c.split("ab") == ["ab"]
+    c = pieces.Encoder(v)
+    assert split(c, "abc") == ["a", "bc"] == merged(v, "abc") and split(c, "ababc") == ["ab", "a", "bc"] and split(c, "ab") == ["ab"]
     assert ints(c.encode("abzc")) == [1, 4, 0, 7, 2]
 
 
-def test_decodes_any_ids(library, coder):
+def test_random_vocabularies():
+    """Small alphabets with many pieces and equal scores, where longest matches often fail."""
+    r = random.Random(4)
+    for _ in range(60):
+        found = list("abc")
+        for _ in range(r.randrange(3, 14)):
+            found.append(r.choice(found) + r.choice(found))
+        found = list(dict.fromkeys(f for f in found if len(f) < 9))
+        scores = [-float(r.randrange(6)) for _ in found]
+        v = pieces.Vocabulary(("<unk>", "<s>", "</s>", *found), (0.0, 0.0, 0.0, *scores), (2, 3, 3, *[1] * len(found)), 0, 1, 2, False, "?", "test")
+        c = pieces.Encoder(v)
+        for _ in range(60):
+            text = "".join(r.choice("abc") for _ in range(r.randrange(1, 30)))
+            assert split(c, text) == merged(v, text)
+
+
+def test_decodes_any_ids(library, decoder):
     r = random.Random(3)
     for _ in range(3000):
         ids = [r.choice([r.randrange(3), r.randrange(3, 259), r.randrange(32000)]) for _ in range(r.randrange(12))]
-        assert coder.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids)
+        assert decoder.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids)
     with pytest.raises(ValueError):
-        coder.decode(np.array([32000], "<u4").tobytes())
+        decoder.decode(np.array([32000], "<u4").tobytes())
 
 
 def test_forgets_when_full(coder, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "REMEMBERED_PAIRS", 3)
     text = "one two three four five six seven one two"
-    assert pieces.Coder(coder.v).encode(text) == coder.encode(text)
+    c = pieces.Encoder(coder.v)
+    assert all(c.encode(text) == coder.encode(text) for _ in range(3))
 
 
 def test_columns_nulls_and_repeats(spark, library):
@@ -82,6 +120,8 @@ def test_columns_nulls_and_repeats(spark, library):
     got = sorted(((r.doc_id, r.ids, r.decoded) for r in out.collect()), key=repr)
     assert got == sorted([(1, library.encode("hello world"), "hello world")] * 2 + [(None, [], ""), (3, [], "")], key=repr)
     assert pieces.encode(docs.limit(0), MODEL).count() == 0
+    once = pieces.encode(docs, MODEL, begin=False, end=False, decoded=True)
+    assert once.columns == out.columns and sorted(map(str, once.collect())) == sorted(map(str, out.collect()))
     nothing = spark.createDataFrame([(None,)], "ids array<int>")
     assert pieces.decode(nothing, MODEL).first().decoded is None
 
