@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from panelforge.operators import actions as ca
 from panelforge.operators import interday as op
 from panelforge.operators import selection
 from panelforge.operators.screening import normal_p, normal_p_sql
@@ -134,3 +135,64 @@ q(
     f""", {DP}, tw as (select security, session, 1.0::double / count(*) over (partition by session) as w from rb where decile = 9), tv as (select d.session, abs(coalesce(w, 0) - lag(coalesce(w, 0)) over (partition by d.security order by d.t)) as m from daily d left join tw using (security, session)), to2 as (select session, sum(m) / 2 as turnover from tv group by session)
 select bps, count(*) as n, avg(top_bottom) as gross, avg(top_bottom - 2 * bps / 1e4 * coalesce(turnover, 0)) as net from dp left join to2 using (session) cross join (select unnest([1.0::double, 3.0::double, 5.0::double]) as bps) where top_bottom is not null group by bps""", keys="",
 )
+
+
+def events(p):
+    """Invented by rule, so that every kind and status occurs: splits and dividends twice a year, some without a ratio, an
+    amount or a known kind; mergers, delistings with and without a value; one sequence given twice."""
+    t, s = F.col("t"), F.col("security")
+    none = F.lit(None).cast("double")
+
+    def one(test, kind, split=none, cash=none, terminal=none, reference=none, back=none, seq=0):
+        return F.when(test, F.struct(F.lit(seq).alias("action_sequence"), F.lit(kind).alias("action_type"), split.alias("split_ratio"), cash.alias("cash_amount"), terminal.alias("cash_out_value"), reference.alias("reference_price_before_delisting"), back.alias("delisting_return_from_reference")))
+
+    made = F.array(
+        one((t % 12 == 6) & (s % 3 == 0), "split", split=F.when(s % 33 == 0, none).otherwise(1.5)),
+        one((t % 12 == 6) & (s % 2 == 0), "cash_dividend", cash=F.when(s % 26 == 0, none).otherwise(0.5), seq=1),
+        one((t % 12 == 9) & (s % 17 == 0), "rename", seq=2),
+        one((t == 30) & (s % 7 == 1), "cash_merger", terminal=F.lit(900.0), seq=3),
+        one((t == 40) & (s % 7 == 2), "delisting", reference=F.lit(1000.0), back=F.lit(-0.3), seq=3),
+        one((t == 50) & (s % 7 == 3), "delisting", reference=F.lit(1000.0), seq=3),
+        one((t == 60) & (s % 19 == 4), "cash_merger", terminal=F.lit(10.0), seq=4),
+        one((t == 60) & (s % 19 == 4), "cash_merger", terminal=F.lit(20.0), seq=4),
+    )
+    return p.select("security", "session", F.explode(made).alias("e")).where("e is not null").select("security", "session", "e.*")
+
+
+EV = """ev0 as (select security, session, t, unnest([
+ case when t % 12 = 6 and security % 3 = 0 then {'n': 0, 'k': 'split', 'r': case when security % 33 <> 0 then 1.5::double end, 'd': null::double, 'x': null::double, 'p': null::double, 'b': null::double} end,
+ case when t % 12 = 6 and security % 2 = 0 then {'n': 1, 'k': 'cash_dividend', 'r': null, 'd': case when security % 26 <> 0 then 0.5::double end, 'x': null, 'p': null, 'b': null} end,
+ case when t % 12 = 9 and security % 17 = 0 then {'n': 2, 'k': 'rename', 'r': null, 'd': null, 'x': null, 'p': null, 'b': null} end,
+ case when t = 30 and security % 7 = 1 then {'n': 3, 'k': 'cash_merger', 'r': null, 'd': null, 'x': 900.0::double, 'p': null, 'b': null} end,
+ case when t = 40 and security % 7 = 2 then {'n': 3, 'k': 'delisting', 'r': null, 'd': null, 'x': null, 'p': 1000.0::double, 'b': -0.3::double} end,
+ case when t = 50 and security % 7 = 3 then {'n': 3, 'k': 'delisting', 'r': null, 'd': null, 'x': null, 'p': 1000.0::double, 'b': null} end,
+ case when t = 60 and security % 19 = 4 then {'n': 4, 'k': 'cash_merger', 'r': null, 'd': null, 'x': 10.0::double, 'p': null, 'b': null} end,
+ case when t = 60 and security % 19 = 4 then {'n': 4, 'k': 'cash_merger', 'r': null, 'd': null, 'x': 20.0::double, 'p': null, 'b': null} end]) as e from daily),
+ev1 as (select security, session, t, e.n as action_sequence, e.k as action_type, e.r as split_ratio, case when e.k = 'cash_dividend' then e.d when e.k in ('cash_merger', 'delisting') then coalesce(e.x, e.p * (1 + e.b)) end as cash from ev0 where e is not null),
+ev as (select *, case when count(*) over (partition by security, session, action_sequence) > 1 then 'duplicate_action_sequence' when action_type not in ('split', 'cash_dividend', 'cash_merger', 'delisting') then 'unknown_action_type' when action_type = 'split' and coalesce(split_ratio, 0) <= 0 then 'invalid_split_ratio' when action_type in ('cash_merger', 'delisting') and cash is null then 'unresolved_terminal_value' else 'valid' end as status from ev1)"""
+UNTIL = "1998-06"
+
+
+def sound(p):
+    """Events that ``normalised`` lets through."""
+    return ca.normalised(events(p).where("action_sequence not in (2, 4) and not (action_type = 'split' and split_ratio is null)"), UNTIL)
+
+
+def indexed(name, doubles, fn, select, longs=""):
+    q(name, longs, doubles, lambda p: fn(ca.index(p, sound(p))), f", {EV}, {IX}{select}")
+
+
+IX = f"""ok as (select * from ev where session <= '{UNTIL}' and status in ('valid', 'unresolved_terminal_value') and action_sequence not in (2, 4)),
+ey as (select security, session, product(split_ratio) filter (action_type = 'split') as ds, sum(cash) filter (action_type = 'cash_dividend') as dd, max(cash) filter (action_type in ('cash_merger', 'delisting')) as terminal_cash, max((action_type in ('cash_merger', 'delisting') and cash is null)::int) as un, max((action_type <> 'split' and cash is null)::int) as broken from ok group by all),
+ix0 as (select d.*, terminal_cash, coalesce(un, 0) = 1 as unresolved, coalesce(broken, 0) as broken, coalesce(dd, 0) as dd, product(coalesce(ds, 1)) over ({BY}) as split_index from daily d left join ey using (security, session)),
+ix as (select *, sum(split_index * dd) over ({BY}) as dividend_index, max(broken) over ({BY}) = 0 as action_valid from ix0)"""
+q("corporate_action_status", "n", "", lambda p: ca.canonical(events(p), UNTIL).groupBy("action_type", "status").agg(F.count(F.lit(1)).alias("n")), f", {EV}\nselect action_type, status, count(*) as n from ev where session <= '{UNTIL}' group by all", keys="action_type status")
+indexed("corporate_action_index", "split_index dividend_index terminal_cash", lambda x: x, "\nselect security, session, split_index, dividend_index, terminal_cash, unresolved::int as unresolved, action_valid::int as action_valid from ix", "unresolved action_valid")
+FW = """fw0 as (select *, lead(c, 6) over w as ex, lead(split_index, 6) over w as ax, lead(dividend_index, 6) over w as cx, lead(action_valid, 6) over w as vx from ix window w as (partition by security order by t)),
+fw as (select f.*, (select arg_min({'t': i.t, 'k': i.terminal_cash, 'a': i.split_index, 'c': i.dividend_index}, i.t) from ix i where i.security = f.security and i.t > f.t and i.t <= f.t + 6 and i.terminal_cash is not null) as te, (select min(i.t) from ix i where i.security = f.security and i.t > f.t and i.t <= f.t + 6 and i.unresolved) as ut from fw0 f)"""
+GOOD = "ax is not null and action_valid and vx and not (ut is not null and (te is null or ut <= te.t))"
+indexed("corporate_action_returns", "total_return price_return", lambda x: ca.forward(x, 6), f""", {FW}
+select security, session, case when {GOOD} and c > 0 then (case when te is not null then (te.k * te.a + te.c - dividend_index) / split_index when ex > 0 then (ax * ex + cx - dividend_index) / split_index end) / c - 1 end as total_return, case when {GOOD} and c > 0 and te is null and ex > 0 then ax * ex / split_index / c - 1 end as price_return, (ax is not null and (not (action_valid and vx) or (c > 0 and ut is not null and (te is null or ut <= te.t))))::int as unresolved_interval from fw""", "unresolved_interval")
+indexed("adjusted_daily_prices", "split_adjusted_open split_adjusted_high split_adjusted_low split_adjusted_close split_adjusted_volume daily_total_return overnight_total_return regular_session_return total_return_index", ca.adjusted, f""", ad0 as (select *, split_index / last_value(split_index) over (partition by security order by t rows between unbounded preceding and unbounded following) as adj, lag(c) over w as pc, lag(split_index) over w as ae, lag(dividend_index) over w as ce, lag(action_valid) over w as ve from ix window w as ({BY})),
+ad1 as (select *, case when ae is not null and ve and action_valid and pc > 0 then (case when terminal_cash is not null then (terminal_cash * split_index + dividend_index - ce) / ae when c > 0 then (split_index * c + dividend_index - ce) / ae end) / pc - 1 end as daily_total_return, case when ae is not null and ve and action_valid and pc > 0 then (case when terminal_cash is not null then (terminal_cash * split_index + dividend_index - ce) / ae when o > 0 then (split_index * o + dividend_index - ce) / ae end) / pc - 1 end as overnight_total_return from ad0)
+select security, session, o * adj as split_adjusted_open, h * adj as split_adjusted_high, l * adj as split_adjusted_low, c * adj as split_adjusted_close, v / adj as split_adjusted_volume, daily_total_return, overnight_total_return, case when o > 0 then c / o - 1 end as regular_session_return, case when count(*) filter (t > 1 and daily_total_return is null) over w = 0 then product(case when t = 1 then 1 else coalesce(1 + daily_total_return, 1) end) over w end as total_return_index from ad1 window w as ({BY})""")
