@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from panelforge.operators import actions as ca
+from panelforge.operators import grid
 from panelforge.operators import interday as op
 from panelforge.operators import selection
 from panelforge.operators.screening import normal_p, normal_p_sql
 from panelforge.sources import views as v
+from panelforge.sources.shared import cut
 
 from .registry import Registry
 
@@ -196,3 +198,53 @@ select security, session, case when {GOOD} and c > 0 then (case when te is not n
 indexed("adjusted_daily_prices", "split_adjusted_open split_adjusted_high split_adjusted_low split_adjusted_close split_adjusted_volume daily_total_return overnight_total_return regular_session_return total_return_index", ca.adjusted, f""", ad0 as (select *, split_index / last_value(split_index) over (partition by security order by t rows between unbounded preceding and unbounded following) as adj, lag(c) over w as pc, lag(split_index) over w as ae, lag(dividend_index) over w as ce, lag(action_valid) over w as ve from ix window w as ({BY})),
 ad1 as (select *, case when ae is not null and ve and action_valid and pc > 0 then (case when terminal_cash is not null then (terminal_cash * split_index + dividend_index - ce) / ae when c > 0 then (split_index * c + dividend_index - ce) / ae end) / pc - 1 end as daily_total_return, case when ae is not null and ve and action_valid and pc > 0 then (case when terminal_cash is not null then (terminal_cash * split_index + dividend_index - ce) / ae when o > 0 then (split_index * o + dividend_index - ce) / ae end) / pc - 1 end as overnight_total_return from ad0)
 select security, session, o * adj as split_adjusted_open, h * adj as split_adjusted_high, l * adj as split_adjusted_low, c * adj as split_adjusted_close, v / adj as split_adjusted_volume, daily_total_return, overnight_total_return, case when o > 0 then c / o - 1 end as regular_session_return, case when count(*) filter (t > 1 and daily_total_return is null) over w = 0 then product(case when t = 1 then 1 else coalesce(1 + daily_total_return, 1) end) over w end as total_return_index from ad1 window w as ({BY})""")
+
+
+GRID = ["ret", "ret_n", "realised_vol", "relative_volume"]
+HORIZONS = {"target_1": 1, "target_3": 3, "target_7": 7}
+GATES = grid.Gates(ranked=10, decile=10, quintile=10, ic=5, extreme=1, quintile_extreme=1)
+FOLDS = {"first_half": (1, 43), "second_half": (43, 84), "last_24": (60, 84)}
+
+
+def grid_panel(p):
+    """Features and targets of the grid, one row a security and session."""
+    made = op.returns(p).select("security", "session", "t", "ret").join(op.window_features(p).select("security", "session", *GRID[1:]), ["security", "session"])
+    for name, k in HORIZONS.items():
+        made = made.join(op.targets(p, k).select("security", "session", F.col("target").alias(name)), ["security", "session"])
+    return cut(made)
+
+
+def gridded(p):
+    g = grid_panel(p)
+    daily = cut(grid.daily_series(g, GRID, list(HORIZONS), GATES))
+    return g, daily, grid.pair_grid(g, daily, GRID, HORIZONS, g.agg(F.max("t")).first()[0])
+
+
+GS = f"""gp as (select f.security, f.session, d.t, d.ret, f.ret_n, f.realised_vol, f.relative_volume{''.join(f", case when d.c is not null then lead(d.c, {k}) over (partition by d.security order by d.t) / lead(d.o) over (partition by d.security order by d.t) - 1 end as {n}" for n, k in HORIZONS.items())} from ({R.plain['window_features']}) f join dr d using (security, session)),
+gx as (select * from (select security, t, unnest({GRID}) as feature, unnest([{', '.join(GRID)}]) as x from gp) where x is not null), gy as (select * from (select security, t, unnest({list(HORIZONS)}) as target, unnest([{', '.join(HORIZONS)}]) as y from gp) where y is not null),
+gb0 as (select *, count(*) over w as n, dense_rank() over (partition by t, feature order by x) as dn, ntile(10) over (partition by t, feature order by x, security) - 1 as d0, ntile(5) over (partition by t, feature order by x, security) - 1 as q0 from gx window w as (partition by t, feature)),
+gb as (select *, n >= 10 and max(dn) over (partition by t, feature) >= 2 as ranked, case when n >= 10 and max(dn) over (partition by t, feature) >= 10 then d0 end as d, case when n >= 10 and max(dn) over (partition by t, feature) >= 5 then q0 end as q from gb0),
+ga as (select t, feature, {', '.join(f"count(*) filter ({c}) as {a}" for a, c in (('a9', 'd = 9'), ('a5', 'd between 1 and 8'), ('a0', 'd = 0'), ('b4', 'q = 4'), ('b0', 'q = 0')))} from gb group by all),
+gj as (select b.*, target, y, rank() over (partition by b.t, feature, target order by x) + (count(*) over (partition by b.t, feature, target, x) - 1) / 2.0::double as rx, rank() over (partition by b.t, feature, target order by y) + (count(*) over (partition by b.t, feature, target, y) - 1) / 2.0::double as ry from gb b join gy using (security, t)),
+gd0 as (select t, feature, target, case when any_value(ranked) and count(*) >= 5 then covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) end as ic, case when any_value(ranked) then count(*) else 0 end as size, {', '.join(f"avg(y) filter ({c}) as m_{a}, count(*) filter ({c}) as n_{a}" for a, c in (('a9', 'd = 9'), ('a5', 'd between 1 and 8'), ('a0', 'd = 0'), ('b4', 'q = 4'), ('b0', 'q = 0')))} from gj group by all),
+gd as (select t, feature, target, ic, size, {', '.join(f"case when n_{a} >= 1 and n_{a}::double / nullif({a}, 0) >= {s} then m_{a} end as v_{a}" for a, s in (('a9', 0.5), ('a5', 0.75), ('a0', 0.5), ('b4', 0.5), ('b0', 0.5)))}, {', '.join(f"coalesce(n_{a}, 0)::double / nullif({a}, 0) as c_{a}" for a in ('a9', 'a5', 'a0'))} from ga cross join (select unnest({list(HORIZONS)}) as target) left join gd0 using (t, feature, target)),
+gs as (select t, feature, target, unnest({list(grid.TESTS)}) as test_type, unnest([ic, v_a9 - v_a0, v_a9 - v_a5, v_a5 - v_a0]) as e from gd),
+gn0 as (select *, e - avg(e) over (partition by feature, target, test_type) as dv, case target when 'target_7' then 7 else 5 end as lag from gs where e is not null),
+gn1 as (select *, {', '.join(f"dv * sum(dv) over (partition by feature, target, test_type order by t range between {k} preceding and {k} preceding) as g{k}" for k in range(1, 8))} from gn0),
+gn2 as (select feature, target, test_type, lag, count(*) as n, avg(e) as effect, median(e) as median, stddev_samp(e) as std, avg((e > 0)::int) as positive_fraction, avg(dv * dv){''.join(f" + 2 * greatest(1 - {k} / (lag + 1.0::double), 0) * coalesce(avg(g{k}), 0)" for k in range(1, 8))} as lv from gn1 group by feature, target, test_type, lag),
+gn3 as (select *, n >= greatest(20, lag + 5) and lv >= -1e-12 as ok, sqrt(greatest(lv, 0) / n) as se from gn2),
+gw as (select feature, target, avg(v_b4 - v_b0) as quintile_spread, avg(c_a9) as mean_top_coverage, avg(c_a5) as mean_middle_coverage, avg(c_a0) as mean_bottom_coverage from gd group by all),
+gk as (select feature, target, count(distinct security) as distinct_securities from gj group by all)"""
+GT = f"gt as (select k.feature, k.target, x.test_type, coalesce(n, 0) as n, case when ok then effect end as effect, case when ok then median end as median, case when ok then positive_fraction end as positive_fraction, case when ok then se end as se, case when ok and se > 0 then effect / se end as t, quintile_spread, mean_top_coverage, mean_middle_coverage, mean_bottom_coverage, distinct_securities from gk k cross join (select unnest({list(grid.TESTS)}) as test_type) x left join gn3 using (feature, target, test_type) join gw using (feature, target))"
+GK = "feature target test_type"
+q("interday_pair_grid", "n distinct_securities", "effect median positive_fraction se t p quintile_spread mean_top_coverage mean_middle_coverage mean_bottom_coverage", lambda p: gridded(p)[2], f", {GS}, {GT}\nselect *, {normal_p_sql('t')} as p from gt", keys=GK)
+
+
+def folds(p):
+    g, daily, found = gridded(p)
+    return grid.fold_tests(daily, g, FOLDS, HORIZONS, found, least=10)
+
+
+q("interday_folds", "n", "fold_effect", folds, f""", {GS}, {GT}, gf0 as (select unnest({list(FOLDS)}) as fold, unnest({[a for a, _ in FOLDS.values()]}) as a, unnest({[b for _, b in FOLDS.values()]}) as b),
+gf as (select feature, target, test_type, fold, count(*) as n, avg(e) as fold_effect from gs join gf0 on t >= a and t < b and t + substr(target, 8)::int < b and t + substr(target, 8)::int <= (select max(t) from gp) where e is not null group by all)
+select f.*, coalesce(f.n >= 10 and sign(fold_effect) = sign(effect), false) as sign_kept from gf f join gt using (feature, target, test_type)""", keys=f"{GK} fold sign_kept")
