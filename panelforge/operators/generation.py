@@ -34,7 +34,7 @@ def rates(rows: DataFrame, p: str, groupings: dict[str, list[str]]) -> DataFrame
 
 
 @dataclass(frozen=True)
-class ParentRules:
+class ParentRules:  # fixed values: defaults that results must agree with
     """What a parent must show, and how many there may be."""
 
     rows: int = 250_000
@@ -91,10 +91,11 @@ def parents(rows: DataFrame, rules: ParentRules = ParentRules()) -> DataFrame:
     def before(by: str, test: Column) -> Column:
         return F.coalesce(F.sum(test.cast("int")).over(Window.partitionBy(by).orderBy(*turn).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    a = asked.withColumn("room", before("redundancy", F.lit(True)) < rules.per_redundancy)
+    grouped = F.col("redundancy").isNotNull()  # a feature without a redundancy group has no such cap
+    a = asked.withColumn("room", ~grouped | (before("redundancy", F.lit(True)) < rules.per_redundancy))
     a = a.withColumn("room", F.col("room") & (before("family", F.col("room")) < rules.per_family))
     a = a.withColumn("selected", F.col("room") & (before("one", F.col("room")) < rules.total))
-    why = F.when(before("family", F.col("selected")) >= rules.per_family, "feature_family_cap").when(before("redundancy", F.col("selected")) >= rules.per_redundancy, "redundancy_group_cap").otherwise("total_parent_cap")
+    why = F.when(before("family", F.col("selected")) >= rules.per_family, "feature_family_cap").when(grouped & (before("redundancy", F.col("selected")) >= rules.per_redundancy), "redundancy_group_cap").otherwise("total_parent_cap")
     a = a.withColumn("rejection_reason", F.when(F.col("selected"), "").otherwise(why))
     out = s.join(a.select("feature", "parent_score", "selected", "rejection_reason"), "feature", "left")
     return out.select("feature", "family", "orientation", "strict", "backfill", "targets", "horizons", "best_fdr", "best_effect", "parent_score", F.coalesce("selected", F.lit(False)).alias("selected"), F.coalesce("rejection_reason", F.lit("fdr_or_effect_threshold")).alias("rejection_reason"))
@@ -195,14 +196,19 @@ def screen_violations(screen: DataFrame) -> DataFrame:
 
 
 def bitemporal(rows: DataFrame, spans: DataFrame, key: str, at: str, known: str) -> DataFrame:
-    """The span that holds at a time, by what was known then: valid_from <= at < valid_to and known_at <= known; the last
-    known of equal valid_from counts, and two spans that hold at once are an error."""
-    met = rows.join(spans, key, "left").where(F.col("valid_from").isNull() | ((F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))) & (F.col("known_at") <= F.col(known))))
-    order = Window.partitionBy(*rows.columns, "valid_from").orderBy(F.desc("known_at"))
-    last = met.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
-    many = F.count("valid_from").over(Window.partitionBy(*rows.columns))
+    """Every row with the span that held at its time, by what was known then: valid_from <= at < valid_to and known_at <= known.
+    Of spans with one valid_from the last known counts; two spans that hold at once are an error. A row without a span
+    goes, as in an inner join; rows that repeat each other stay."""
+    own = "__row"
+    right = spans.withColumnRenamed(key, "__key")
+    holds = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))) & (F.col("known_at") <= F.col(known))
+    met = rows.withColumn(own, F.monotonically_increasing_id()).join(right, (F.col(key) == F.col("__key")) & holds)
+    order = Window.partitionBy(own, "valid_from").orderBy(F.desc("known_at"))
+    last = met.withColumn("__r", F.row_number().over(order)).where("__r = 1")
+    many = F.count("valid_from").over(Window.partitionBy(own))
     overlap = F.raise_error(F.concat(F.lit("two spans hold at once for "), F.col(key).cast("string")))
-    return last.withColumn("valid_from", F.when(many > 1, overlap.cast(dict(spans.dtypes)["valid_from"])).otherwise(F.col("valid_from")))
+    found = last.withColumn("valid_from", F.when(many > 1, overlap.cast(dict(spans.dtypes)["valid_from"])).otherwise(F.col("valid_from")))
+    return found.drop(own, "__key", "__r")
 
 
 def latest_state(rows: DataFrame, key: str, at: str, state: str) -> DataFrame:

@@ -104,17 +104,26 @@ def bin_means(pairs: DataFrame, q: int = 10) -> DataFrame:
     return quantile_table(pairs, q).groupBy(*PAIR, "bin").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def decile_spread(pairs: DataFrame) -> DataFrame:
-    t = bin_means(pairs)
-    return t.groupBy(*PAIR).agg((F.max(F.when(F.col("bin") == 9, F.col("m"))) - F.max(F.when(F.col("bin") == 0, F.col("m")))).alias("spread"), F.sum("n").alias("n")).withColumn("spread", F.when(F.col("n") >= 20, F.col("spread")))
+def spread_of(means: DataFrame) -> DataFrame:
+    """Last bin's mean less the first's, for pairs of at least 20 rows, from ``bin_means``."""
+    t = means.groupBy(*PAIR).agg((F.max(F.when(F.col("bin") == 9, F.col("m"))) - F.max(F.when(F.col("bin") == 0, F.col("m")))).alias("spread"), F.sum("n").alias("n"))
+    return t.withColumn("spread", F.when(F.col("n") >= 20, F.col("spread")))
 
 
-def monotonicity(pairs: DataFrame) -> DataFrame:
-    t = bin_means(pairs).withColumn("r", avg_rank("m", PAIR))
+def monotonicity_of(means: DataFrame) -> DataFrame:
+    t = means.withColumn("r", avg_rank("m", PAIR))  # ten rows a pair
     b = F.col("bin").cast("double")
     return t.groupBy(*PAIR).agg(div(F.covar_pop(b, "r"), F.sqrt(F.var_pop(b) * F.var_pop("r"))).alias("monotonicity"))
 
 
+def decile_spread(pairs: DataFrame) -> DataFrame:
+    return spread_of(bin_means(pairs))
+
+
+def monotonicity(pairs: DataFrame) -> DataFrame:
+    return monotonicity_of(bin_means(pairs))
+
+
 def rank_ic(pairs: DataFrame, least: int = 5) -> DataFrame:
     """Rank correlation within each decision, for decisions with enough rows."""
     by = [*PAIR, "session", "slot"]
@@ -140,21 +149,6 @@ def hac(series: DataFrame, by: list[str], at: str, x: str, lag: int | None = Non
     return s.select(*by, "n", "lag", "mean", se.alias("se"), div(F.col("mean"), se).alias("t"))
 
 
-def outlier_variants(pairs: DataFrame) -> DataFrame:
-    """Slopes with winsorised values and without the largest targets, one row a variant."""
-    w = Window.partitionBy(*PAIR)
-    edge = pairs
-    for c in ("x", "y"):
-        edge = edge.withColumn(f"{c}_lo", F.percentile(c, F.lit(0.01)).over(w)).withColumn(f"{c}_hi", F.percentile(c, F.lit(0.99)).over(w))
-    r = F.row_number().over(w.orderBy(F.abs(F.col("y")).desc(), "session", "slot", "symbol"))
-    clip = lambda c: F.greatest(F.least(F.col(c), F.col(f"{c}_hi")), F.col(f"{c}_lo"))
-    edge = edge.withColumn("r", r)
-    kinds = [("all", F.col("x"), F.col("y"), F.lit(True)), ("winsor_x", clip("x"), F.col("y"), F.lit(True)), ("winsor_y", F.col("x"), clip("y"), F.lit(True)), ("winsor_both", clip("x"), clip("y"), F.lit(True)), ("drop_top_10", F.col("x"), F.col("y"), F.col("r") > 10), ("trim_1pct", F.col("x"), F.col("y"), (F.col("y") >= F.col("y_lo")) & (F.col("y") <= F.col("y_hi")))]
-    rows = F.array(*[F.when(ok, F.struct(F.lit(k).alias("variant"), x.alias("vx"), y.alias("vy"))) for k, x, y, ok in kinds])
-    out = edge.select(*PAIR, F.explode(rows).alias("v")).where("v is not null")
-    return out.groupBy(*PAIR, "v.variant").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("v.vy", "v.vx").alias("slope"))
-
-
 # Coefficients of a rational Chebyshev fit of erfc (Numerical Recipes), relative error below 1.2e-7.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 

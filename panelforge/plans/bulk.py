@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from panelforge.operators import bulk as op
-from panelforge.operators import generation, intraday, order, screening
+from panelforge.operators import generation, intraday, order, outliers, screening, selection
 from panelforge.sources.shared import cut
 
 from . import generation as gen
 from .intraday import K, bars, feats, targets
 from .intraday import R as BUILT
 from .registry import Registry
+from .screening import DS, HAC, SCR, P, V, finished, pairs, score_sql
 from .screening import LONG as PAIRS
-from .screening import P
 
 R = Registry()
 KEY = K.split()
@@ -98,3 +98,58 @@ def approximate(s, d):
 
 
 R.add("rank_correlation_approximate", f"{P} within", "n", "spearman", approximate, f"{PAIRS}, rk as (select *, rank() over (partition by feature, target order by x) + (count(*) over (partition by feature, target, x) - 1) / 2.0::double as rx, rank() over (partition by feature, target order by y) + (count(*) over (partition by feature, target, y) - 1) / 2.0::double as ry from p)\nselect feature, target, true as within, count(*) as n, covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) as spearman from rk group by all")
+
+
+BIN = "greatest(ceil((r - 1) * 10.0::double / nullif(n - 1, 0)) - 1, 0)::int"
+KINDS = {
+    "all": "x y true", "winsor_x": "greatest(least(x,ex[2]),ex[1]) y true", "winsor_y": "x greatest(least(y,ey[4]),ey[3]) true", "winsor_both": "greatest(least(x,ex[2]),ex[1]) greatest(least(y,ey[4]),ey[3]) true",
+    "trim_01pct": "x y y>=ey[1]&y<=ey[6]", "trim_05pct": "x y y>=ey[2]&y<=ey[5]", "trim_1pct": "x y y>=ey[3]&y<=ey[4]", "drop_top_10": "x y top>10", "drop_best_day": "x y coalesce(day,9)>1", "drop_best_5_days": "x y coalesce(day,9)>5", "drop_best_symbol": "x y best&is&null",
+}
+EACH = ", ".join(f"case when {ok.replace('&is&', ' is ').replace('&', ' and ')} then {{'k': '{k}', 'x': {x}, 'y': {y}}} end" for k, (x, y, ok) in ((k, v.split()) for k, v in KINDS.items()))
+OV = f"""ovs as (select feature, target, case when spread < 0 then -1.0::double else 1.0::double end as sg from ds),
+ovd1 as (select feature, target, session, avg(y) filter (b = 9) - avg(y) filter (b = 0) as s from (select *, {BIN} as b from (select *, row_number() over (partition by feature, target, session order by x, session, slot, symbol) as r, count(*) over (partition by feature, target, session) as n from p) where n >= 20) group by all),
+ovd as (select feature, target, session, row_number() over (partition by feature, target order by s * sg desc, session) as day from ovd1 join ovs using (feature, target) where s is not null),
+ovy1 as (select feature, target, symbol, avg(y) filter (b = 9) - avg(y) filter (b = 0) as s from (select *, {BIN} as b from (select *, row_number() over (partition by feature, target, symbol order by x, session, slot, symbol) as r, count(*) over (partition by feature, target, symbol) as n from p) where n >= 20) group by all),
+ovy as (select feature, target, symbol, 1 as best from ovy1 join ovs using (feature, target) where s is not null qualify row_number() over (partition by feature, target order by s * sg desc, symbol) = 1),
+ove as (select feature, target, quantile_cont(x, [0.01, 0.99]) as ex, quantile_cont(y, [0.001, 0.005, 0.01, 0.99, 0.995, 0.999]) as ey from p group by all),
+ovp as (select p.feature, p.target, p.session, p.slot, p.symbol, p.x, p.y, ex, ey, day, best, row_number() over (partition by p.feature, p.target order by abs(p.y) desc, p.session, p.slot, p.symbol) as top from p join ove using (feature, target) left join ovd using (feature, target, session) left join ovy using (feature, target, symbol)),
+ovr as materialized (select feature || '|' || v.k as feature, target, session, slot, symbol, v.x as x, v.y as y from (select feature, target, session, slot, symbol, unnest([{EACH}]) as v from ovp) where v is not null),
+ovb as (select *, {BIN} as b from (select *, row_number() over (partition by feature, target order by x, session, slot, symbol) as r, count(*) over (partition by feature, target) as n, rank() over (partition by feature, target order by x) + (count(*) over (partition by feature, target, x) - 1) / 2.0::double as rx, rank() over (partition by feature, target order by y) + (count(*) over (partition by feature, target, y) - 1) / 2.0::double as ry, avg(x) over (partition by feature, target) as mx, avg(y) over (partition by feature, target) as my from ovr)),
+ovm as (select feature, target, count(*) as n, covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) as spearman, avg(y) filter (b = 9) - avg(y) filter (b = 0) as spread, sum((x - mx) * (x - mx)) as cxx, sum((x - mx) * (y - my)) / nullif(sum((x - mx) * (x - mx)), 0) as slope from ovb group by all),
+ovq as (select feature, target, sum(s * s) as q from (select feature, target, session, sum((x - mx) * (y - my - slope * (x - mx))) as s from ovb join ovm using (feature, target) group by all) group by all),
+idy as (select * from (select feature, target, session, avg(y) filter (b = 9) - avg(y) filter (b = 0) as ic from ovb group by all) where ic is not null), {HAC},
+ov as (select split_part(m.feature, '|', 1) as feature, m.target, split_part(m.feature, '|', 2) as variant, m.n, spearman, spread, slope / nullif(sqrt(q) / nullif(cxx, 0), 0) as t, case when h3.n >= 3 then 1.96::double * h3.se end as half from ovm m join ovq using (feature, target) left join h3 using (feature, target)),
+ow as (select ov.feature, target, variant, ov.n, case when ov.n >= 10 then sg * spearman end as spearman, case when ov.n >= 10 then sg * spread end as spread, case when ov.n >= 10 then sg * t end as t, case when ov.n >= 10 then sg * spread - half end as low, case when ov.n >= 10 then sg * spread + half end as high from ov join ovs using (feature, target)),
+ox as (select feature, target, min(spread) filter (variant <> 'all') as worst_spread, greatest(max(spread) filter (variant = 'all') - min(spread) filter (variant <> 'all'), max(spread) filter (variant <> 'all') - max(spread) filter (variant = 'all'), min(spread) filter (variant <> 'all') - max(spread) filter (variant = 'all')) as change from ow group by all)"""
+R.add("outlier_sensitivity", f"{P} variant", "n", "spearman spread t low high", lambda s, d: outliers.sensitivity(pairs(s, d)), f"{DS}, {OV}\nselect * from ow")
+R.add("outlier_worst", P, "", "worst_spread change", lambda s, d: outliers.worst(outliers.sensitivity(pairs(s, d))), f"{DS}, {OV}\nselect * from ox")
+
+
+def related(s, d):
+    """The pairs with a relation put into two features, so that the strongest class has members."""
+    return pairs(s, d).withColumn("y", F.col("y") + F.when(F.col("feature").isin("ret_1", "range_pos_3"), 0.2 * F.col("x")).otherwise(0.0))
+
+
+def robust(s, d):
+    """Classes with every input measured: two-way p, breadth, years, concentration of symbols, the worst of ten variants."""
+    p = cut(related(s, d))
+    rows = screening.finalised(finished(p)).drop("n").join(selection.symbol_breadth(p).select(*screening.PAIR, F.col("breadth").alias("symbol_breadth")), screening.PAIR).join(selection.year_consistency(p), screening.PAIR)
+    cover = screening.coverage(p).select(*screening.PAIR, "n", F.col("n_sessions").alias("valid_sessions"), F.col("n_symbols").alias("valid_symbols"))
+    tests = screening.two_way(p).select(*screening.PAIR, screening.normal_p("t").alias("two_way_cluster_p"))
+    share = screening.concentration(p).select(*screening.PAIR, F.when(F.col("best_share") > 0.5, "single_symbol_dominated").when(F.col("top3_share") > 0.8, "highly_concentrated").otherwise("diversified").alias("concentration"))
+    bad = outliers.worst(outliers.sensitivity(p)).select(*screening.PAIR, F.col("worst_spread").alias("outlier_worst_signed_spread"))
+    for more in (cover, tests, share, bad):
+        rows = rows.join(more, screening.PAIR)
+    return selection.classify(rows.withColumn("status", F.lit("screened")).withColumn("top_bottom_spread", F.col("spread")))
+
+
+PUT = "p as (select * replace (y + case when feature in ('ret_1', 'range_pos_3') then 0.2::double * x else 0.0::double end as y) from pu where feature <> 'up')"
+R.add(
+    "candidate_classes_robust", f"{P} evidence", "", "global_fdr outlier_worst_signed_spread", robust,
+    f"""{SCR.replace("p as (select * from pu where feature <> 'up')", PUT)}, {OV}, {score_sql('ss', 'symbol')}, {score_sql('sx', 'session, symbol')}, tw as (select a.feature, a.target, a.slope / nullif(case when a.v + b.v - c.v > 1e-9 * (a.v + b.v + c.v) then sqrt(a.v + b.v - c.v) when a.v + b.v - c.v is not null then 0.0 end, 0) as t2 from (select *, {V} as v from sd) a join (select *, {V} as v from ss) b using (feature, target) join (select *, {V} as v from sx) c using (feature, target)),
+rw as (select feature, target, regr_slope(y, x) as slope, count(*) as n, count(distinct session) as ns, count(distinct symbol) as ny from p group by all), ry0 as (select feature, target, session[1:4] as k, regr_slope(y, x) as own from p group by all having count(*) >= 5), rs0 as (select feature, target, symbol as k, regr_slope(y, x) as own from p group by all having count(*) >= 5),
+ryc as (select feature, target, avg((sign(own) = sign(slope))::int) as years from ry0 join rw using (feature, target) group by all), rsc as (select feature, target, avg((sign(own) = sign(slope))::int) as breadth from rs0 join rw using (feature, target) group by all),
+rc0 as (select feature, target, symbol, abs(sum(x * y)) as e from p group by all), rc1 as (select *, e / sum(e) over (partition by feature, target) as sh, row_number() over (partition by feature, target order by e desc, symbol) as r from rc0), rc2 as (select feature, target, case when max(sh) > 0.5 then 'single_symbol_dominated' when sum(sh) filter (r <= 3) > 0.8 then 'highly_concentrated' else 'diversified' end as label from rc1 group by all),
+re as (select f.feature, f.target, global_fdr, worst_spread as outlier_worst_signed_spread, global_fdr < 0.05 as found, coalesce({screening.normal_p_sql('t2')} < 0.05, false) as exact, n >= 30 and ns >= 5 and ny >= 3 and abs(spread) >= 0.5 / 1e4 as fit, breadth >= 0.6 and years >= 0.6 as same, abs(monotonicity) >= 0.5 as shaped, worst_spread > 0 as firm, label = 'diversified' as wide from fin f join rw using (feature, target) join ryc using (feature, target) join rsc using (feature, target) join rc2 using (feature, target) join tw using (feature, target) join ox using (feature, target))
+select *, case when found and exact and fit and same and shaped and firm and wide then 'robust_phase1_anomaly_candidate' when found and exact and fit and same then 'stable_anomaly_candidate' when found then 'statistically_significant_discovery' when exact then 'exploratory_relationship' else 'no_meaningful_relationship' end as evidence from re""",
+)

@@ -29,23 +29,23 @@ RULES = op.ParentRules(rows=100, sessions=5, symbols=3, decisions=10, fdr=0.8, b
 
 def parent_rows(s, d):
     """The screen's rows with coverage; a target's horizon is its bars of 120 minutes, a family is one redundancy group but
-    for prices, where each feature is its own."""
+    for prices, which have none."""
     rows = screening.finalised(screen(s, d)).drop("n").join(screening.coverage(pairs(s, d)), PAIR)
     minutes = F.substring("target", 5, 1).cast("int") * 120
-    redundancy = F.when(F.col("family") == "price", F.concat_ws("/", "family", "feature")).otherwise(F.col("family"))
+    redundancy = F.when(F.col("family") != "price", F.col("family"))
     return rows.select(*PAIR, "family", redundancy.alias("redundancy"), op.horizon_family(minutes).alias("horizon"), F.col("global_fdr").alias("fdr"), F.col("spread").alias("effect"), "score", "n", "n_sessions", "n_symbols", "n_decisions")
 
 
 PS = """cv as (select feature, target, count(*) as n, count(distinct session) as ns, count(distinct symbol) as ny, count(distinct (session, slot)) as nd from p group by all),
-pr0 as (select fin.feature, fin.target, family, case when family = 'price' then 'price/' || fin.feature else family end as redundancy, case when substr(fin.target, 5, 1) = '1' then 'medium' else 'long_intraday' end as horizon, global_fdr as fdr, spread as effect, score from fin join cv using (feature, target) where n >= 100 and ns >= 5 and ny >= 3 and nd >= 10 and global_fdr is not null and spread is not null),
+pr0 as (select fin.feature, fin.target, family, case when family <> 'price' then family end as redundancy, case when substr(fin.target, 5, 1) = '1' then 'medium' else 'long_intraday' end as horizon, global_fdr as fdr, spread as effect, score from fin join cv using (feature, target) where n >= 100 and ns >= 5 and ny >= 3 and nd >= 10 and global_fdr is not null and spread is not null),
 pr1 as (select *, fdr <= 0.8 as passes, max((fdr <= 0.8)::int) over (partition by feature) = 1 as hit from pr0), pr2 as (select *, case when passes or not hit then abs(effect) end as asked from pr1), pr3 as (select *, case when asked = max(asked) over (partition by feature) then sign(effect) end as sg from pr2),
 sm as (select feature, family, redundancy, min(fdr) as best_fdr, max(abs(effect)) as best_effect, max(coalesce(score, 0)) as best_score, count(*) as targets, count(distinct horizon) as horizons, list(distinct horizon) as names, bool_or(hit) as strict, case when min(sg) = max(sg) then min(sg) else 0 end::int as orientation from pr3 group by all),
 ff as (select feature from sm where not strict qualify row_number() over (partition by family order by best_effect desc, best_fdr, feature) <= 1), fh as (select feature from (select *, unnest(names) as h from sm where not strict) qualify row_number() over (partition by h order by best_effect desc, best_fdr, feature) <= 1),
 s1 as (select *, feature in (select feature from ff union all select feature from fh) as backfill, -log10(greatest(best_fdr, 1e-300)) as weight from sm),
 a0 as (select *, 0.4 * (rank() over (order by weight) + (count(*) over (partition by weight) - 1) / 2.0::double) / count(*) over () + 0.3 * (rank() over (order by best_effect) + (count(*) over (partition by best_effect) - 1) / 2.0::double) / count(*) over () + 0.2 * (rank() over (order by best_score) + (count(*) over (partition by best_score) - 1) / 2.0::double) / count(*) over () + 0.1 * (rank() over (order by horizons) + (count(*) over (partition by horizons) - 1) / 2.0::double) / count(*) over () as parent_score from s1 where strict or backfill),
-a1 as (select *, row_number() over (partition by redundancy order by parent_score desc, feature) <= 1 as room0 from a0), a2 as (select *, room0 and coalesce(sum(room0::int) over (partition by family order by parent_score desc, feature rows between unbounded preceding and 1 preceding), 0) < 2 as room from a1),
+a1 as (select *, redundancy is null or row_number() over (partition by redundancy order by parent_score desc, feature) <= 1 as room0 from a0), a2 as (select *, room0 and coalesce(sum(room0::int) over (partition by family order by parent_score desc, feature rows between unbounded preceding and 1 preceding), 0) < 2 as room from a1),
 a3 as (select *, room and coalesce(sum(room::int) over (order by parent_score desc, feature rows between unbounded preceding and 1 preceding), 0) < 2 as selected from a2),
-a4 as (select *, case when selected then '' when coalesce(sum(selected::int) over (partition by family order by parent_score desc, feature rows between unbounded preceding and 1 preceding), 0) >= 2 then 'feature_family_cap' when coalesce(sum(selected::int) over (partition by redundancy order by parent_score desc, feature rows between unbounded preceding and 1 preceding), 0) >= 1 then 'redundancy_group_cap' else 'total_parent_cap' end as why from a3),
+a4 as (select *, case when selected then '' when coalesce(sum(selected::int) over (partition by family order by parent_score desc, feature rows between unbounded preceding and 1 preceding), 0) >= 2 then 'feature_family_cap' when redundancy is not null and coalesce(sum(selected::int) over (partition by redundancy order by parent_score desc, feature rows between unbounded preceding and 1 preceding), 0) >= 1 then 'redundancy_group_cap' else 'total_parent_cap' end as why from a3),
 pa as (select s1.feature, s1.family, s1.orientation, s1.strict, s1.backfill, s1.targets, s1.horizons, s1.best_fdr, s1.best_effect, a4.parent_score, coalesce(a4.selected, false) as selected, coalesce(why, 'fdr_or_effect_threshold') as rejection_reason from s1 left join a4 using (feature))"""
 R.add("parent_selection", "feature family strict backfill selected rejection_reason", "orientation targets horizons", "best_fdr best_effect parent_score", lambda s, d: op.parents(parent_rows(s, d), RULES), f"{SCR}, {PS}\nselect * from pa")
 
@@ -103,3 +103,27 @@ R.add("every_kth_row", K, "", "c", lambda s, d: op.every_kth(bars(s, d), ["symbo
 R.add("latest_state", "c_custkey o_orderdate o_orderstatus", "", "", lambda s, d: op.latest_state(v.read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderstatus"), "c_custkey", "o_orderdate", "o_orderstatus"), "\nselect o_custkey as c_custkey, o_orderdate::varchar as o_orderdate, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderstatus desc) = 1")
 R.add("semi_join_keys", "o_orderkey", "o_custkey", "", lambda s, d: v.read(s, d, "orders").join(v.read(s, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi"), "\nselect o_orderkey, o_custkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
 R.add("key_sets", "k kept", "", "", lambda s, d: (a := v.read(s, d, "orders").select(F.col("o_custkey").alias("k"))).intersect(b := v.read(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))).withColumn("kept", F.lit("both")).unionByName(b.exceptAll(a.distinct()).withColumn("kept", F.lit("second"))), "\nselect k, 'both' as kept from (select o_custkey as k from orders intersect select c_custkey from customer where c_acctbal > 0) union all select k, 'second' from (select c_custkey as k from customer where c_acctbal > 0 except select o_custkey from orders)")
+
+
+def identities(s, d):
+    """Invented by rule: a symbol is "-a" until the 16th and "-b" from then on, known from the start; on the 11th it is
+    learnt that odd symbols were "-c" from the first day on. A symbol that ends in 9 has no identity before the 6th."""
+    one = bars(s, d).select("symbol", F.substring("session", 1, 8).alias("m")).distinct()
+    day = lambda n: F.concat("m", F.lit(f"{n:02d}"))
+    start = F.when(F.substring("symbol", 2, 1) == "9", day(6)).otherwise(day(1))
+    span = lambda name, begin, end, known, test=F.lit(True): one.where(test).select("symbol", F.concat("symbol", F.lit(name)).alias("identity"), begin.alias("valid_from"), end.alias("valid_to"), known.alias("known_at"))
+    odd = F.substring("symbol", 2, 1).cast("int") % 2 == 1
+    return span("-a", start, day(16), day(1)).unionByName(span("-b", day(16), F.lit(None).cast("string"), day(1))).unionByName(span("-c", start, day(16), day(11), odd))
+
+
+def twice(s, d):
+    """Bars, those of slot 0 given twice."""
+    b = bars(s, d).select("symbol", "session", "slot", "c")
+    return b.unionAll(b.where("slot = 0"))
+
+
+R.add(
+    "bitemporal_identity", f"{K} identity", "", "c", lambda s, d: op.bitemporal(twice(s, d), identities(s, d), "symbol", "session", "session"),
+    f"""{B}, tw as (select symbol, session, slot, c from bars union all select symbol, session, slot, c from bars where slot = 0)
+select symbol, session, slot, c, symbol || case when session[9:10] >= '16' then '-b' when symbol[2:2]::int % 2 = 1 and session[9:10] >= '11' then '-c' else '-a' end as identity from tw where symbol[2:2] <> '9' or session[9:10] >= '06'""",
+)

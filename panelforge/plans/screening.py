@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import pct_rank
-from panelforge.operators import dual
+from panelforge.operators import dual, outliers
 from panelforge.operators import screening as op
+from panelforge.sources.shared import cut
 
 from .intraday import ALL, feats, targets
 from .registry import Registry
@@ -62,14 +63,19 @@ def daily_ic(s, d):
 
 HAC = "h0 as (select *, row_number() over (partition by feature, target order by session) as i, count(*) over (partition by feature, target) as n, ic - avg(ic) over (partition by feature, target) as dv from idy), h1 as (select feature, target, any_value(n) as n, greatest(1, floor(4 * pow(any_value(n) / 100.0, 2.0 / 9)))::int as lag, avg(ic) as mean, sum(dv * dv) / any_value(n) as g0 from h0 group by all), h2 as (select a.feature, a.target, sum(2 * (1 - (b.i - a.i) / (lag + 1.0)) * a.dv * b.dv / a.n) as tail from h0 a join h0 b on a.feature = b.feature and a.target = b.target and b.i > a.i join h1 on h1.feature = a.feature and h1.target = a.target and b.i - a.i <= lag group by all), h3 as (select feature, target, n, lag, mean, sqrt(greatest(g0 + coalesce(tail, 0), 0) / n) as se from h1 left join h2 using (feature, target))"
 R.add("hac_mean", P, "n lag", "mean se t", lambda s, d: op.hac(daily_ic(s, d), ["feature", "target"], "session", "ic"), f"{IC}, {HAC}\nselect *, mean / nullif(se, 0) as t from h3")
-R.add("outlier_variants", f"{P} variant", "n", "slope", lambda s, d: op.outlier_variants(pairs(s, d)),
+R.add("outlier_variants", f"{P} variant", "n", "slope", lambda s, d: outliers.slopes(pairs(s, d)),
       f"{LONG}, e as (select *, quantile_cont(x, 0.01) over w as xl, quantile_cont(x, 0.99) over w as xh, quantile_cont(y, 0.01) over w as yl, quantile_cont(y, 0.99) over w as yh, row_number() over (partition by feature, target order by abs(y) desc, session, slot, symbol) as r from p window w as (partition by feature, target)), vr as (select feature, target, 'all' as variant, x, y from e union all select feature, target, 'winsor_x', greatest(least(x, xh), xl), y from e union all select feature, target, 'winsor_y', x, greatest(least(y, yh), yl) from e union all select feature, target, 'winsor_both', greatest(least(x, xh), xl), greatest(least(y, yh), yl) from e union all select feature, target, 'drop_top_10', x, y from e where r > 10 union all select feature, target, 'trim_1pct', x, y from e where y between yl and yh)\nselect feature, target, variant, count(*) as n, regr_slope(y, x) as slope from vr group by all")
 
 
 def screen(s, d):
-    p = pairs(s, d)
+    return finished(pairs(s, d))
+
+
+def finished(p):
+    """One-way tests, decile spread and monotonicity of pairs: a row each."""
     t = op.one_way(p).withColumn("p", op.normal_p("t")).withColumn("one", F.lit(1))
-    return t.join(op.decile_spread(p).select("feature", "target", "spread"), ["feature", "target"]).join(op.monotonicity(p), ["feature", "target"])
+    means = cut(op.bin_means(p))
+    return cut(t.join(op.spread_of(means).select("feature", "target", "spread"), ["feature", "target"]).join(op.monotonicity_of(means), ["feature", "target"]))
 
 
 SCR = f"{DS}, mm as (select feature, target, avg(x) as mx, avg(y) as my from p group by all), cen as (select p.*, mx, my from p join mm using (feature, target)), ols as (select feature, target, sum((x - mx) * (x - mx)) as cxx, sum((x - mx) * (y - my)) / nullif(sum((x - mx) * (x - mx)), 0) as b from cen group by all), {score_sql('sd', 'session')}, sc as (select feature, target, slope / nullif(sqrt(q) / cxx, 0) as t from sd), scr as (select feature, target, t, {op.normal_p_sql('t')} as p, spread, monotonicity from sc join ds using (feature, target) join mo using (feature, target)), f0 as (select *, case feature when 'ret_1' then 'price' when 'range_pos_3' then 'price' when 'vol_3' then 'volatility' when 'rel_vol_3' then 'volume' else 'other' end as family, row_number() over (order by p, feature, target) as r, count(*) over () as m from scr), f1 as (select *, p * m / r as q1, p * count(*) over (partition by family, target) / row_number() over (partition by family, target order by p, feature) as q2 from f0), f2 as (select *, least(1, min(q1) over (order by p, feature, target rows between current row and unbounded following)) as global_fdr, least(1, min(q2) over (partition by family, target order by p, feature rows between current row and unbounded following)) as family_fdr, case when spread is not null then (rank() over (order by abs(spread) nulls last) + (count(*) over (partition by abs(spread)) - 1) / 2.0::double) / count(spread) over () end as sr from f1), fin as (select *, 0.4 * sr + 0.35 * (1 - global_fdr) + 0.25 * abs(monotonicity) as score from f2)"
