@@ -197,12 +197,12 @@ def screen_violations(screen: DataFrame) -> DataFrame:
 
 def bitemporal(rows: DataFrame, spans: DataFrame, key: str, at: str, known: str) -> DataFrame:
     """Every row with the span that held at its time, by what was known then: valid_from <= at < valid_to and known_at <= known.
-    Of spans with one valid_from the last known counts; two spans that hold at once are an error. A row without a span
-    goes, as in an inner join; rows that repeat each other stay."""
+    Of spans with one valid_from the last known counts; two spans that hold at once are an error. A row without a span that
+    holds stays, with nulls, whether or not its key has spans; rows that repeat each other stay too."""
     own = "__row"
     right = spans.withColumnRenamed(key, "__key")
     holds = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))) & (F.col("known_at") <= F.col(known))
-    met = rows.withColumn(own, F.monotonically_increasing_id()).join(right, (F.col(key) == F.col("__key")) & holds)
+    met = rows.withColumn(own, F.monotonically_increasing_id()).join(right, (F.col(key) == F.col("__key")) & holds, "left")
     order = Window.partitionBy(own, "valid_from").orderBy(F.desc("known_at"))
     last = met.withColumn("__r", F.row_number().over(order)).where("__r = 1")
     many = F.count("valid_from").over(Window.partitionBy(own))

@@ -125,5 +125,5 @@ def twice(s, d):
 R.add(
     "bitemporal_identity", f"{K} identity", "", "c", lambda s, d: op.bitemporal(twice(s, d), identities(s, d), "symbol", "session", "session"),
     f"""{B}, tw as (select symbol, session, slot, c from bars union all select symbol, session, slot, c from bars where slot = 0)
-select symbol, session, slot, c, symbol || case when session[9:10] >= '16' then '-b' when symbol[2:2]::int % 2 = 1 and session[9:10] >= '11' then '-c' else '-a' end as identity from tw where symbol[2:2] <> '9' or session[9:10] >= '06'""",
+select symbol, session, slot, c, symbol || case when symbol[2:2] = '9' and session[9:10] < '06' then null when session[9:10] >= '16' then '-b' when symbol[2:2]::int % 2 = 1 and session[9:10] >= '11' then '-c' else '-a' end as identity from tw""",
 )

@@ -91,3 +91,17 @@ def test_normal_p(spark):
     t = [0.0, 0.5, -1.96, 3.0, 8.0, 20.0, None]
     got = [x.p for x in spark.createDataFrame([(v,) for v in t], "t double").select(screening.normal_p("t").alias("p")).collect()]
     assert got[-1] is None and all(g == pytest.approx(math.erfc(abs(v) / math.sqrt(2)), rel=2e-7) for g, v in zip(got[:-1], t[:-1]))
+
+
+def test_bitemporal_keeps_equal_rows_and_rows_outside_every_span(spark):
+    rows = spark.createDataFrame([("a", 5, 9), ("a", 5, 9), ("a", 99, 9), ("b", 5, 9)], "k string, t int, seen int")
+    spans = spark.createDataFrame([("a", 1, 10, 1, "x")], SPANS)
+    got = sorted((r.k, r.t, r.name) for r in op.bitemporal(rows, spans, "k", "t", "seen").collect())
+    assert got == [("a", 5, "x"), ("a", 5, "x"), ("a", 99, None), ("b", 5, None)]
+
+
+def test_parents_without_a_redundancy_group_have_no_such_cap(spark):
+    rows = [(f"f{i}", "t", f"fam{i}", None, "h", 0.01, 0.01 * (i + 1), 1.0, 9, 9, 9, 9) for i in range(6)]
+    df = spark.createDataFrame(rows, "feature string, target string, family string, redundancy string, horizon string, fdr double, effect double, score double, n long, n_sessions long, n_symbols long, n_decisions long")
+    rules = op.ParentRules(rows=1, sessions=1, symbols=1, decisions=1, fdr=0.9, bps=0.0, per_family=4, per_redundancy=2, total=9)
+    assert all(r.selected for r in op.parents(df, rules).collect())
