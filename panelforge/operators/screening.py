@@ -153,9 +153,9 @@ def hac(series: DataFrame, by: list[str], at: str, x: str, lag: int | None = Non
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
-def normal_p(t: str) -> Column:
+def normal_p(t: str | Column) -> Column:
     """Two-sided normal tail probability of a statistic, by arithmetic alone; null for null."""
-    z = F.abs(F.col(t)) / math.sqrt(2)
+    z = F.abs(F.col(t) if isinstance(t, str) else t) / math.sqrt(2)
     u = 1 / (1 + 0.5 * z)
     fit = F.lit(ERFC[-1])
     for c in reversed(ERFC[:-1]):

@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from panelforge.operators import bulk as op
-from panelforge.operators import generation, intraday, order, outliers, screening, selection
+from panelforge.operators import categories, generation, intraday, order, outliers, screening, selection
 from panelforge.sources.shared import cut
 
 from . import generation as gen
 from .intraday import K, bars, feats, targets
 from .intraday import R as BUILT
 from .registry import Registry
-from .screening import DS, HAC, SCR, P, V, finished, pairs, score_sql
+from .screening import DS, HAC, SCR, TWO, P, V, finished, pairs, score_sql
 from .screening import LONG as PAIRS
 
 R = Registry()
@@ -153,3 +153,28 @@ rc0 as (select feature, target, symbol, abs(sum(x * y)) as e from p group by all
 re as (select f.feature, f.target, global_fdr, worst_spread as outlier_worst_signed_spread, global_fdr < 0.05 as found, coalesce({screening.normal_p_sql('t2')} < 0.05, false) as exact, n >= 30 and ns >= 5 and ny >= 3 and abs(spread) >= 0.5 / 1e4 as fit, breadth >= 0.6 and years >= 0.6 as same, abs(monotonicity) >= 0.5 as shaped, worst_spread > 0 as firm, label = 'diversified' as wide from fin f join rw using (feature, target) join ryc using (feature, target) join rsc using (feature, target) join rc2 using (feature, target) join tw using (feature, target) join ox using (feature, target))
 select *, case when found and exact and fit and same and shaped and firm and wide then 'robust_phase1_anomaly_candidate' when found and exact and fit and same then 'stable_anomaly_candidate' when found then 'statistically_significant_discovery' when exact then 'exploratory_relationship' else 'no_meaningful_relationship' end as evidence from re""",
 )
+
+
+def bucketed(s, d):
+    """Rows of one feature with the time of day as their category."""
+    part = F.when(F.col("slot") < 4, "early").when(F.col("slot") < 8, "middle").otherwise("late")
+    return pairs(s, d, ("ret_1",)).withColumn("feature", F.lit("time_bucket")).withColumn("category", part)
+
+
+def tail_sql(x):
+    """Chi-square tail with two degrees."""
+    return f"least(1, exp(-greatest({x}, 0) / 2))"
+
+
+CT = f"""{PAIRS}, ct as (select *, case when slot < 4 then 'early' when slot < 8 then 'middle' else 'late' end as c from p where feature = 'ret_1'), cm as (select target, c, count(*) as n, avg(y) as m from ct group by all), cs as (select ct.target, session, symbol, c, sum(y - m) / any_value(n) as s from ct join cm using (target, c) group by all),
+{', '.join(f"c{k}0 as (select target, {by}, sum(s) filter (c = 'early') as e, sum(s) filter (c = 'late') as l, sum(s) filter (c = 'middle') as i from cs group by all), c{k} as (select target, count(*) / (count(*) - 1.0::double) as f, sum((coalesce(l, 0) - coalesce(e, 0)) * (coalesce(l, 0) - coalesce(e, 0))) as v11, sum((coalesce(l, 0) - coalesce(e, 0)) * (coalesce(i, 0) - coalesce(e, 0))) as v12, sum((coalesce(i, 0) - coalesce(e, 0)) * (coalesce(i, 0) - coalesce(e, 0))) as v22 from c{k}0 group by target)" for k, by in (('d', 'session'), ('s', 'symbol'), ('x', 'session, symbol')))},
+ck as (select target, sum(n) as n, max(m) - min(m) as range, max(m) filter (c = 'late') - max(m) filter (c = 'early') as b1, max(m) filter (c = 'middle') - max(m) filter (c = 'early') as b2 from cm group by target),
+cw as (select k.*, (n - 1) / (n - 3.0::double) as h, cd.f * cd.v11 as p11, cd.f * cd.v12 as p12, cd.f * cd.v22 as p22, cd.f * cd.v11 + cs_.f * cs_.v11 - cx.f * cx.v11 as q11, cd.f * cd.v12 + cs_.f * cs_.v12 - cx.f * cx.v12 as q12, cd.f * cd.v22 + cs_.f * cs_.v22 - cx.f * cx.v22 as q22 from ck k join cd using (target) join cs_ using (target) join cx using (target)),
+cz as (select target, n, range, (b1 * b1 * p22 - 2 * b1 * b2 * p12 + b2 * b2 * p11) / (p11 * p22 - p12 * p12) / h as wald, (b1 * b1 * q22 - 2 * b1 * b2 * q12 + b2 * b2 * q11) / (q11 * q22 - q12 * q12) / h as wald_two_way from cw)""".replace("cs0 as", "cs_0 as").replace("from cs0 group", "from cs_0 group").replace("cs as (select target, count(*) /", "cs_ as (select target, count(*) /")
+R.add("categorical_screen", P, "n k", "range wald wald_two_way p p_two_way", lambda s, d: categories.screen(bucketed(s, d)), f"{CT}\nselect 'time_bucket' as feature, target, n, 3 as k, range, wald, wald_two_way, {tail_sql('wald')} as p, {tail_sql('wald_two_way')} as p_two_way from cz")
+BI = TWO.replace("p as (select * from pu where feature <> 'up')", "p as (select * from pu where feature = 'up')")
+R.add(
+    "binary_screen", f"{P} status", "n_on n_off on_sessions off_sessions", "mean_on mean_off effect activation t p t_two_way p_two_way direction", lambda s, d: categories.binary_rows(pairs(s, d, ("up",))),
+    f"""{BI}, be as (select feature, target, count(*) filter (x = 1) as n_on, count(*) filter (x = 0) as n_off, count(distinct session) filter (x = 1) as on_sessions, count(distinct session) filter (x = 0) as off_sessions, avg(y) filter (x = 1) as mean_on, avg(y) filter (x = 0) as mean_off, avg(x) as activation from p group by all)
+select be.*, 'binary_screened' as status, mean_on - mean_off as effect, sign(mean_on - mean_off) as direction, t, {screening.normal_p_sql('t')} as p, t_two_way, {screening.normal_p_sql('t_two_way')} as p_two_way from be join v2 using (feature, target)""",
+)
