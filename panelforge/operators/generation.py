@@ -231,3 +231,19 @@ def lookback_extras(bars: DataFrame, n: int = 4) -> DataFrame:
         "symbol", "session", "slot", "range_mean", div("range", "range_mean").alias("range_ratio"), F.when(below.isNotNull(), F.greatest(1 - div(F.col("c"), below), F.lit(0.0))).alias("breakdown"),
         div("v", "v_mean").alias("rel_volume_inclusive"), div(div("v", "v_mean"), div("range", "range_mean")).alias("volume_range_ratio"), (F.col("ret") * div("v", "v_mean")).alias("return_volume_product"), div(F.col("c") - F.col("o"), F.col("o")).alias("body_pct"),
     )
+
+
+def content_classes(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(name, same_as, n_values): the first name whose column holds the same values at the same keys, itself if none comes before.
+
+    One aggregate for all columns: each row's key and value (or that there is none) are hashed together twice and the hashes
+    added up, so the order of rows does not matter; two columns are one class if both sums and the counts agree."""
+
+    def prints(c: str) -> Column:
+        x = F.col(c).cast("double") + 0.0  # one zero
+        h = [F.xxhash64(*keys, x, x.isNull(), F.lit(seed)).cast("decimal(38,0)") for seed in (1, 2)]
+        return F.struct(F.lit(c).alias("name"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b"), F.count(x).alias("n_values")).alias(c)
+
+    one = wide.agg(*[prints(c) for c in names])
+    rows = one.select(F.explode(F.array(*names)).alias("p")).select("p.*")
+    return rows.select("name", F.min("name").over(Window.partitionBy("a", "b", "n_values")).alias("same_as"), "n_values")

@@ -127,3 +127,18 @@ R.add(
     f"""{B}, tw as (select symbol, session, slot, c from bars union all select symbol, session, slot, c from bars where slot = 0)
 select symbol, session, slot, c, symbol || case when symbol[2:2] = '9' and session[9:10] < '06' then null when session[9:10] >= '16' then '-b' when symbol[2:2]::int % 2 = 1 and session[9:10] >= '11' then '-c' else '-a' end as identity from tw""",
 )
+
+
+def copied(s, d):
+    """The built features with copies among them: equal columns, one that is equal but for a null, one that is but for a value."""
+    f = feats(s, d)
+    return f.select(*K.split(), "o", "c", "ret_1", "vol_3", "range_pos_3", "rel_vol_3", "up", F.col("ret_1").alias("a_ret"), (F.col("vol_3") * 2 / 2).alias("b_vol"), F.when(F.col("slot") != 5, F.col("ret_1")).alias("no_fifth"), F.when(F.col("slot") == 5, -F.col("c")).otherwise(F.col("c")).alias("turned"), F.lit(None).cast("double").alias("none_1"), F.lit(None).cast("double").alias("none_2"))
+
+
+CC = ["o", "c", "ret_1", "vol_3", "range_pos_3", "rel_vol_3", "up", "a_ret", "b_vol", "no_fifth", "turned", "none_1", "none_2"]
+R.add(
+    "content_classes", "name same_as", "n_values", "", lambda s, d: op.content_classes(copied(s, d), K.split(), CC),
+    f"""{ALL}, cc0 as (select *, ret_1 as a_ret, vol_3 * 2 / 2 as b_vol, case when slot <> 5 then ret_1 end as no_fifth, case when slot = 5 then -c else c end as turned, null::double as none_1, null::double as none_2 from feat), cc1 as (select symbol, session, slot, unnest({CC}) as name, unnest([{', '.join(CC)}]) as x from cc0),
+cc2 as (select a.name, b.name as other from cc1 a join cc1 b using (symbol, session, slot) group by all having bool_and(a.x is not distinct from b.x))
+select cc2.name, min(other) as same_as, any_value(n) as n_values from cc2 join (select name, count(x) as n from cc1 group by name) using (name) group by cc2.name""",
+)

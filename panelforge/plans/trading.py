@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from panelforge.operators import asof
 from panelforge.operators import trading as op
 from panelforge.sources import views as v
 
@@ -149,3 +150,39 @@ def variants(s, d):
 
 R.add("best_variant", "mechanism status", "size positive_periods", "total stress max_drawdown worst_period quality", variants)
 R.add("trade_counts", "counts", "", "", lambda s, d: op.most_frequent(op.select_quantile(signals(s, d)), "symbol"), f"{OQ}, tc as (select symbol, count(*) as n from od group by symbol order by n desc, symbol limit 20)\nselect '{{' || string_agg('\"' || symbol || '\":' || n, ',' order by n desc, symbol) || '}}' as counts from tc")
+
+
+def tape(s, d):
+    """Quotes by minute of the day from the events themselves; every seventh has no spread and is unusable, others have up to 30 bp."""
+    e = v.read(s, d, "events")
+    bid = F.lit(100.0) + F.col("value")
+    at = F.hour("ts") * 60 + F.minute("ts")
+    return e.select(F.concat(F.lit("S"), (F.col("user_id") % 10).cast("string")).alias("symbol"), F.to_date("ts").cast("string").alias("session"), at.alias("at"), bid.alias("bid"), (bid * (1 + (F.col("event_id") % 7) * 0.0005)).alias("ask"))
+
+
+def tape_orders(s, d):
+    """Three orders a symbol and session, held for three hours; sides alternate."""
+    slots = F.explode(F.array(F.lit(1), F.lit(4), F.lit(7))).alias("slot")
+    o = bars(s, d).select("symbol", "session").distinct().select("symbol", "session", slots)
+    side = F.when((F.col("slot") + F.substring("symbol", 2, 1).cast("int")) % 2 == 0, 1).otherwise(-1)
+    return o.select(F.concat_ws("-", "symbol", "session", "slot").alias("order_id"), "symbol", "session", F.concat_ws("-", "session", "slot").alias("bucket"), side.alias("side"), (F.col("slot") * 120 + 7).alias("entry"), (F.col("slot") * 120 + 187).alias("exit"))
+
+
+def taped(passive):
+    return lambda s, d: asof.replay(tape_orders(s, d), tape(s, d), by=["symbol", "session"], path=120, delay=20, passive=passive, most_bps=25.0, width=64.0)
+
+
+def tape_sql(passive):
+    pick = lambda side, at, end: f"(select min({{'a': q.at, 'b': q.bid, 'k': q.ask}}) from tq q where q.symbol = o.symbol and q.session = o.session and q.at >= {at} and q.at <= {end}) as {side}"
+    fill = "(select min(q.at) from tq q where q.symbol = o.symbol and q.session = o.session and q.at >= e.a and q.at <= entry + 120 and case when side = 1 then q.ask <= e.b else q.bid >= e.k end)" if passive else "e.a"
+    price = "case when side = 1 then e.b else e.k end" if passive else "case when side = 1 then e.k else e.b end"
+    return f"""with {v.BARS_SQL}, tq as (select 'S' || cast(user_id % 10 as varchar) as symbol, cast(cast(ts as date) as varchar) as session, hour(ts) * 60 + minute(ts) as at, 100.0::double + value as bid, (100.0::double + value) * (1 + (event_id % 7) * 0.0005::double) as ask from events where event_id % 7 between 1 and 5),
+oo as (select symbol || '-' || session || '-' || slot as order_id, symbol, session, session || '-' || slot as bucket, case when (slot + symbol[2:2]::int) % 2 = 0 then 1 else -1 end as side, slot * 120 + 7 as entry, slot * 120 + 187 as exit from (select distinct symbol, session from bars) cross join (select unnest([1, 4, 7]) as slot)),
+o1 as (select *, {pick('ep', 'entry', 'entry + 120')}, {pick('xp', 'exit', 'exit + 120')}, {pick('e', 'entry + 20', 'entry + 120')}, {pick('x', 'exit + 20', 'exit + 120')} from oo o),
+o2 as (select *, {fill} as filled_at from o1 o), o3 as (select *, case when ep is null or xp is null then 'missing_path' when e is null or x is null then 'missing_quote' when filled_at is null then 'unfilled' else 'filled' end as st, side * (case when side = 1 then x.b else x.k end / ({price}) - 1) as gross from o2),
+o4 as (select *, row_number() over (partition by bucket, side, st order by symbol, session, order_id) as r, least(count(*) filter (st = 'filled' and side = 1) over (partition by bucket), count(*) filter (st = 'filled' and side = -1) over (partition by bucket)) as keep from o3)
+select order_id, symbol, session, bucket, side, filled_at, case when st = 'filled' and r > keep then 'cancelled_unpaired' else st end as status, case when st = 'filled' and r <= keep then gross end as gross_return from o4"""
+
+
+for name, passive in (("quote_replay_market", False), ("quote_replay_passive", True)):
+    R.add(name, "order_id status", "side filled_at", "gross_return", taped(passive), tape_sql(passive))
