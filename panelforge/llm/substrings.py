@@ -29,14 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import SPACE, BASES, _POWERS, fold_table, mix, slices, windows_of, word_codes
-from .common import shared_dir, stored, without
+from .common import bit_held, bit_table, shared_dir, stored, without
 
 FOLD = fold_table(SPACE, lower=False)
 LOW = np.uint64(0xFFFFFFFF)
@@ -102,14 +101,46 @@ def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, RUN)
 
 
+JOURNAL = "at long, kind string, path string, held boolean"
+
+
 class FingerprintIndex:
-    """Runs of (anchor, k, n), and documents (k, packed), under a folder that all machines share."""
+    """Runs of (anchor, k, n), and documents (k, packed), under a folder that all machines share.
+
+    With a ``folder`` the index outlives its object: a journal beside the folder, one small row appended for each table that
+    joins or leaves, tells what it holds, and a new object on the folder goes on from there. A table counts once its row is
+    written, which is after it is whole; what a lost driver left unfinished is not in the journal and is never read. One
+    writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, *, fanout: int = 8):
         self.spark, self.fanout = spark, fanout
+        self.lasting = folder is not None
         self.folder = folder or f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        self.journal = f"{self.folder.rstrip('/')}.journal"
         self.runs: list[str] = []
         self.texts: list[str] = []
+        self.at = 0
+        if self.lasting and self._there(self.journal):
+            for at, kind, path, held in spark.read.schema(JOURNAL).parquet(self.journal).orderBy("at", "held").toLocalIterator():
+                tables = self.runs if kind == "run" else self.texts
+                (tables.append if held else tables.remove)(path)
+                self.at = at + 1
+
+    def _place(self, path: str):
+        """The file system of a path, as Spark knows it, and the path there."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _there(self, path: str) -> bool:
+        system, place = self._place(path)
+        return system.exists(place)
+
+    def _note(self, *changes: tuple[str, str, bool]) -> None:
+        """Appends (kind, path, held) rows to the journal, all or none."""
+        if self.lasting:
+            rows = [(self.at, *c) for c in changes]
+            self.spark.createDataFrame(rows, JOURNAL).coalesce(1).write.mode("append").parquet(self.journal)
+            self.at += 1
 
     def _write(self, df: DataFrame, kind: str) -> str:
         path = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
@@ -123,6 +154,7 @@ class FingerprintIndex:
         """A batch's fingerprints (anchor, k, n) as one more sorted run, read from there."""
         summed = found.groupBy("anchor", "k").agg(F.sum("n").alias("n"))
         self.runs.append(self._write(summed.sortWithinPartitions("anchor", "k"), "run"))
+        self._note(("run", self.runs[-1], True))
         return self.read(self.runs[-1:], RUN)
 
     def known(self, found: DataFrame, runs: list[str]) -> DataFrame:
@@ -133,12 +165,14 @@ class FingerprintIndex:
     def keep(self, packed: DataFrame) -> None:
         """Documents (k, packed) that later batches are verified against."""
         self.texts.append(self._write(packed.groupBy("k").agg(F.min("packed").alias("packed")), "texts"))
+        self._note(("texts", self.texts[-1], True))
 
     def documents(self, runs: list[str], wanted: DataFrame) -> DataFrame:
         """(k, packed, cands) of the kept documents that hold one of the fingerprints ``wanted`` in ``runs``."""
         holders = self.read(runs, RUN).join(wanted, "anchor", "left_semi").groupBy("k").agg(F.collect_list("anchor").alias("cands"))
-        kept = self.read(self.texts, "k long, packed binary").groupBy("k").agg(F.min("packed").alias("packed"))
-        return kept.join(holders, "k").select("k", "packed", "cands")
+        # a bitmap of the holders' keys keeps the texts of other documents from being shuffled
+        kept = bit_held(self.read(self.texts, "k long, packed binary"), "k", bit_table(holders.select("k"), "k"))
+        return kept.join(holders, "k").groupBy("k").agg(F.min("packed").alias("packed"), F.first("cands").alias("cands"))
 
     def compact(self) -> None:
         """All runs become one; the old ones are removed after the new one is whole."""
@@ -146,9 +180,10 @@ class FingerprintIndex:
             old = self.runs
             summed = self.read(old, RUN).groupBy("anchor", "k").agg(F.sum("n").alias("n"))
             self.runs = [self._write(summed.sortWithinPartitions("anchor", "k"), "run")]
+            self._note(("run", self.runs[0], True), *[("run", path, False) for path in old])
             for path in old:
-                system, place = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
-                system.delete_dir(place)
+                system, place = self._place(path)
+                system.delete(place, True)
 
 
 def cover(n: int, starts: np.ndarray, window: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from panelforge.llm import bitsliced, mixing, simhash
+from panelforge.llm import bitsliced, mixing, simhash, substrings
 
 from ..oracle import rows as as_rows
 
@@ -52,3 +52,19 @@ def test_search_of_empty_and_huge_vectors(spark):
     found = bitsliced.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect())
     assert got == [(0, 1, 5, 0), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 5, 0), (40, 1, 41, 3 * 64 * 64)]
+
+
+def test_index_outlives_its_object(spark, tmp_path):
+    folder = f"{tmp_path}/index"
+    words = [f"w{i}" for i in range(60)]
+    old = spark.createDataFrame([(1, " ".join(words)), (2, "nothing like it")], "doc_id long, text string")
+    new = spark.createDataFrame([(3, "x " + " ".join(words) + " y"), (4, "other words")], "doc_id long, text string")
+    substrings.repeated_spans(old, index=substrings.FingerprintIndex(spark, folder, fanout=2)).collect()
+    again = substrings.FingerprintIndex(spark, folder, fanout=2)
+    assert again.runs and again.texts
+    found = {r.doc_id: r.n_removed for r in substrings.repeated_spans(new, index=again).collect()}
+    assert found == {3: 60, 4: 0}
+    third = substrings.FingerprintIndex(spark, folder, fanout=2)
+    assert (third.runs, third.texts) == (again.runs, again.texts)  # after a compaction too
+    found = {r.doc_id: r.n_removed for r in substrings.repeated_spans(new, index=third).collect()}
+    assert found == {3: 62, 4: 0}
