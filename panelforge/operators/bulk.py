@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import div
+from panelforge.operators.generation import require, screen_violations
 from panelforge.operators.order import quantiles
 from panelforge.operators.screening import normal_p
 from panelforge.sources.shared import cut
@@ -302,7 +303,8 @@ def screen(wide: DataFrame, features: list[str], targets: list[str], *, edges: d
     correlation of ranks among the edges, the spread of the outer deciles, their monotonicity and its shape.
 
     A pair whose rows give its feature less than 1e-14 of the column's variance is ``constant_feature``, one below
-    ``least`` is ``insufficient_data``; both have coverage only. A session is a string that begins with its year."""
+    ``least`` is ``insufficient_data``; both have coverage only. A session is a string that begins with its year. A result with
+    repeated pairs, p outside 0 to 1 or without t, or negative counts raises."""
     c = described(wide, features, targets, edges)
     tasks = tasks or 4 * wide.sparkSession.sparkContext.defaultParallelism
     sums = cut(pair_sums(wide, c, tasks))
@@ -343,6 +345,8 @@ def screen(wide: DataFrame, features: list[str], targets: list[str], *, edges: d
     if edges:
         m = F.col("monotonicity")
         out = out.withColumn("shape", F.when(F.col("status") == "screened", F.when(m >= 0.7, "positive_monotonic").when(m <= -0.7, "negative_monotonic").otherwise("no_stable_shape")))
+    out = cut(out)
+    require(screen_violations(out), "repeated_pairs", "p_outside", "negative_counts", "p_without_t")
     return out
 
 

@@ -33,8 +33,9 @@ def rates(rows: DataFrame, p: str, groupings: dict[str, list[str]]) -> DataFrame
     return rows.drop("__p", "__all")
 
 
+# Limits of parents, and below the weights of their score, the edges of planned features and the caps of the queue.
 @dataclass(frozen=True)
-class ParentRules:  # fixed values: defaults that results must agree with
+class ParentRules:
     """What a parent must show, and how many there may be."""
 
     rows: int = 250_000

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelforge.functions.columns import FOLLOWING, avg_rank, div, pct_rank
 from panelforge.operators import order
+from panelforge.sources.shared import cut
 
 FEATURES = ("ret_1", "vol_3", "range_pos_3", "rel_vol_3")
 TARGETS = ("fwd_1", "fwd_2")
@@ -59,16 +60,16 @@ def clustered(cells: DataFrame, by: list[str]) -> DataFrame:
     return g.groupBy(*PAIR).agg(F.first("slope").alias("slope"), F.first("cxx").alias("cxx"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.col("s") * F.col("s")).alias("q"))
 
 
-def one_way(pairs: DataFrame) -> DataFrame:
-    s = clustered(cell_scores(pairs), ["session"])
+def one_way(pairs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    s = clustered(cell_scores(pairs) if cells is None else cells, ["session"])
     se = div(F.sqrt("q"), F.col("cxx"))
     return s.select(*PAIR, "n", F.col("g").alias("n_clusters"), "slope", se.alias("se"), div(F.col("slope"), se).alias("t"))
 
 
-def two_way(pairs: DataFrame) -> DataFrame:
+def two_way(pairs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Session plus symbol minus their meet, each with its small-sample factor; what is left of less than a billionth of
     the three is rounding noise and no variance, whatever the unit of the feature."""
-    cells, parts = cell_scores(pairs), None
+    cells, parts = cut(cell_scores(pairs)) if cells is None else cells, None
     for name, by in (("d", ["session"]), ("s", ["symbol"]), ("x", ["session", "symbol"])):
         c = clustered(cells, by)
         v = div(F.col("g"), F.col("g") - 1) * div(F.col("n") - 1, F.col("n") - 2) * div(F.col("q"), F.col("cxx") * F.col("cxx"))
@@ -81,7 +82,8 @@ def two_way(pairs: DataFrame) -> DataFrame:
 
 def clustered_screen(pairs: DataFrame) -> DataFrame:
     """A pair's slope with both kinds of errors, and the two-sided normal p of each t."""
-    both = one_way(pairs).join(two_way(pairs).select(*PAIR, F.col("se").alias("se_two_way"), F.col("t").alias("t_two_way")), PAIR)
+    cells = cut(cell_scores(pairs))  # three groupings of these: the rows are read once
+    both = one_way(pairs, cells).join(two_way(pairs, cells).select(*PAIR, F.col("se").alias("se_two_way"), F.col("t").alias("t_two_way")), PAIR)
     return both.withColumn("p", normal_p("t")).withColumn("p_two_way", normal_p("t_two_way"))
 
 

@@ -151,6 +151,7 @@ def path_metrics(entries: DataFrame, bars: DataFrame) -> DataFrame:
 def best_variant(rows: DataFrame, mechanism: str, variant: str) -> DataFrame:
     """Of each mechanism the variant that passes its gate and has the highest quality; ``rows``: total, stress, max_drawdown,
     positive_periods, worst_period. Equal ones by variant."""
+    # fixed values: the limits of the gate and the weights of the quality
     gate = (F.col("total") > 0) & (F.col("stress") >= -0.002) & (F.col("positive_periods") >= 2) & (F.col("max_drawdown") >= -0.05)
     r = rows.withColumn("gate", F.coalesce(gate, F.lit(False))).withColumn("quality", F.col("total") / (F.abs("max_drawdown") + 0.0025) + F.col("worst_period"))
     place = F.row_number().over(Window.partitionBy(mechanism).orderBy(F.desc("gate"), F.desc_nulls_last("quality"), variant))

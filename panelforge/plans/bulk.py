@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from panelforge.operators import bulk as op
-from panelforge.operators import categories, generation, intraday, order, outliers, screening, selection
+from panelforge.operators import categories, generation, intraday, manifest, order, outliers, screening, selection
 from panelforge.sources.shared import cut
 
 from . import generation as gen
-from .intraday import K, bars, feats, targets
+from .intraday import SEG, B, K, bars, feats, targets
 from .intraday import R as BUILT
 from .registry import Registry
 from .screening import DS, HAC, SCR, TWO, P, V, finished, pairs, score_sql
@@ -178,3 +178,37 @@ R.add(
     f"""{BI}, be as (select feature, target, count(*) filter (x = 1) as n_on, count(*) filter (x = 0) as n_off, count(distinct session) filter (x = 1) as on_sessions, count(distinct session) filter (x = 0) as off_sessions, avg(y) filter (x = 1) as mean_on, avg(y) filter (x = 0) as mean_off, avg(x) as activation from p group by all)
 select be.*, 'binary_screened' as status, mean_on - mean_off as effect, sign(mean_on - mean_off) as direction, t, {screening.normal_p_sql('t')} as p, t_two_way, {screening.normal_p_sql('t_two_way')} as p_two_way from be join v2 using (feature, target)""",
 )
+
+
+def f(name, op_, inputs, n=0, edge=0.0):
+    return manifest.Feature(name, op_, tuple(inputs.split()), n, edge)
+
+
+#: Features of several depths and windows; again_1 and again_2 repeat the content of others under other names.
+MANIFEST = [
+    f("r1", "return", "c", 1), f("r3", "return", "c", 3), f("vol", "std", "r1", 3), f("mv", "mean", "v", 3), f("rv", "ratio", "v mv"), f("hi", "max", "h", 3), f("lo", "min", "l", 3), f("span", "difference", "hi lo"),
+    f("up_r", "difference", "c lo"), f("place", "ratio", "up_r span"), f("k_r", "rank", "r1"), f("k_v", "rank", "rv"), f("k_p", "rank", "place"), f("cr", "centred", "k_r"), f("cv", "centred", "k_v"), f("pair", "aligned_mean", "cr cv"),
+    f("hot", "above", "k_r", edge=0.6), f("busy", "above", "k_v", edge=0.6), f("quiet", "below", "k_v", edge=0.4), f("joint", "intersection", "hot busy"), f("gate", "gated", "r1 busy"), f("lasting", "persistence", "hot", 2), f("flow", "sum", "gate", 1),
+    f("before", "lag", "pair", 1), f("again_1", "return", "c", 1), f("again_2", "mean", "again_1", 2), f("calm", "mean", "r1", 2), f("scaled", "product", "r1 rv"),
+]
+
+
+def manifest_sql():
+    """One step a feature, in the order of the list."""
+    w = "partition by symbol, session, seg order by slot"
+    steps, last = [f"{B}, {SEG}"], "segs"
+    for i, x in enumerate(MANIFEST):
+        a, b = (*x.inputs, "")[:2]
+        frame = f"({w} rows between {max(x.n - 1, 0)} preceding and current row)"
+        roll = lambda g: f"case when count({a}) over {frame} >= {x.n} then {g}({a}) over {frame} end"  # noqa: E731, B023
+        text = {
+            "lag": f"lag({a}, {x.n}) over ({w})", "return": f"{a} / nullif(lag({a}, {x.n}) over ({w}), 0) - 1", "mean": roll("avg"), "std": roll("stddev_samp"), "sum": roll("sum"), "max": roll("max"), "min": roll("min"), "persistence": roll("min"),
+            "rank": f"case when {a} is not null then (rank() over (partition by session, slot order by {a} nulls last) + (count({a}) over (partition by session, slot, {a}) - 1) / 2.0::double) / count({a}) over (partition by session, slot) end",
+            "ratio": f"{a} / nullif({b}, 0)", "difference": f"{a} - {b}", "product": f"{a} * {b}", "centred": f"2 * {a} - 1", "above": f"({a} >= {x.edge}::double)::int::double", "below": f"({a} <= {x.edge}::double)::int::double", "intersection": f"{a} * {b}", "gated": f"case when {b} = 1 then {a} end", "aligned_mean": f"({a} + {b}) / 2",
+        }[x.op]
+        steps.append(f"mf{i} as (select *, {text} as {x.name} from {last})")
+        last = f"mf{i}"
+    return ", ".join(steps) + f"\nselect symbol, session, slot, {', '.join(x.name for x in MANIFEST)} from {last}"
+
+
+R.add("feature_manifest", K, "", " ".join(x.name for x in MANIFEST), lambda s, d: manifest.run(bars(s, d), MANIFEST), manifest_sql())
