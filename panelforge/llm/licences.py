@@ -19,7 +19,8 @@ files of a directory are aggregated before anything is joined to it.
 
 Defined cases: null or empty texts declare nothing and inherit like others; null paths have no directory; rows that
 repeat a path are joined by path and text, so copies get the same answer; an empty table gives no rows; other columns
-of the input are not read.
+of the input are not read; a very long text is taken whole, its windows held in one row (about two lines more for each line and
+window size).
 """
 
 from __future__ import annotations

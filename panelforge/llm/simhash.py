@@ -12,7 +12,8 @@ to pairs of chunks, so that no task holds it whole and no link is lost.
 
 Defined cases: a null text counts as empty; without words the fingerprint is zero, which links like any other; fewer
 words than a shingle give one shingle of all words; a null doc_id never is a component's name while another id is
-there; repeated rows each get a row; clashing columns of the input are replaced.
+there; repeated rows each get a row; texts of any length are taken whole, their hashes held at once; clashing columns of the
+input are replaced, and ``keep_one`` passes columns of any name through.
 """
 
 from __future__ import annotations
