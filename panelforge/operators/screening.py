@@ -98,8 +98,8 @@ TIES = ["session", "slot", "symbol"]
 
 def quantile_table(pairs: DataFrame, q: int = 10, name: str = "bin") -> DataFrame:
     """``pairs`` with their quantile bin (``floor``: bins of equal numbers) by first-ranks in a total order; a pair's rows
-    are never sorted in one task."""
-    return order.bins(pairs, PAIR, "x", TIES, order.floor_last(q) if name == "floor" else order.qcut_last(q), name)
+    are never sorted in one task. They are read three times, so they are computed once."""
+    return order.bins(cut(pairs), PAIR, "x", TIES, order.floor_last(q) if name == "floor" else order.qcut_last(q), name)
 
 
 def bin_means(pairs: DataFrame, q: int = 10) -> DataFrame:

@@ -191,6 +191,7 @@ def rank_correlations(wide: DataFrame, names: tuple[str, ...], keys: tuple[str,
     sorted_names = sorted(names)
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(sorted_names) for b in sorted_names[i + 1 :]])
     rows = wide.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").where("x is not null and y is not null")
+    rows = cut(rows)
     for c in "xy":
         rows = order.average_ranks(rows, ["a", "b"], c, f"r{c}")
     return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"), F.countDistinct("symbol").alias("symbols"), div(F.covar_pop("rx", "ry"), F.sqrt(F.var_pop("rx") * F.var_pop("ry"))).alias("corr"))
@@ -228,6 +229,7 @@ def parent_pairs(corr: DataFrame, scores: DataFrame, *, most: float = 0.90, leas
 
 def edge_bins(pairs: DataFrame, edges: int = 19) -> DataFrame:
     """Mean target by the bin between exact percentile edges of the feature; equal values share a bin."""
+    pairs = cut(pairs)
     found = order.quantiles(pairs, PAIR, "x", [i / (edges + 1) for i in range(1, edges + 1)])
     cuts = found.select(*PAIR, F.array_distinct("quantiles").alias("edges"))
     binned = pairs.join(cuts, PAIR).withColumn("bin", edge_bin(F.col("x"), F.col("edges")))
