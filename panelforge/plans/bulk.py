@@ -87,14 +87,18 @@ R.add("screen_all_pairs", f"{P} status shape", "n n_sessions n_symbols n_decisio
 
 
 def approximate(s, d):
-    """The correlation of ranks among edges of mergeable summaries, beside the one of exact ranks."""
-    w = cut(feats(s, d).join(targets(s, d), KEY))
-    names, goals = list(screening.FEATURES), list(screening.TARGETS)
-    found = op.screen(w, names, goals, edges=op.approximate_edges(w, names + goals), least=op.Least(rows=1), tasks=4).select("feature", "target", F.col("spearman").alias("approximate"))
-    pairs = screening.long_pairs(feats(s, d), targets(s, d))
-    ranked = order.average_ranks(order.average_ranks(pairs, screening.PAIR, "x", "rx"), screening.PAIR, "y", "ry")
-    exact = ranked.groupBy(*screening.PAIR).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman"))
-    return found.join(exact, screening.PAIR).withColumn("within", F.abs(F.col("approximate") - F.col("spearman")) < 0.02)
+    """The correlation of ranks of buckets, cut by mergeable summaries of each pair's own rows, beside the one of exact ranks."""
+    pairs = cut(screening.long_pairs(feats(s, d), targets(s, d)))
+    by = screening.PAIR
+
+    def correlated(ranks, name):
+        ranked = ranks(ranks(pairs, by, "x", "rx"), by, "y", "ry")
+        return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias(name))
+
+    exact = correlated(order.average_ranks, "spearman")
+    found = correlated(order.approximate_ranks, "approximate").drop("n").join(exact, by)
+    near = F.coalesce(F.abs(F.col("approximate") - F.col("spearman")) < 0.02, F.lit(False))
+    return found.withColumn("within", near | F.col("approximate").eqNullSafe(F.col("spearman")))
 
 
 R.add("rank_correlation_approximate", f"{P} within", "n", "spearman", approximate, f"{PAIRS}, rk as (select *, rank() over (partition by feature, target order by x) + (count(*) over (partition by feature, target, x) - 1) / 2.0::double as rx, rank() over (partition by feature, target order by y) + (count(*) over (partition by feature, target, y) - 1) / 2.0::double as ry from p)\nselect feature, target, true as within, count(*) as n, covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) as spearman from rk group by all")

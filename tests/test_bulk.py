@@ -126,6 +126,20 @@ def test_order_statistics(spark):
     assert (a.groupby("g").x.rank() == a.rx).all()
 
 
+def test_approximate_ranks_are_exact_in_small_groups(spark):
+    g = np.random.default_rng(3)
+    rows = [(name, float(x), float(0.3 * x + y)) for name, n in (("one", 1), ("three", 3), ("four", 4), ("thirty", 30), ("many", 20_000)) for x, y in g.normal(size=(n, 2))]
+    rows += [("ties", float(x), float(y)) for x, y in g.integers(0, 4, (5000, 2))] + [("same", 1.0, float(y)) for y in range(9)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    got = order.approximate_ranks(order.approximate_ranks(df, ["g"], "x", "rx"), ["g"], "y", "ry").toPandas()
+    assert len(got) == len(rows)
+    for name, part in got.groupby("g"):
+        off = (part.x.rank() - part.rx).abs().max()
+        assert off < 0.01 * len(part) if name == "many" else off == 0, name
+        if name not in ("one", "same"):
+            assert abs(part.rx.corr(part.ry) - part.x.rank().corr(part.y.rank())) < (0.001 if name == "many" else 1e-9), name
+
+
 def test_no_window_over_a_group(spark):
     df = spark.createDataFrame([("a", 1.0, "s", 1)], "g string, x double, session string, k int")
     plan = order.bins(df, ["g"], "x", ["session", "k"], order.qcut_last(10))._jdf.queryExecution().optimizedPlan().toString()
