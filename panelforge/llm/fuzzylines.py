@@ -98,8 +98,7 @@ def bands(rows: DataFrame) -> DataFrame:
 
 def shared_bands(rows: DataFrame) -> DataFrame:
     """(key, h), each once, of the bands that two different lines share."""
-    part = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))  # enough to tell a band's lines from each other
-    several = bands(rows).groupBy("key").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low != high").select("key")
+    several = bands(rows).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("key")
     several = stored(several, "bands")
     # an inner join, since a semi-join is pushed below the bitmap; keys are distinct in ``several``
     return bit_held(bands(rows), "key", bit_table(several, "key")).join(several, "key").distinct()
@@ -131,13 +130,20 @@ def alike(sa: Column, sb: Column) -> Column:
     return near_in_size(m, n) & (F.size(F.array_intersect(sa, sb)) * (down + up) >= (m + n) * up)
 
 
+def sized(texts: DataFrame) -> DataFrame:
+    """(h, line, size) of the lines of (h, line): the size of a line's set is counted once, not for each of its pairs."""
+    return texts.select("h", "line", F.size(shingle_set()).alias("size"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines in (h, line) are alike."""
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"l{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shingles("la").alias("la"), shingles("lb").alias("lb"))
-    both = both.select("a", "b", F.array_distinct("la").alias("sa"), F.array_distinct("lb").alias("sb"))
+    """The pairs (a, b) whose lines in (h, line, size) are alike. With both sizes known, the size of the union decides."""
+    up, down = SIMILAR
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"l{c}"), F.col("size").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(near_in_size(F.col("na"), F.col("nb")))
+    union = F.size(F.array_distinct(F.concat(shingles("la"), shingles("lb"))))
+    near = union * (down + up) <= (F.col("na") + F.col("nb")) * down
     # not a filter, which would be pushed below and take the shingles again for each mention
-    return both.select(F.explode(F.array_repeat(F.struct("a", "b"), alike(F.col("sa"), F.col("sb")).cast("int"))).alias("link")).select("link.*")
+    return both.select(F.explode(F.array_repeat(F.struct("a", "b"), near.cast("int"))).alias("link")).select("link.*")
 
 
 def parities(sets: DataFrame) -> DataFrame:
@@ -168,7 +174,7 @@ def links_of_blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFra
     largest = F.max_by("root", F.struct("c", "root")).alias("main")
     mixed = size.groupBy("key").agg(largest, F.count(F.lit(1)).alias("roots"), F.sum("c").alias("lines")).where("roots > 1 and lines > 3")
     open_ = stored(members.join(mixed.select("key", "main"), "key"), "mixed")
-    asked = texts.join(open_.select("h").distinct(), "h")
+    asked = texts.select("h", "line").join(open_.select("h").distinct(), "h")
     drawn = stored(asked.join(parities(asked.select("h", shingle_set().alias("s"))), "h"), "drawn")
     blocks = open_.join(drawn.select("h", "n"), "h").groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (400 * block))).alias("blocks"))
     row = F.struct("root", "line", "n", "parity").alias("row")
@@ -203,7 +209,7 @@ def linked(lines: DataFrame, rows: DataFrame, block: int = 256) -> DataFrame:
     buckets would join."""
     members = stored(shared_bands(rows), "buckets")
     asked = members.select("h").distinct()
-    texts = stored(bit_held(lines, "h", bit_table(asked, "h")).groupBy("h").agg(F.first("line").alias("line")).join(asked, "h"), "texts")
+    texts = stored(sized(bit_held(lines, "h", bit_table(asked, "h")).groupBy("h").agg(F.first("line").alias("line")).join(asked, "h")), "texts")
     roots = cut(components(verified(pairs_with_ends(members), texts)))
     named = stored(members.join(roots.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")), "components")
     again = components(cut(links_of_blocks(named, texts, block))).select(F.col("node").alias("root"), F.col("root").alias("last"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from panelforge.llm import bitsliced, mixing, simhash, substrings
+from panelforge.llm import bitsliced, fuzzylines, mixing, simhash, substrings
 
 from ..oracle import rows as as_rows
 
@@ -68,3 +68,22 @@ def test_index_outlives_its_object(spark, tmp_path):
     assert (third.runs, third.texts) == (again.runs, again.texts)  # after a compaction too
     found = {r.doc_id: r.n_removed for r in substrings.repeated_spans(new, index=third).collect()}
     assert found == {3: 62, 4: 0}
+
+
+def test_lines_whose_hashes_share_their_low_word_keep_their_bucket(spark):
+    rows = spark.createDataFrame([(1, [7, 8]), ((1 << 32) + 1, [7]), (5, [9, 9])], "h long, keys array<long>")
+    assert sorted(tuple(r) for r in fuzzylines.shared_bands(rows).collect()) == [(7, 1), (7, (1 << 32) + 1)]
+
+
+def test_verified_decides_as_sets_do(spark):
+    base = "".join(chr(97 + i * i % 23) + chr(98 + i % 19) for i in range(60))
+    variants = {base, base + base, base[:60] + "#" + base[60:], base[:-14], base[:-30], "x" + base, base[::-1], base[:20], "abc", "abcdefgh", "abcdefgh abcdefgh"}
+    variants |= {base[:at] + "?" * n + base[at + n :] for at in (0, 31, 77) for n in (1, 3, 9)}
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(sorted(variants))], "h long, line string")
+    sets = {r.h: set(r.s) for r in lines.select("h", fuzzylines.shingle_set().alias("s")).collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    texts = fuzzylines.sized(lines)
+    assert {r.h: r.size for r in texts.collect()} == {h: len(s) for h, s in sets.items()}
+    got = [(r.a, r.b) for r in fuzzylines.verified(spark.createDataFrame(pairs, "a long, b long"), texts).collect()]
+    want = {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and set(got) == want and 5 < len(want) < len(pairs)
